@@ -26,5 +26,6 @@ def id_number(motor_id: Column) -> Column:
 
 
 def format_id(number: Column) -> Column:
-    """'MOTOR-' and at least three digits; longer numbers are kept whole."""
-    return F.concat(F.lit(ID_PREFIX), F.format_string("%03d", number))
+    """'MOTOR-' and at least three digits; longer numbers, which `lpad` would cut, stay whole."""
+    text = number.cast("string")
+    return F.concat(F.lit(ID_PREFIX), F.when(number < 1000, F.lpad(text, 3, "0")).otherwise(text))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The leading number of a text, as a lenient number parser accepts it.
-LEADING_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 UNKNOWN_STATUS = "Unknown"
 
@@ -25,9 +25,9 @@ def lenient_number(text: Column) -> Column:
     return F.regexp_extract(text, LEADING_NUMBER, 1).try_cast("double")
 
 
-def number_or_null(value: Column) -> Column:
-    """A double with NaN, which is not a measurement, turned into NULL."""
-    return F.when(~F.isnan(value), value)
+def finite_or_null(value: Column) -> Column:
+    """A double; NaN and infinities, which are not measurements, become NULL."""
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def epoch_to_ts(seconds: Column) -> Column:
@@ -43,13 +43,12 @@ def epoch_millis(ts: Column) -> Column:
 def exact_avg(value: Column, rows: Column) -> Column:
     """Sum of doubles divided by `rows`, independent of the order in which Spark adds them.
 
-    The sum runs in decimals. Where a value does not fit (beyond 16 integer digits, or not
-    finite) the plain double sum is used for the whole group instead.
+    The sum runs in decimals. Where a value or the sum does not fit them (beyond 16 integer
+    digits, or not finite) the plain double sum is used for the whole group instead.
     """
     as_decimal = value.try_cast("decimal(24,8)")
-    exact = F.sum(as_decimal).cast("double")
-    total = F.when(F.count(as_decimal) == F.count(value), exact).otherwise(F.sum(value))
-    return F.try_divide(total, rows)
+    exact = F.when(F.count(as_decimal) == F.count(value), F.try_sum(as_decimal).cast("double"))
+    return F.try_divide(F.coalesce(exact, F.sum(value)), rows)
 
 
 def round_half_up(value: Column, digits: int) -> Column:

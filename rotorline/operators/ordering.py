@@ -10,7 +10,7 @@ frame as one over the key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,13 +61,14 @@ def chunked(positioned: DataFrame, context: int, chunk: int = CHUNK) -> DataFram
 
 
 def over_chunks(
-    df: DataFrame, keys: Sequence[str], seq: str, context: int, exprs, span: int = SPAN, chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], seq: str, context: int, compute: Callable[[DataFrame, list[str]], DataFrame],
+    span: int = SPAN, chunk: int = CHUNK,
 ) -> DataFrame:
-    """Adds columns computed over each row and the `context` rows before it in its key.
+    """Runs `compute` on chunks that carry the `context` rows before them.
 
-    `exprs` maps a name to a function from the ordered window (no frame set) to a Column.
+    `compute(rows, chunk_keys)` adds columns with windows over `chunk_keys` ordered by
+    `POSITION`; the repeated rows are dropped afterwards.
     """
     split = chunked(with_positions(df, keys, seq, span), context, chunk)
-    window = Window.partitionBy(*keys, _CHUNK).orderBy(POSITION)
-    out = split.select("*", *[build(window).alias(name) for name, build in exprs.items()])
+    out = compute(split, [*keys, _CHUNK])
     return out.where(~F.col(_CONTEXT)).drop(_CHUNK, _CONTEXT)

@@ -56,36 +56,67 @@ def buffer_last(buffer: DataFrame) -> DataFrame:
 def rolling_points(readings: DataFrame, n: int = POINTS, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
     """What the buffer showed after every message: size, average, minimum and maximum.
 
-    Aggregates instead of arrays, which would repeat every reading n times.
+    Aggregates instead of arrays, which would repeat every reading n times. The cost per row
+    does not depend on n (see `_rolling`).
     """
+    slim = readings.select("motor_id", "arrival_seq", "temperature", "vibration")
+    whole_blocks = max(1, chunk // n) * n
+    out = over_chunks(
+        slim, ["motor_id"], "arrival_seq", n - 1, lambda rows, keys: _rolling(rows, keys, n), span, whole_blocks
+    )
+    stats = [f"{s}_{name}" for name in ("temperature", "vibration") for s in ("avg", "min", "max")]
+    return out.select("motor_id", "arrival_seq", F.least(F.col(POSITION) + 1, F.lit(n)).alias("n_points"), *stats)
+
+
+def _rolling(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Rolling statistics over n rows with running windows only, which add one row at a time.
 
-    def frame(w):
-        return w.rowsBetween(-(n - 1), 0)
+    A rolling sum is the running sum minus the one n rows before; sums run in decimals, so the
+    difference is exact (values too large for them are summed as doubles on the side). A
+    rolling minimum is the smaller of the running minimum from the start of the row's block of
+    n rows and the running minimum from the end of the block before, back to the frame's start.
+    """
+    running = Window.partitionBy(*keys).orderBy(POSITION)
+    block = [*keys, F.floor(F.col(POSITION) / n)]
+    forward = Window.partitionBy(*block).orderBy(POSITION)
+    backward = Window.partitionBy(*block).orderBy(F.col(POSITION).desc())
 
-    def columns(name: str):
+    def columns(name: str) -> dict[str, dict[str, Column]]:
         value = F.col(name)
+        small = value.try_cast("decimal(30,8)")
+        large = F.when(small.isNull(), value)
         return {
-            f"avg_{name}": lambda w: _windowed_avg(value, frame(w)),
-            f"min_{name}": lambda w: F.min(value).over(frame(w)),
-            f"max_{name}": lambda w: F.max(value).over(frame(w)),
+            "sums": {
+                f"_s_{name}": F.coalesce(F.sum(small).over(running), F.lit(0).cast("decimal(38,8)")),
+                f"_l_{name}": F.coalesce(F.sum(large).over(running), F.lit(0.0)),
+                f"_nl_{name}": F.count(large).over(running),
+                f"_n_{name}": F.count(value).over(running),
+            },
+            "forward": {f"_f{s}_{name}": fn(value).over(forward) for s, fn in _EXTREMES},
+            "backward": {f"_b{s}_{name}": fn(value).over(backward) for s, fn in _EXTREMES},
         }
 
-    exprs = {
-        "n_points": lambda w: F.least(F.col(POSITION) + 1, F.lit(n)),
-        **columns("temperature"),
-        **columns("vibration"),
-    }
-    slim = readings.select("motor_id", "arrival_seq", "temperature", "vibration")
-    out = over_chunks(slim, ["motor_id"], "arrival_seq", n - 1, exprs, span, max(chunk, n))
-    return out.select("motor_id", "arrival_seq", *exprs)
+    per_name = [columns("temperature"), columns("vibration")]
+    out = rows
+    for step in ("backward", "forward", "sums"):
+        out = out.select("*", *[c.alias(k) for part in per_name for k, c in part[step].items()])
+
+    def since(column: str) -> Column:
+        before = F.lag(column, n).over(running)
+        return F.col(column) - F.coalesce(before, F.lit(0).cast(out.schema[column].dataType))
+
+    stats = {}
+    for name in ("temperature", "vibration"):
+        many_large = since(f"_nl_{name}")
+        total = since(f"_s_{name}").cast("double") + F.when(many_large > 0, since(f"_l_{name}")).otherwise(0.0)
+        stats[f"avg_{name}"] = F.try_divide(total, since(f"_n_{name}"))
+        for s, pick in (("min", F.least), ("max", F.greatest)):
+            from_start = F.lag(f"_b{s}_{name}", n - 1).over(running)
+            stats[f"{s}_{name}"] = pick(F.col(f"_f{s}_{name}"), from_start)
+    return out.select(*rows.columns, *[c.alias(k) for k, c in stats.items()])
 
 
-def _windowed_avg(value: Column, window) -> Column:
-    as_decimal = value.try_cast("decimal(24,8)")
-    exact = F.sum(as_decimal).over(window).cast("double")
-    plain = F.sum(value).over(window)
-    whole = F.count(as_decimal).over(window) == F.count(value).over(window)
-    return F.try_divide(F.when(whole, exact).otherwise(plain), F.count(value).over(window))
+_EXTREMES = (("min", F.min), ("max", F.max))
 
 
 def effectively_disconnected(status: Column, temperature: Column, vibration: Column) -> Column:

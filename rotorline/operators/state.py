@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import epoch_millis
 from ..schemas import STATE_VALUES
 from .latest import latest_reading
-from .ordering import CHUNK, SPAN, over_chunks
+from .ordering import CHUNK, POSITION, SPAN, over_chunks
 
 THRESHOLD_MS = 10_000  # fixed value: a motor counts as connected for this long
 
@@ -60,8 +60,11 @@ _FIVE = ("temperature", "vibration", "status", "confidence", "event_ts")
 def changed_only(readings: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
     """Readings that differ in any of the five values from the one delivered before."""
     now = F.struct(*_FIVE)
-    exprs = {"_prev": lambda w: F.lag(now).over(w)}
-    out = over_chunks(readings, ["motor_id"], "arrival_seq", 1, exprs, span, chunk)
+
+    def previous(rows: DataFrame, chunk_keys: list[str]) -> DataFrame:
+        return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*chunk_keys).orderBy(POSITION)))
+
+    out = over_chunks(readings, ["motor_id"], "arrival_seq", 1, previous, span, chunk)
     return out.where(~now.eqNullSafe(F.col("_prev"))).select(*readings.columns)
 
 

@@ -144,7 +144,8 @@ CTES: dict[str, str] = {
 _STATE_COLS = "motor_id, company_id, motor_name, location"
 _OFF = "(coalesce(status, '') = 'Disconnected' OR temperature IS NULL OR vibration IS NULL)"
 _LOWER = "lower(coalesce(nullif(status, ''), 'unknown'))"
-_AGE = "epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(last_updated)"
+# Times are cut, not rounded, to milliseconds.
+_AGE = "epoch_us((SELECT max(ts) FROM events)) // 1000 - epoch_us(last_updated) // 1000"
 _BY_ARRIVAL = "PARTITION BY motor_id ORDER BY arrival_seq"
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ("motor_id", *[a[0] for a in fx.AXES], "temperature", "event_ts"))
 
@@ -437,7 +438,7 @@ SQL: dict[str, str] = {
                 (lag(temperature) OVER ({_BY_ARRIVAL}), lag(vibration) OVER ({_BY_ARRIVAL}), lag(status) OVER ({_BY_ARRIVAL}),
                  lag(confidence) OVER ({_BY_ARRIVAL}), lag(event_ts) OVER ({_BY_ARRIVAL}))""",
     "stream_connection_timeout": """
-        SELECT motor_id, 'Disconnected' AS connection, epoch_ms(event_ts) AS last_ms FROM arrived""",
+        SELECT motor_id, 'Disconnected' AS connection, epoch_us(event_ts) // 1000 AS last_ms FROM arrived""",
     "stream_motor_changes": f"""
         SELECT {_motor('c_custkey')} AS motor_id, 'company_' || c_nationkey AS company_id, c_name AS motor_name,
                c_mktsegment AS location, c_custkey AS arrival_seq FROM customer""",

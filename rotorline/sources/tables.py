@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.values import number_or_null
+from ..functions.values import finite_or_null
 
 
 def scan(table: DataFrame, cols: Sequence[str] | None = None, eq: Mapping[str, object] | None = None) -> DataFrame:
@@ -65,10 +65,10 @@ def restore_state(saved: DataFrame) -> DataFrame:
         F.col("s.id").alias("motor_id"),
         F.col("s.name").alias("motor_name"),
         F.col("s.location").alias("location"),
-        number_or_null(F.col("s.temperature")).alias("temperature"),
-        number_or_null(F.col("s.vibration")).alias("vibration"),
+        finite_or_null(F.col("s.temperature")).alias("temperature"),
+        finite_or_null(F.col("s.vibration")).alias("vibration"),
         F.col("s.status").alias("status"),
-        F.coalesce(number_or_null(F.col("s.confidence")), F.lit(0.0)).alias("confidence"),
+        F.coalesce(finite_or_null(F.col("s.confidence")), F.lit(0.0)).alias("confidence"),
         F.try_to_timestamp(F.nullif(F.col("s.lastUpdated"), F.lit(""))).alias("last_updated"),
     )
 

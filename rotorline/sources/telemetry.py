@@ -5,42 +5,45 @@ Every function is row-wise, so each works on a batch and on a stream and adds no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import ids
 from ..functions.values import (
-    UNKNOWN_STATUS, epoch_to_ts, lenient_number, number_or_null, or_default,
+    UNKNOWN_STATUS, epoch_to_ts, finite_or_null, lenient_number, or_default,
 )
 
 CORRUPT = "_corrupt"
 
 
-def _decoded(payload: Column) -> Column:
-    return F.from_json(payload, schemas.MESSAGE)
-
-
 def parse_telemetry(raw: DataFrame) -> DataFrame:
     """Messages as readings; malformed messages and those without a motor id are dropped.
 
     Unreadable numbers become NULL, a missing status 'Unknown', a missing confidence 0 and a
     missing time the arrival time.
     """
+    # The one-element explode is a barrier: a filter on a decoded field would otherwise move
+    # below the projection and decode every message a second time.
+    decoded = raw.withColumn("m", F.explode(F.array(F.from_json("payload", schemas.MESSAGE))))
     m = F.col("m")
-    return (
-        raw.withColumn("m", _decoded(F.col("payload")))
-        .where(F.nullif(m.motor_id, F.lit("")).isNotNull())
-        .select(
-            F.col("arrival_seq").alias("reading_id"),
-            m.motor_id.alias("motor_id"),
-            F.coalesce(epoch_to_ts(m.timestamp), F.col("arrival_ts").cast("timestamp")).alias("event_ts"),
-            F.col("arrival_seq"),
-            number_or_null(lenient_number(m.temperature)).alias("temperature"),
-            number_or_null(lenient_number(m.vibration)).alias("vibration"),
-            or_default(m.status, UNKNOWN_STATUS).alias("status"),
-            F.coalesce(number_or_null(m.confidence.try_cast("double")), F.lit(0.0)).alias("confidence"),
-        )
+    read = decoded.where(F.nullif(m.motor_id, F.lit("")).isNotNull()).select(
+        "arrival_seq", "arrival_ts", m.motor_id.alias("motor_id"),
+        m.timestamp.try_cast("double").alias("seconds"),
+        lenient_number(m.temperature).alias("temperature"),
+        lenient_number(m.vibration).alias("vibration"),
+        or_default(m.status, UNKNOWN_STATUS).alias("status"),
+        m.confidence.try_cast("double").alias("confidence"),
+    )
+    return read.select(
+        F.col("arrival_seq").alias("reading_id"),
+        "motor_id",
+        F.coalesce(epoch_to_ts(F.col("seconds")), F.col("arrival_ts").cast("timestamp")).alias("event_ts"),
+        "arrival_seq",
+        finite_or_null(F.col("temperature")).alias("temperature"),
+        finite_or_null(F.col("vibration")).alias("vibration"),
+        "status",
+        F.coalesce(finite_or_null(F.col("confidence")), F.lit(0.0)).alias("confidence"),
     )
 
 
