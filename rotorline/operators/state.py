@@ -14,6 +14,9 @@ from .ordering import CHUNK, POSITION, SPAN, over_chunks
 
 THRESHOLD_MS = 10_000  # fixed value: a motor counts as connected for this long
 
+# What a message says about its motor.
+_FIVE = ("temperature", "vibration", "status", "confidence", "event_ts")
+
 # The state of a motor that has not reported yet.
 INITIAL = {"temperature": None, "vibration": None, "status": "Disconnected", "confidence": 0.0}
 
@@ -34,7 +37,8 @@ def apply_messages(state: DataFrame, readings: DataFrame) -> DataFrame:
 
     Readings shrink to one row per motor before they meet the state.
     """
-    last = latest_reading(readings, "arrival").select(
+    slim = readings.select("motor_id", "arrival_seq", *_FIVE)
+    last = latest_reading(slim, "arrival").select(
         F.col("motor_id"),
         F.struct(
             "temperature", "vibration", "status", "confidence", F.col("event_ts").alias("last_updated")
@@ -54,9 +58,6 @@ def motor_state(motors: DataFrame, readings: DataFrame) -> DataFrame:
     return apply_messages(initial_state(motors, ts_type), readings)
 
 
-_FIVE = ("temperature", "vibration", "status", "confidence", "event_ts")
-
-
 def changed_only(readings: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
     """Readings that differ in any of the five values from the one delivered before."""
     now = F.struct(*_FIVE)

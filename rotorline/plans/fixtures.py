@@ -119,15 +119,16 @@ def readings_of(rows: DataFrame) -> DataFrame:
         lambda c, kv: c.when(F.col("event_type") == kv[0], kv[1]), list(STATUS_OF.items())[1:],
         F.when(F.col("event_type") == "view", STATUS_OF["view"]),
     ).otherwise("Unknown")
-    return rows.select(
+    k = F.col("k").cast("double")
+    return rows.withColumn("k", _k()).select(
         F.col("event_id").alias("reading_id"),
         motor_key("user_id").alias("motor_id"),
         F.col("ts").alias("event_ts"),
         (F.col("event_id") + F.when(F.col("event_id") % 10 == 0, 2500).otherwise(0)).alias("arrival_seq"),
         F.when(F.col("event_id") % 50 != 0, F.col("value")).alias("temperature"),
-        (_k().cast("double") / 1000).alias("vibration"),
+        (k / 1000).alias("vibration"),
         status.alias("status"),
-        F.when(F.col("event_type") == "signup", 0.0).otherwise(_k().cast("double")).alias("confidence"),
+        F.when(F.col("event_type") == "signup", 0.0).otherwise(k).alias("confidence"),
     )
 
 

@@ -1,0 +1,168 @@
+"""Latest readings, state, liveness and series."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import at, rows
+from rotorline.operators import alerts, latest, overview, series, state
+
+
+def test_latest_by_event_and_by_arrival_differ(make):
+    r = make.readings(("a", 10, 1), ("a", 5, 2), ("b", 7, 3), ("b", 7, 4))
+    assert rows(latest.latest_reading(r), "motor_id", "reading_id") == [("a", 0), ("b", 3)]
+    assert rows(latest.latest_reading(r, "arrival"), "motor_id", "reading_id") == [("a", 1), ("b", 3)]
+
+
+def test_messages_touch_registered_motors_only(make):
+    motors = make.motors(("a", "c1"), ("a", "c2"), ("b", "c1"))
+    got = state.motor_state(motors, make.readings(("a", 9, 1, 1.0), ("a", 3, 2, 2.0), ("x", 1, 3)))
+    assert rows(got, "company_id", "motor_id", "temperature", "status", "confidence", "last_updated") == [
+        ("c1", "a", 2.0, "Healthy", 90.0, at(3)), ("c1", "b", None, "Disconnected", 0.0, None),
+        ("c2", "a", 2.0, "Healthy", 90.0, at(3)),
+    ]
+
+
+def test_a_message_may_set_values_to_null(make):
+    motors = make.motors(("a", "c"))
+    first = state.motor_state(motors, make.readings(("a", 1, 1, 5.0)))
+    then = state.apply_messages(first, make.readings(("a", 2, 2, None)))
+    assert rows(then, "temperature", "last_updated") == [(None, at(2))]
+
+
+def test_changed_only(make):
+    r = make.readings(
+        ("a", 1, 1, None), ("a", 1, 2, None), ("a", 1, 3, 2.0), ("a", 2, 4, 2.0), ("a", 2, 5, 2.0), ("b", 2, 6, 2.0)
+    )
+    assert [x[0] for x in rows(state.changed_only(r), "arrival_seq")] == [1, 3, 4, 6]
+    assert rows(state.changed_only(state.changed_only(r))) == rows(state.changed_only(r))
+
+
+@pytest.mark.parametrize("status,age_ms,expected", [
+    ("Healthy", 9_999, "Connected"), ("Healthy", 10_000, "Disconnected"), ("Healthy", -5_000, "Connected"),
+    ("Unknown", 0, "Disconnected"), ("Disconnected", 0, "Disconnected"), (None, 0, "Connected"),
+    ("Healthy", None, "Disconnected"),
+])
+def test_connection_status(make, status, age_ms, expected):
+    ts = None if age_ms is None else at(100 - age_ms / 1000)
+    got = state.connection_status(make.state(("a", 1.0, 1.0, status, ts)), F.lit(at(100)))
+    assert got.first().connection == expected
+
+
+def test_fleet_connected(make):
+    now = F.lit(at(100))
+    live = ("a", 1.0, 1.0, "Unknown", at(99))
+    assert state.fleet_connected(make.state(live), now).first()[0] == "Connected"
+    for other in (("b", 1.0, 1.0, "Disconnected", at(99)), ("b", 1.0, 1.0, "Healthy", None), ("b", 1.0, 1.0, "Healthy", at(1))):
+        assert state.fleet_connected(make.state(live, other), now).first()[0] == "Mixed/Disconnected"
+    assert state.fleet_connected(make.state(live).where("false"), now).first()[0] == "Mixed/Disconnected"
+
+
+def test_live_card_and_status_class(make):
+    s = make.state(("a", 1.5, 0.5, "Healthy", None), ("b", None, 0.5, "Healthy", None), ("c", 1.0, 1.0, "Disconnected", None),
+                   ("d", 1.0, 1.0, None, None))
+    assert rows(series.live_card(s), "motor_id", "shown_temperature", "shown_vibration") == [
+        ("a", 1.5, 0.5), ("b", 0.0, 0.0), ("c", 0.0, 0.0), ("d", 1.0, 1.0)]
+    assert rows(alerts.status_class(s), "motor_id", "status_class") == [
+        ("a", "normal"), ("b", "normal"), ("c", ""), ("d", "")]
+
+
+@pytest.mark.parametrize("count", [1, 59, 60, 61])
+def test_buffer_and_padding(make, count):
+    r = make.readings(*[("a", i, i, float(i + 1) if i % 7 else None) for i in range(count)])
+    buffer = series.live_buffer(r)
+    points = buffer.first().points
+    assert [p.arrival_seq for p in points] == list(range(max(0, count - 60), count))
+    chart = series.padded_series(buffer, make.state(("a", 1.0, 1.0, "Healthy", at(1)), ("b", 1.0, 1.0, "Healthy", at(1)),
+                                                    ("a", 1.0, None, "Healthy", at(1))))
+    a, gone, b = sorted(chart.collect(), key=lambda x: (x.motor_id, x.vibration is None))
+    assert a.temperature_series == [0.0] * (60 - len(points)) + [p.temperature for p in points]
+    assert len(a.labels) == len(a.vibration_series) == 60
+    assert b.temperature_series == gone.temperature_series == [0.0] * 60
+    assert gone.labels == a.labels and b.labels == [""] * 60
+    last = series.buffer_last(buffer).first()
+    assert last.temperature == points[-1].temperature
+
+
+def test_prediction_view_prefers_live_points(make):
+    s = make.state(("a", 1.0, 1.0, "Healthy", at(1)), ("b", 2.0, 2.0, "Fault", at(2)))
+    buffer = series.live_buffer(make.readings(("a", 50, 1, None, 0.7)))
+    assert rows(state.prediction_view(s, buffer), "motor_id", "temperature", "vibration", "status", "last_checked") == [
+        ("a", None, 0.7, "Healthy", at(50)), ("b", 2.0, 2.0, "Fault", at(2))]
+
+
+def brute_rolling(readings, n):
+    out = []
+    for motor in {r.motor_id for r in readings}:
+        seen = []
+        for r in sorted((r for r in readings if r.motor_id == motor), key=lambda r: r.arrival_seq):
+            seen = (seen + [r])[-n:]
+            row = [motor, r.arrival_seq, len(seen)]
+            for name in ("temperature", "vibration"):
+                xs = [getattr(x, name) for x in seen if getattr(x, name) is not None]
+                row += [sum(xs) / len(xs) if xs else None, min(xs, default=None), max(xs, default=None)]
+            out.append(tuple(row))
+    return sorted(out, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("n,span,chunk", [(1, 3, 1), (5, 7, 5), (5, 1000, 12), (60, 50, 60), (60, 16, 180), (7, 1, 70)])
+def test_rolling_points_split_anywhere(make, n, span, chunk):
+    rnd = random.Random(n * span)
+    seqs = rnd.sample(range(2000), 500)
+    data = make.readings(*[
+        (rnd.choice(["hot", "hot", "hot", "a", "b"]), i, q, rnd.choice([None, round(rnd.uniform(-50, 90), 2)]),
+         round(rnd.uniform(0, 1), 3)) for i, q in enumerate(seqs)
+    ])
+    got = sorted((tuple(r) for r in series.rolling_points(data, n, span, chunk).collect()), key=lambda r: r[:2])
+    want = brute_rolling(data.collect(), n)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3] and g[4:6] == w[4:6] and g[7:9] == w[7:9]
+        assert g[3] == pytest.approx(w[3]) and g[6] == pytest.approx(w[6])
+
+
+def test_rolling_average_with_huge_values(make):
+    data = make.readings(("a", 1, 1, 1e30), ("a", 2, 2, 1.0), ("a", 3, 3, 3.0))
+    got = series.rolling_points(data, 2).orderBy("arrival_seq").collect()
+    assert [r.avg_temperature for r in got] == [1e30, 5e29, 2.0]
+
+
+@pytest.mark.parametrize("span,chunk", [(1, 1), (3, 2), (100, 5)])
+def test_changed_only_split_anywhere(make, span, chunk):
+    rnd = random.Random(span)
+    data = make.readings(*[("hot" if i % 3 else "b", 0, i, float(rnd.randrange(2))) for i in range(80)])
+    last, want = {}, []
+    for r in sorted(data.collect(), key=lambda r: r.arrival_seq):
+        if last.get(r.motor_id) != r.temperature:
+            want.append(r.arrival_seq)
+        last[r.motor_id] = r.temperature
+    assert sorted(r.arrival_seq for r in state.changed_only(data, span, chunk).collect()) == want
+
+
+def test_overview_null_policies_and_empty_fleet(make):
+    s = make.state(("a", 10.0, 0.2, "HEALTHY", None), ("b", None, None, "", None), ("c", 20.0, 0.4, "warning", None))
+    zero = overview.overview_summary(s).first()
+    assert (zero.total_motors, zero.healthy, zero.warning, zero.fault, zero.avg_temperature) == (3, 1, 1, 0, 10.0)
+    assert overview.overview_summary(s, null_policy="skip").first().avg_temperature == 15.0
+    empty = overview.overview_summary(s.where("false")).first()
+    assert tuple(empty) == (0, 0, 0, 0, 0.0, 0.0)
+    counts = overview.prediction_status_counts(s).first()
+    assert sum(counts) == 3 and counts.unknown == 1
+    assert rows(overview.status_distribution(s.where("false"))) == [("Fault", 0, 0.0), ("Healthy", 0, 0.0), ("Warning", 0, 0.0)]
+
+
+def test_daily_trend_keeps_empty_days(make):
+    day = 86400
+    r = make.readings(("a", 0, 1, 10.0), ("a", day - 1, 2, 20.0), ("a", 2 * day, 3, None), ("a", 9 * day, 4, 1.0))
+    got = overview.daily_trend(r, F.lit(at(3 * day + 5)), days=4).orderBy("day").collect()
+    assert [(x.n, x.avg_temperature) for x in got] == [(2, 15.0), (0, None), (1, None), (0, None)]
+    assert [x.label for x in got] == ["Mon", "Tue", "Wed", "Thu"]
+
+
+def test_risk_is_strict_and_models_plug_in(make):
+    r = make.readings(("a", 1, 1, 2.0, 0.04), ("a", 2, 2, 2.0, 0.0401), ("a", 3, 3, 2.0, None))
+    assert [x.risk_level for x in alerts.score(r).orderBy("arrival_seq").collect()] == ["Low", "High", "Low"]
+    doubled = alerts.score(r, lambda t, v: t * 2, "out")
+    pandas_doubled = alerts.score(r, lambda t, v: t * 2, "out", doubled.schema["out"].dataType)
+    assert rows(doubled, "reading_id", "out") == rows(pandas_doubled, "reading_id", "out")
