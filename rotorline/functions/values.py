@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,28 @@ def epoch_to_ts(seconds: Column) -> Column:
     return F.timestamp_millis(millis)
 
 
+EVENT_DATE = "event_date"
+
+
+def in_period(columns: Sequence[str], low: Column | None = None, before: Column | None = None,
+              until: Column | None = None) -> Column:
+    """`low` <= event time, < `before`, <= `until`; where given.
+
+    A table that is stored by date is tested on its date as well, so that only the folders of
+    the period are read.
+    """
+    ts, day = F.col("event_ts"), F.col(EVENT_DATE)
+    by_date = EVENT_DATE in columns
+    tests = [F.lit(True)]
+    if low is not None:
+        tests += [ts >= low] + [day >= low.cast("date")] * by_date
+    if before is not None:
+        tests += [ts < before] + [day <= before.cast("date")] * by_date
+    if until is not None:
+        tests += [ts <= until] + [day <= until.cast("date")] * by_date
+    return reduce(lambda a, b: a & b, tests)
+
+
 def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

@@ -31,6 +31,16 @@ def rls_fanout(rows: DataFrame, motors: DataFrame) -> DataFrame:
     return rows.join(owners, "motor_id").select("company_id", *rows.columns)
 
 
+def _with_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left outer join whose right side may be skewed.
+
+    Adaptive execution cannot split the right side of an outer join, so this is an inner join,
+    of which it splits either side, and the left rows without a partner.
+    """
+    unmatched = left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(right, key).unionByName(unmatched, allowMissingColumns=True)
+
+
 def fleet_rollup(users: DataFrame, motors: DataFrame, readings: DataFrame) -> DataFrame:
     """Every user with every motor and a summary of its readings (zero for none).
 
@@ -43,8 +53,7 @@ def fleet_rollup(users: DataFrame, motors: DataFrame, readings: DataFrame) -> Da
     )
     owned = motors.select(F.col("company_id").alias("id"), "motor_id", "motor_name")
     return (
-        users.select("id", "name")
-        .join(owned, "id", "left")
+        _with_all(users.select("id", "name"), owned, "id")
         .join(per_motor, "motor_id", "left")
         .select(
             F.col("id").alias("user_id"), "name", "motor_id", "motor_name",
@@ -55,16 +64,8 @@ def fleet_rollup(users: DataFrame, motors: DataFrame, readings: DataFrame) -> Da
 
 
 def fleet_navigation(users: DataFrame, motors: DataFrame, readings: DataFrame) -> DataFrame:
-    """Every (user, motor, reading), keeping users without motors and motors without readings.
-
-    Two left joins in effect, written as an inner join plus the motors that never reported: in
-    an outer join the readings would be the side that adaptive execution cannot split.
-    """
-    owned = (
-        users.select(F.col("id").alias("user_id"))
-        .join(motors.select(F.col("company_id").alias("user_id"), "motor_id"), "user_id", "left")
-    )
-    cols = ["user_id", "motor_id", "reading_id"]
-    reported = readings.select("motor_id", "reading_id").join(owned, "motor_id").select(*cols)
-    silent = owned.join(readings.select("motor_id").distinct(), "motor_id", "left_anti")
-    return reported.unionByName(silent, allowMissingColumns=True)
+    """Every (user, motor, reading), keeping users without motors and motors without readings."""
+    by_owner = motors.select(F.col("company_id").alias("user_id"), "motor_id")
+    owned = _with_all(users.select(F.col("id").alias("user_id")), by_owner, "user_id")
+    reported = _with_all(owned, readings.select("motor_id", "reading_id"), "motor_id")
+    return reported.select("user_id", "motor_id", "reading_id")

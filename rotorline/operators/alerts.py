@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import units
-from ..functions.values import normalise_status
+from ..functions.values import in_period, normalise_status
 
 VIBRATION_CUT = 0.04  # fixed value: vibration above this is a high risk
 
@@ -124,4 +124,5 @@ def retention_filter(df: DataFrame, as_of: Column, months: int | Column = DEFAUL
         if not low <= months <= high:
             raise ValueError(f"months must lie in {low}..{high}")
         months = F.lit(months)
-    return df.where(F.col("event_ts") >= as_of - F.make_ym_interval(F.lit(0), months.cast("int")))
+    oldest = as_of - F.make_ym_interval(F.lit(0), months.cast("int"))
+    return df.where(in_period(df.columns, oldest))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
+from ..functions.values import in_period
 from .latest import first_per
 
 PAGE_SIZE = 5  # fixed value
@@ -60,20 +61,18 @@ def history_filter(
 
     The end date stands for its midnight, inclusive; `end_of_day` takes in the whole day.
     """
-    ts = F.col("event_ts")
-    tests = []
-    if start:
-        tests.append(ts >= _midnight(start))
-    if end and end_of_day:
-        tests.append(ts < _midnight(end) + F.expr("INTERVAL 1 DAY"))
-    elif end:
-        tests.append(ts <= _midnight(end))
+    low = _midnight(start) if start else None
+    last = _midnight(end) if end else None
+    if end_of_day and end:
+        period = in_period(log.columns, low, before=last + F.expr("INTERVAL 1 DAY"))
+    else:
+        period = in_period(log.columns, low, until=last)
+    tests = [period]
     if motor != ALL:
         tests.append(F.col("motor") == motor)
     if status != ALL:
         tests.append(F.col("status") == status)
-    wanted = log.where(reduce(lambda a, b: a & b, tests)) if tests else log
-    return known_motors(wanted, motors)
+    return known_motors(log.where(reduce(lambda a, b: a & b, tests)), motors)
 
 
 def _order(key: str, desc: bool) -> list[Column]:

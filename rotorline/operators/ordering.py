@@ -1,11 +1,11 @@
-"""Ordered work inside a key without ever holding the whole key in one task.
+"""Ordered work inside a key without ever holding a large key in one task.
 
 A plain window over a key sorts all of its rows in one task, which fails once a single motor
-holds a third of the data. Here each key is first cut into spans of its sequence column, rows
-are counted per span and numbered inside it, and the sum of the earlier counts makes the
-number exact for the whole key. Chunks of equal length follow from that number; each chunk
-also receives the last few rows before it, so that a window over (key, chunk) sees the same
-frame as one over the key.
+holds a third of the data. So the keys are counted first. Keys of ordinary size take the plain
+window: one shuffle. A heavy key is cut into spans of its sequence column; rows are counted per
+span and numbered inside it, and the sum of the earlier counts makes the number exact for the
+whole key. Chunks of equal length follow from that number; each also receives the last few rows
+before it, so that a window over (key, chunk) sees the same frame as one over the key.
 """
 
 from __future__ import annotations
@@ -19,11 +19,26 @@ from pyspark.sql import functions as F
 SPAN = 1 << 20
 CHUNK = 1 << 16
 
+# No more than this many keys can each hold more than this fraction of the rows, which bounds
+# the list of heavy keys that is broadcast.
+MOST_HEAVY = 100_000
+
 POSITION, _SPAN, _CHUNK, _CONTEXT = "_pos", "_span", "_chunk", "_is_context"
 
 
-def _null_safe_equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_k_{n}"]) for n in names])
+
+
+def _as_keys(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [F.col(n).alias(f"_k_{n}") for n in names]
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int = SPAN) -> DataFrame:
+    """Keys with more than `rows` rows and more than their share of all rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = sizes.agg(F.sum("_n") / MOST_HEAVY).scalar()
+    return sizes.where((F.col("_n") > rows) & (F.col("_n") > share)).select(*_as_keys(sizes, keys))
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
@@ -36,17 +51,11 @@ def with_positions(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPA
     starts = (
         cut.groupBy(*keys, _SPAN)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col(_SPAN).alias("_k_span"),
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
-        )
+        .select(*_as_keys(cut, [*keys, _SPAN]), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy(*keys, _SPAN).orderBy(seq)
-    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1)
-    pairs = [(k, f"_k_{k}") for k in keys] + [(_SPAN, "_k_span")]
-    joined = ranked.join(starts, _null_safe_equal(ranked, starts, pairs))
-    return joined.withColumn(POSITION, F.col("_start") + F.col("_rank")).select(*df.columns, POSITION)
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, _SPAN).orderBy(seq)) - 1)
+    joined = ranked.join(starts, _same_keys(ranked, starts, [*keys, _SPAN]))
+    return joined.select(*df.columns, (F.col("_start") + F.col("_rank")).alias(POSITION))
 
 
 def chunked(positioned: DataFrame, context: int, chunk: int = CHUNK) -> DataFrame:
@@ -60,15 +69,23 @@ def chunked(positioned: DataFrame, context: int, chunk: int = CHUNK) -> DataFram
     ).withColumn(_CONTEXT, F.col(_CHUNK) != own)
 
 
-def over_chunks(
+def in_order(
     df: DataFrame, keys: Sequence[str], seq: str, context: int, compute: Callable[[DataFrame, list[str]], DataFrame],
     span: int = SPAN, chunk: int = CHUNK,
 ) -> DataFrame:
-    """Runs `compute` on chunks that carry the `context` rows before them.
+    """Runs `compute` on the rows of each key in the order of `seq`.
 
-    `compute(rows, chunk_keys)` adds columns with windows over `chunk_keys` ordered by
-    `POSITION`; the repeated rows are dropped afterwards.
+    `compute(rows, window_keys)` adds columns with windows over `window_keys` ordered by
+    `POSITION` that look back at most `context` rows. Keys of more than `span` rows are cut.
     """
-    split = chunked(with_positions(df, keys, seq, span), context, chunk)
-    out = compute(split, [*keys, _CHUNK])
-    return out.where(~F.col(_CONTEXT)).drop(_CHUNK, _CONTEXT)
+    keys = list(keys)
+    heavy = F.broadcast(heavy_keys(df, keys, span))
+    is_heavy = _same_keys(df, heavy, keys)
+
+    light_rows = df.join(heavy, is_heavy, "left_anti")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(seq)).cast("bigint") - 1
+    light = compute(light_rows.withColumn(POSITION, rank), keys)
+
+    heavy_rows = df.join(heavy, is_heavy, "left_semi")
+    cut = compute(chunked(with_positions(heavy_rows, keys, seq, span), context, chunk), [*keys, _CHUNK])
+    return light.unionByName(cut.where(~F.col(_CONTEXT)).drop(_CHUNK, _CONTEXT))

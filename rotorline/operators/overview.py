@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import exact_avg, normalise_status
+from ..functions.values import exact_avg, in_period, normalise_status
 
 COUNTED = ("healthy", "warning", "fault")
 
@@ -69,10 +69,9 @@ def daily_trend(readings: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     )
     from_midnight = F.date_sub(last, days - 1).cast("timestamp_ntz")
     before = F.date_add(last, 1).cast("timestamp_ntz")
-    ts = F.col("event_ts")
     daily = (
-        readings.where((ts >= from_midnight) & (ts < before))
-        .groupBy(F.to_date(ts).alias("day"))
+        readings.where(in_period(readings.columns, from_midnight, before))
+        .groupBy(F.to_date("event_ts").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             exact_avg(F.col("temperature"), F.count("temperature")).alias("avg_temperature"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import CHUNK, POSITION, SPAN, over_chunks
+from .ordering import CHUNK, POSITION, SPAN, in_order
 
 POINTS = 60  # fixed value: length of the live buffer
 
@@ -61,7 +61,7 @@ def rolling_points(readings: DataFrame, n: int = POINTS, span: int = SPAN, chunk
     """
     slim = readings.select("motor_id", "arrival_seq", "temperature", "vibration")
     whole_blocks = max(1, chunk // n) * n
-    out = over_chunks(
+    out = in_order(
         slim, ["motor_id"], "arrival_seq", n - 1, lambda rows, keys: _rolling(rows, keys, n), span, whole_blocks
     )
     stats = [f"{s}_{name}" for name in ("temperature", "vibration") for s in ("avg", "min", "max")]

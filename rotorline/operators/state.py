@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import epoch_millis
 from ..schemas import STATE_VALUES
 from .latest import latest_reading
-from .ordering import CHUNK, POSITION, SPAN, over_chunks
+from .ordering import CHUNK, POSITION, SPAN, in_order
 
 THRESHOLD_MS = 10_000  # fixed value: a motor counts as connected for this long
 
@@ -62,10 +62,10 @@ def changed_only(readings: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> D
     """Readings that differ in any of the five values from the one delivered before."""
     now = F.struct(*_FIVE)
 
-    def previous(rows: DataFrame, chunk_keys: list[str]) -> DataFrame:
-        return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*chunk_keys).orderBy(POSITION)))
+    def previous(rows: DataFrame, window_keys: list[str]) -> DataFrame:
+        return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*window_keys).orderBy(POSITION)))
 
-    out = over_chunks(readings, ["motor_id"], "arrival_seq", 1, previous, span, chunk)
+    out = in_order(readings, ["motor_id"], "arrival_seq", 1, previous, span, chunk)
     return out.where(~now.eqNullSafe(F.col("_prev"))).select(*readings.columns)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.values import finite_or_null
+from ..functions.values import EVENT_DATE, finite_or_null
 
 
 def scan(table: DataFrame, cols: Sequence[str] | None = None, eq: Mapping[str, object] | None = None) -> DataFrame:
@@ -40,8 +40,13 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def append_log(log: DataFrame, path: str) -> None:
-    """Append history rows under a date folder, which date filters then prune."""
-    append(log.withColumn("event_date", F.to_date("event_ts")), path, ["event_date"])
+    """Append history rows under a folder per date.
+
+    Rows are rebalanced by date, so that a date gets files of a good size instead of one from
+    every task, and a very full date is split; sorting by motor lets readers of one motor skip.
+    """
+    dated = log.withColumn(EVENT_DATE, F.to_date("event_ts")).hint("rebalance", EVENT_DATE)
+    append(dated.sortWithinPartitions(EVENT_DATE, "motor_id"), path, [EVENT_DATE])
 
 
 def to_saved(state: DataFrame) -> DataFrame:

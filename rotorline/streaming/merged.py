@@ -48,8 +48,12 @@ class MergedTable:
         if batch_id % self.snapshot_every == self.snapshot_every - 1:
             write_batch(self.read(batch.sparkSession), f"{self.path}/full", batch_id)
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """The merged content; `before` leaves out that batch and all later ones."""
+    def read(self, spark: SparkSession, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The merged content.
+
+        `before` leaves out that batch and all later ones, `only` all rows but those whose keys
+        (the columns of `only`) it lists, before anything is merged.
+        """
         delta = read_batches(spark, f"{self.path}/delta", self.schema)
         full = read_batches(spark, f"{self.path}/full", self.schema)
         if before is None:
@@ -59,6 +63,9 @@ class MergedTable:
             delta, complete = delta.where(F.col("batch_id") < before), F.col("batch_id") < before
         base = full.where(complete).agg(F.max("batch_id")).first()[0]
         if base is None:
-            return self.merge(delta.select(*self.schema.names))
-        rows = full.where(F.col("batch_id") == base).unionByName(delta.where(F.col("batch_id") > base))
+            rows = delta
+        else:
+            rows = full.where(F.col("batch_id") == base).unionByName(delta.where(F.col("batch_id") > base))
+        if only is not None:
+            rows = rows.join(only, only.columns, "left_semi")
         return self.merge(rows.select(*self.schema.names))

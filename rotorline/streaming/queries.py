@@ -29,6 +29,19 @@ AVAILABLE_NOW = {"availableNow": True}
 BatchFn = Callable[[DataFrame, int], None]
 
 
+def _kept(fn: BatchFn) -> BatchFn:
+    """Keep a batch that is used several times; what an executor loses is computed again."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            fn(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def on_batch(stream: DataFrame, fn: BatchFn, checkpoint: str, trigger: dict | None = None,
              mode: str = "append") -> StreamingQuery:
     """Call `fn(batch, batch_id)` on every micro-batch; after a failure a batch may come again."""
@@ -134,15 +147,14 @@ def stream_changed_only(readings: DataFrame, target: str, checkpoint: str,
     table = state_table(f"{target}/state", readings.schema, **options)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch.sparkSession, before=batch_id)
         reporting = batch.select("motor_id").distinct()
-        seeds = before.join(reporting, "motor_id", "left_semi").select(*readings.columns)
+        seeds = table.read(batch.sparkSession, before=batch_id, only=reporting)
         both = batch.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)))
         fresh = changed_only(both).where(~F.col("_seed")).drop("_seed")
         write_batch(fresh, f"{target}/changes", batch_id)
         table.put(batch, batch_id)
 
-    return on_batch(readings, store, checkpoint, trigger)
+    return on_batch(readings, _kept(store), checkpoint, trigger)
 
 
 def changes(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
@@ -160,14 +172,14 @@ def stream_motor_changes(motors: DataFrame, target: str, checkpoint: str, keys:
     table = MergedTable(f"{target}/state", motors.schema, newest, **options)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch.sparkSession, before=batch_id)
+        before = table.read(batch.sparkSession, before=batch_id, only=batch.select(*keys).distinct())
         old = before.select(*keys, F.struct(*values).alias("_old"))
         joined = newest(batch).join(old, list(keys), "left")
         changed = joined.where(~F.struct(*values).eqNullSafe(F.col("_old"))).select(*motors.columns)
         write_batch(changed, f"{target}/changes", batch_id)
         table.put(batch, batch_id)
 
-    return on_batch(motors, store, checkpoint, trigger)
+    return on_batch(motors, _kept(store), checkpoint, trigger)
 
 
 def subscribe_readings(readings: DataFrame, motor: str, fn: BatchFn, checkpoint: str,
