@@ -75,8 +75,8 @@ def in_order(
 ) -> DataFrame:
     """Runs `compute` on the rows of each key in the order of `seq`.
 
-    `compute(rows, window_keys)` adds columns with windows over `window_keys` ordered by
-    `POSITION` that look back at most `context` rows. Keys of more than `span` rows are cut.
+    `compute(rows, window_keys)` adds columns with windows over `window_keys` ordered by `seq`
+    that look back at most `context` rows. Keys of more than `span` rows are cut.
     """
     keys = list(keys)
     heavy = F.broadcast(heavy_keys(df, keys, span))

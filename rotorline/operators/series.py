@@ -76,10 +76,10 @@ def _rolling(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     rolling minimum is the smaller of the running minimum from the start of the row's block of
     n rows and the running minimum from the end of the block before, back to the frame's start.
     """
-    running = Window.partitionBy(*keys).orderBy(POSITION)
+    running = Window.partitionBy(*keys).orderBy("arrival_seq")
     block = [*keys, F.floor(F.col(POSITION) / n)]
-    forward = Window.partitionBy(*block).orderBy(POSITION)
-    backward = Window.partitionBy(*block).orderBy(F.col(POSITION).desc())
+    forward = Window.partitionBy(*block).orderBy("arrival_seq")
+    backward = Window.partitionBy(*block).orderBy(F.col("arrival_seq").desc())
 
     def columns(name: str) -> dict[str, dict[str, Column]]:
         value = F.col(name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import epoch_millis
 from ..schemas import STATE_VALUES
 from .latest import latest_reading
-from .ordering import CHUNK, POSITION, SPAN, in_order
+from .ordering import CHUNK, SPAN, in_order
 
 THRESHOLD_MS = 10_000  # fixed value: a motor counts as connected for this long
 
@@ -63,7 +63,7 @@ def changed_only(readings: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> D
     now = F.struct(*_FIVE)
 
     def previous(rows: DataFrame, window_keys: list[str]) -> DataFrame:
-        return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*window_keys).orderBy(POSITION)))
+        return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*window_keys).orderBy("arrival_seq")))
 
     out = in_order(readings, ["motor_id"], "arrival_seq", 1, previous, span, chunk)
     return out.where(~now.eqNullSafe(F.col("_prev"))).select(*readings.columns)

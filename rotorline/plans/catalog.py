@@ -358,12 +358,12 @@ def _(s, d):
     return _cascade(s, d)[1]
 
 
-@query("cascade_delete_readings")
+@query("cascade_delete")
 def _(s, d):
     return _cascade(s, d)[2]
 
 
-@query("remove_motor_state")
+@query("remove_motor")
 def _(s, d):
     left, _ = state.remove_motors(_state(s, d), _buffer(s, d), fx.retired_motors(s, d))
     return left.drop(*NOT_READ)

@@ -117,7 +117,7 @@ CTES: dict[str, str] = {
         FROM f_deliveries LEFT JOIN names USING (motor_id)""",
     "known": "SELECT * FROM log WHERE motor IN (SELECT motor_name FROM f_motors)",
     "buffer": """
-        SELECT motor_id, row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq) - 1 AS slot,
+        SELECT motor_id, CAST(row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq) - 1 AS INTEGER) AS slot,
                event_ts, temperature, vibration
         FROM (SELECT * FROM f_deliveries
               QUALIFY row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq DESC) <= 60)""",
@@ -319,8 +319,8 @@ SQL: dict[str, str] = {
         FROM f_users u LEFT JOIN f_motors m ON m.company_id = u.id LEFT JOIN f_readings r ON r.motor_id = m.motor_id""",
     "cascade_delete_users": "SELECT * FROM f_users WHERE id NOT IN (SELECT id FROM f_departed)",
     "cascade_delete_motors": "SELECT * FROM f_motors WHERE company_id NOT IN (SELECT id FROM f_departed)",
-    "cascade_delete_readings": "SELECT * FROM f_readings WHERE motor_id NOT IN (SELECT motor_id FROM gone_motors)",
-    "remove_motor_state": f"""
+    "cascade_delete": "SELECT * FROM f_readings WHERE motor_id NOT IN (SELECT motor_id FROM gone_motors)",
+    "remove_motor": f"""
         SELECT {_STATE_COLS}, temperature, vibration, status, confidence, last_updated FROM state
         WHERE motor_id NOT IN (SELECT motor_id FROM f_retired)""",
     "remove_motor_buffer": "SELECT * FROM buffer WHERE motor_id NOT IN (SELECT motor_id FROM f_retired)",

@@ -5,7 +5,7 @@ Every function is row-wise, so each works on a batch and on a stream and adds no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -14,7 +14,17 @@ from ..functions.values import (
     UNKNOWN_STATUS, epoch_to_ts, finite_or_null, lenient_number, or_default,
 )
 
-CORRUPT = "_corrupt"
+# JSON as the bus defines it: no single quotes, no bare NaN.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _decoded(payload: Column) -> Column:
+    """The payload as the only element of a JSON array, so that anything after it is an error."""
+    return F.from_json(F.concat(F.lit("["), payload, F.lit("]")), schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
+
+
+def _is_one_object(messages: Column) -> Column:
+    return F.coalesce((F.size(messages) == 1) & F.get(messages, F.lit(0)).isNotNull(), F.lit(False))
 
 
 def parse_telemetry(raw: DataFrame) -> DataFrame:
@@ -25,9 +35,9 @@ def parse_telemetry(raw: DataFrame) -> DataFrame:
     """
     # The one-element explode is a barrier: a filter on a decoded field would otherwise move
     # below the projection and decode every message a second time.
-    decoded = raw.withColumn("m", F.explode(F.array(F.from_json("payload", schemas.MESSAGE))))
-    m = F.col("m")
-    read = decoded.where(F.nullif(m.motor_id, F.lit("")).isNotNull()).select(
+    decoded = raw.withColumn("ms", F.explode(F.array(_decoded(F.col("payload")))))
+    m = F.get("ms", 0)
+    read = decoded.where(_is_one_object(F.col("ms")) & F.nullif(m.motor_id, F.lit("")).isNotNull()).select(
         "arrival_seq", "arrival_ts", m.motor_id.alias("motor_id"),
         m.timestamp.try_cast("double").alias("seconds"),
         lenient_number(m.temperature).alias("temperature"),
@@ -48,10 +58,14 @@ def parse_telemetry(raw: DataFrame) -> DataFrame:
 
 
 def malformed_telemetry(raw: DataFrame) -> DataFrame:
-    """Messages that are not valid JSON, whole, for the quarantine table."""
-    schema = schemas.T.StructType(schemas.MESSAGE.fields + [schemas.T.StructField(CORRUPT, schemas.T.StringType())])
-    decoded = F.from_json(F.col("payload"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return raw.where(decoded[CORRUPT].isNotNull() | F.col("payload").isNull())
+    """Messages that are not valid JSON, whole, for the quarantine table.
+
+    JSON that is no object (a number, say) names no motor and is dropped without being kept here.
+    """
+    payload = F.col("payload")
+    names_no_object = ~F.ltrim(payload).startswith("{") & (F.trim(payload) != "")
+    other_json = names_no_object & F.is_variant_null(F.try_parse_json(payload)).eqNullSafe(False)
+    return raw.where(~_is_one_object(_decoded(payload)) & ~F.coalesce(other_json, F.lit(False)))
 
 
 def with_topic_motor(raw: DataFrame) -> DataFrame:

@@ -94,6 +94,27 @@ def test_quarantine_takes_exactly_the_malformed(make):
     assert [r.arrival_seq for r in telemetry.malformed_telemetry(raw).orderBy("arrival_seq").collect()] == [0, 3, 4]
 
 
+@pytest.mark.parametrize("payload", [
+    '{"motor_id":"a"} x', '{"motor_id":"a"}{"motor_id":"b"}', '{"motor_id":"a"},{"motor_id":"b"}', "{'motor_id':'a'}",
+    '{"motor_id":"a","temperature":NaN}', '{"motor_id":"a",}', "", "  ", "null",
+])
+def test_json_is_read_strictly(make, payload):
+    raw = make.of(RAW, ("t", payload, 1, at(1)))
+    assert telemetry.parse_telemetry(raw).count() == 0
+    assert telemetry.malformed_telemetry(raw).count() == 1
+
+
+@pytest.mark.parametrize("payload", ["5", '"t"', "true", '[{"motor_id":"a"}]'])
+def test_json_without_a_motor_is_dropped_silently(make, payload):
+    raw = make.of(RAW, ("t", payload, 1, at(1)))
+    assert telemetry.parse_telemetry(raw).count() == 0
+    assert telemetry.malformed_telemetry(raw).count() == 0
+
+
+def test_last_of_repeated_keys_counts(make):
+    assert rows(parsed(make, '{"motor_id":"a","motor_id":"b"}'), "motor_id") == [("b",)]
+
+
 def test_subscription_diff(make):
     have = make.of("topic string", ("a",), ("b",), ("b",))
     want = make.of("topic string", ("b",), ("c",), ("c",))
