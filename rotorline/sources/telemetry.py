@@ -64,7 +64,8 @@ def malformed_telemetry(raw: DataFrame) -> DataFrame:
     """
     payload = F.col("payload")
     names_no_object = ~F.ltrim(payload).startswith("{") & (F.trim(payload) != "")
-    other_json = names_no_object & F.is_variant_null(F.try_parse_json(payload)).eqNullSafe(False)
+    value = F.try_parse_json(payload)
+    other_json = names_no_object & value.isNotNull() & ~F.is_variant_null(value)
     return raw.where(~_is_one_object(_decoded(payload)) & ~F.coalesce(other_json, F.lit(False)))
 
 
