@@ -131,6 +131,16 @@ def history_page_after(log: DataFrame, last_ts: Column, last_seq: Column, size:
     return history_sort(log.where((ts < last_ts) | ((ts == last_ts) & (seq > last_seq)))).limit(size)
 
 
+def history_last_page(log: DataFrame, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True) -> DataFrame:
+    """The last page, as a top-k sort from the other end."""
+    rows_on_it = log.agg(F.pmod(F.count(F.lit(1)) - 1, F.lit(size)) + 1).scalar()
+    from_end = [F.col(key).asc() if desc else F.col(key).desc(), F.col("arrival_seq").desc()]
+    tail = log.orderBy(*from_end).limit(size)
+    place = F.row_number().over(Window.orderBy(*from_end))  # over at most `size` rows
+    kept = tail.withColumn("_place", place).where(F.col("_place") <= rows_on_it).drop("_place")
+    return history_sort(kept, key, desc)
+
+
 def history_pages(log: DataFrame, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True) -> DataFrame:
     """The whole log with its `page` and `slot` on the page."""
     pos = F.col("position")

@@ -526,6 +526,11 @@ def _(s, d):
     return history.history_page_after(log, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), F.lit(0))
 
 
+@query("history_last_page")
+def _(s, d):
+    return history.history_last_page(_log(s, d), key="motor")
+
+
 @query("history_pages")
 def _(s, d):
     return history.history_pages(_log(s, d), key="status", desc=True).select("log_id", "status", "page", "slot")

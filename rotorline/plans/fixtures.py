@@ -162,7 +162,7 @@ def repeats(spark: SparkSession, d: str) -> DataFrame:
 def telemetry_of(rows: DataFrame) -> DataFrame:
     """Raw messages: malformed, without id, odd numbers, no time, missing or empty status."""
     eid = F.col("event_id")
-    k = _k().cast("string")
+    k = F.col("k").cast("string")
     temperature = F.when(eid % 71 == 0, "n/a").otherwise(F.col("value").cast("decimal(10,2)").cast("string"))
     suffix = F.when(eid % 83 == 0, "abc").otherwise("")
     seconds = F.when(eid % 79 == 0, "0").otherwise(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
@@ -175,7 +175,7 @@ def telemetry_of(rows: DataFrame) -> DataFrame:
         F.lit('{"motor_id":"'), motor_key("user_id"), F.lit('","temperature":"'), temperature, suffix,
         F.lit('","vibration":0.0'), F.lpad(k, 2, "0"), F.lit(',"timestamp":'), seconds, status, F.lit("}"),
     )
-    return rows.select(
+    return rows.withColumn("k", _k()).select(
         eid.alias("arrival_seq"),
         topic_of(motor_key("user_id")).alias("topic"),
         F.when(eid % 97 == 0, "{bad").when(eid % 89 == 0, '{"temperature":20.5}').otherwise(message).alias("payload"),

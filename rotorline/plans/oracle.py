@@ -401,6 +401,9 @@ SQL: dict[str, str] = {
     "history_page_deep": "SELECT * FROM log ORDER BY event_ts DESC, arrival_seq LIMIT 5 OFFSET 745",
     "history_page_after": """
         SELECT * FROM known WHERE event_ts <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY event_ts DESC, arrival_seq LIMIT 5""",
+    "history_last_page": """
+        SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY motor DESC, arrival_seq) AS place FROM log)
+        WHERE (place - 1) // 5 = ((SELECT count(*) FROM log) - 1) // 5""",
     "history_pages": """
         SELECT log_id, status, (row_number() OVER w - 1) // 5 + 1 AS page, (row_number() OVER w - 1) % 5 AS slot
         FROM log WINDOW w AS (ORDER BY status DESC, arrival_seq)""",

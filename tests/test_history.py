@@ -62,6 +62,9 @@ def test_pages_add_up_to_the_sorted_log(log, key, desc):
     for limit in (0, history.TOP_K_LIMIT):
         third = history.history_page(frame, 3, 7, key, desc, top_k_limit=limit).collect()
         assert [tuple(r) for r in third] == whole[14:21]
+    for size in (7, 60, 100):
+        last = history.history_last_page(frame, size, key, desc).collect()
+        assert [tuple(r) for r in last] == whole[(len(whole) - 1) // size * size:]
 
 
 def test_ties_keep_append_order_both_ways(make):
@@ -102,6 +105,11 @@ def test_log_table_is_pruned_by_date(spark, log, folder):
     read = spark.read.parquet(folder("log")).where(F.col("event_date") == "2024-01-01")
     assert "PartitionFilters: [isnotnull(event_date" in read._jdf.queryExecution().executedPlan().toString()
     assert read.count() == log[0].count()
+    stored = spark.read.parquet(folder("log"))
+    for period in ({"start": "2024-01-01", "end": "2024-01-02"}, {"end": "2024-01-01", "end_of_day": True}):
+        filtered = history.history_filter(stored, log[1], **period)
+        assert "PartitionFilters: [isnotnull(event_date" in filtered._jdf.queryExecution().executedPlan().toString()
+        assert rows(filtered.drop("event_date")) == rows(history.history_filter(log[0], log[1], **period))
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
