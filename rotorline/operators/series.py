@@ -76,10 +76,11 @@ def _rolling(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     rolling minimum is the smaller of the running minimum from the start of the row's block of
     n rows and the running minimum from the end of the block before, back to the frame's start.
     """
-    running = Window.partitionBy(*keys).orderBy("arrival_seq")
-    block = [*keys, F.floor(F.col(POSITION) / n)]
-    forward = Window.partitionBy(*block).orderBy("arrival_seq")
-    backward = Window.partitionBy(*block).orderBy(F.col("arrival_seq").desc())
+    blocks = rows.withColumn("_block", F.floor(F.col(POSITION) / n))
+    # Blocks follow one another in order, so `running` and `forward` share one sort.
+    running = Window.partitionBy(*keys).orderBy("_block", "arrival_seq")
+    forward = Window.partitionBy(*keys, "_block").orderBy("arrival_seq")
+    backward = Window.partitionBy(*keys, "_block").orderBy(F.col("arrival_seq").desc())
 
     def columns(name: str) -> dict[str, dict[str, Column]]:
         value = F.col(name)
@@ -97,7 +98,7 @@ def _rolling(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
         }
 
     per_name = [columns("temperature"), columns("vibration")]
-    out = rows
+    out = blocks
     for step in ("backward", "forward", "sums"):
         out = out.select("*", *[c.alias(k) for part in per_name for k, c in part[step].items()])
 
