@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from conftest import rows
-from rotorline.operators import access, history, latest, registry, series, state
+from rotorline.operators import access, alerts, history, latest, registry, series, state
 from rotorline.plans import fixtures as fx
 from rotorline.sources import tables
 
@@ -101,6 +101,11 @@ def shuffled_joins(spark):
     ("log", lambda r, m, u: history.append_history(r, m)),
     ("orphans", lambda r, m, u: registry.orphan_readings(r, m)),
     ("navigation", lambda r, m, u: access.fleet_navigation(u, m, r)),
+    ("gate", lambda r, m, u: registry.gate_writes(r, m, ["motor_id"])),
+    ("settings", lambda r, m, u: alerts.with_settings(r, m, u.select(
+        F.col("id").alias("company_id"), *[F.lit(v).alias(k) for k, v in alerts.DEFAULTS.items()]))),
+    ("names", lambda r, m, u: history.known_motors(
+        r.withColumn("motor", F.col("motor_id")), m.withColumn("motor_name", F.col("motor_id")))),
 ])
 def test_busy_motor_is_split_in_joins(spark, hot, shuffled_joins, name, build):
     out = build(hot, fx.motors(spark, SF_DIR), fx.users(spark, SF_DIR))
