@@ -626,7 +626,7 @@ def _(s, d):
 # --- streams: all given events, read as a stream to their end --------------------------------------
 
 def _events_stream(s: SparkSession, d: str) -> DataFrame:
-    return landing(s, d, fx.EVENTS, only="events.parquet")
+    return landing(s, d, fx.TABLES["events"], only="events.parquet")
 
 
 def _finish(started) -> None:
@@ -677,7 +677,7 @@ def _(s, d):
 @query("stream_motor_changes")
 def _(s, d):
     path = _scratch(s, "registry")
-    stream = landing(s, d, fx.table(s, d, "customer").schema, only="customer.parquet").select(
+    stream = landing(s, d, fx.TABLES["customer"], only="customer.parquet").select(
         fx.motor_key("c_custkey").alias("motor_id"),
         fx.company_key(F.col("c_nationkey")).alias("company_id"),
         F.col("c_name").alias("motor_name"), F.col("c_mktsegment").alias("location"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def landing(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+def landing(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
             files_per_batch: int | None = None, only: str | None = None) -> DataFrame:
     """Files of a folder as a stream; `only` is a file name pattern."""
     reader = spark.readStream.format(fmt).schema(schema)
