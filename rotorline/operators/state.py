@@ -110,12 +110,12 @@ def display_last_updated(state: DataFrame) -> DataFrame:
 
 def prediction_view(state: DataFrame, buffer: DataFrame) -> DataFrame:
     """Each motor with its live value where the buffer has points, else its stored one."""
-    last = F.try_element_at(F.col("points"), F.lit(-1))
-    joined = state.join(buffer.select("motor_id", "points"), "motor_id", "left")
-    has = last.isNotNull()
+    # Only the last point travels to the join.
+    newest = buffer.select("motor_id", F.try_element_at(F.col("points"), F.lit(-1)).alias("_last"))
+    joined = state.join(newest, "motor_id", "left")
 
     def live_or(stored: str, live: str) -> Column:
-        return F.when(has, last[live]).otherwise(F.col(stored))
+        return F.when(F.col("_last").isNotNull(), F.col("_last")[live]).otherwise(F.col(stored))
 
     keys = [c for c in ("company_id",) if c in state.columns]
     return joined.select(

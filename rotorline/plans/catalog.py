@@ -133,11 +133,11 @@ def _(s, d):
     return _log(s, d)
 
 
-@query("append_log")
+@query("append_by_date")
 def _(s, d):
     path = _scratch(s, "log")
     log = _log(s, d)
-    tables.append_log(log, path)
+    tables.append_by_date(log, path)
     return s.read.schema(log.schema).parquet(path).groupBy("motor").agg(
         F.count(F.lit(1)).alias("n"), F.max("event_ts").alias("last_event_ts")
     )

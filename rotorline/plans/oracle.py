@@ -238,7 +238,7 @@ SQL: dict[str, str] = {
         SELECT motor_id, motor_name, location, temperature, vibration, status, confidence,
                date_trunc('millisecond', last_updated) AS last_updated FROM state""",
     "append_history": "SELECT * FROM log",
-    "append_log": "SELECT motor, count(*) AS n, max(event_ts) AS last_event_ts FROM log GROUP BY motor",
+    "append_by_date": "SELECT motor, count(*) AS n, max(event_ts) AS last_event_ts FROM log GROUP BY motor",
     "record_sensor_data": """
         SELECT * REPLACE (TIMESTAMP '2024-02-01 00:00:00' AS event_ts) FROM f_sensor_data""",
     "register_motors": """

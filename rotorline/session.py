@@ -47,14 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="rotorline-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rotorline-"))
+    return context.getCheckpointDir()
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
     """Make `DataFrame.checkpoint()` usable without replacing a folder already set."""
+    folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)

@@ -39,13 +39,13 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Append history rows under a folder per date.
+def append_by_date(rows: DataFrame, path: str) -> None:
+    """Append readings, sensor data or log rows under a folder per date.
 
     Rows are rebalanced by date, so that a date gets files of a good size instead of one from
     every task, and a very full date is split; sorting by motor lets readers of one motor skip.
     """
-    dated = log.withColumn(EVENT_DATE, F.to_date("event_ts")).hint("rebalance", EVENT_DATE)
+    dated = rows.withColumn(EVENT_DATE, F.to_date("event_ts")).hint("rebalance", EVENT_DATE)
     append(dated.sortWithinPartitions(EVENT_DATE, "motor_id"), path, [EVENT_DATE])
 
 

@@ -42,11 +42,14 @@ class MergedTable:
     snapshot_every: int = 100
 
     def put(self, batch: DataFrame, batch_id: int) -> None:
-        """Store a batch; `batch` is reduced here."""
-        names = self.schema.names
-        write_batch(self.merge(batch.select(*names)).select(*names), f"{self.path}/delta", batch_id)
+        """Reduce a batch and store it."""
+        self.store(self.merge(batch.select(*self.schema.names)), batch_id)
+
+    def store(self, reduced: DataFrame, batch_id: int) -> None:
+        """Store a batch that `merge` has already reduced."""
+        write_batch(reduced.select(*self.schema.names), f"{self.path}/delta", batch_id)
         if batch_id % self.snapshot_every == self.snapshot_every - 1:
-            write_batch(self.read(batch.sparkSession), f"{self.path}/full", batch_id)
+            write_batch(self.read(reduced.sparkSession), f"{self.path}/full", batch_id)
 
     def read(self, spark: SparkSession, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
         """The merged content.

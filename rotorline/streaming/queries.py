@@ -113,7 +113,7 @@ def stream_latest_state(readings: DataFrame, motors: DataFrame, target: str, che
 
     def store(batch: DataFrame, batch_id: int) -> None:
         last = _by_arrival(batch)
-        table.put(last.join(motors.select("motor_id"), "motor_id", "left_semi"), batch_id)
+        table.store(last.join(motors.select("motor_id"), "motor_id", "left_semi"), batch_id)
 
     return on_batch(readings, store, checkpoint, trigger)
 

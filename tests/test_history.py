@@ -101,7 +101,7 @@ def test_filter_options(make):
 
 
 def test_log_table_is_pruned_by_date(spark, log, folder):
-    tables.append_log(log[0], folder("log"))
+    tables.append_by_date(log[0], folder("log"))
     read = spark.read.parquet(folder("log")).where(F.col("event_date") == "2024-01-01")
     assert "PartitionFilters: [isnotnull(event_date" in read._jdf.queryExecution().executedPlan().toString()
     assert read.count() == log[0].count()
