@@ -641,6 +641,15 @@ def _(s, d):
     return streams.latest_state(s, path, stream.schema)
 
 
+@query("stream_ingest")
+def _(s, d):
+    path = _scratch(s, "ingest")
+    raw = fx.telemetry_of(_events_stream(s, d))
+    _finish(streams.stream_ingest(raw, fx.motors(s, d), path, f"{path}-cp"))
+    schema = telemetry.parse_telemetry(raw).schema
+    return _ntz(streams.latest_state(s, f"{path}/state", schema), "event_ts")
+
+
 @query("stream_live_buffer")
 def _(s, d):
     path = _scratch(s, "buffer")

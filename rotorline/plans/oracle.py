@@ -199,13 +199,15 @@ def _leading(text: str) -> str:
     return f"TRY_CAST(nullif(regexp_extract({text}, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1), '') AS DOUBLE)"
 
 
-SQL: dict[str, str] = {
-    "parse_telemetry": f"""
+_PARSED = f"""
         SELECT arrival_seq AS reading_id, motor_id,
                coalesce(make_timestamp(nullif(CAST(trunc(CAST(s AS DOUBLE) * 1000) AS BIGINT), 0) * 1000), arrival_ts) AS event_ts,
                arrival_seq, {_leading('t')} AS temperature, {_leading('v')} AS vibration,
                coalesce(nullif(st, ''), 'Unknown') AS status, coalesce(TRY_CAST(c AS DOUBLE), 0) AS confidence
-        FROM ({_DECODED}) WHERE motor_id <> ''""",
+        FROM ({_DECODED}) WHERE motor_id <> ''"""
+
+SQL: dict[str, str] = {
+    "parse_telemetry": _PARSED,
     "malformed_telemetry": "SELECT arrival_seq, topic, payload FROM f_telemetry WHERE NOT json_valid(payload)",
     "topic_route": """
         SELECT arrival_seq, split_part(topic, '/', 2) AS topic_motor_id, topic FROM f_telemetry""",
@@ -432,6 +434,9 @@ SQL: dict[str, str] = {
         SELECT reading_id, CASE WHEN vibration > 0.04 THEN coalesce(temperature, 0) * vibration ELSE 0.0::DOUBLE END AS heat
         FROM f_readings""",
     "stream_latest_state": "SELECT * FROM arrived WHERE motor_id IN (SELECT motor_id FROM f_motors)",
+    "stream_ingest": f"""
+        SELECT * FROM ({_PARSED}) WHERE motor_id IN (SELECT motor_id FROM f_motors)
+        QUALIFY row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq DESC) = 1""",
     "stream_live_buffer": "SELECT * FROM buffer",
     "stream_history": "SELECT * FROM log",
     "stream_changed_only": f"""

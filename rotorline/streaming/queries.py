@@ -22,6 +22,7 @@ from ..operators.history import append_history
 from ..operators.latest import newest_per
 from ..operators.series import POINTS, last_points, live_buffer
 from ..operators.state import THRESHOLD_MS, changed_only
+from ..sources.telemetry import malformed_telemetry, parse_telemetry, subscribed
 from .merged import MergedTable, read_batches, write_batch
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -161,6 +162,37 @@ def changes(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame
     return read_batches(spark, f"{target}/changes", schema)
 
 
+def stream_ingest(raw: DataFrame, motors: DataFrame, target: str, checkpoint: str, n: int = POINTS,
+                  trigger: dict | None = None, **options) -> StreamingQuery:
+    """Raw messages of registered topics to state, buffer, history and quarantine in one pass.
+
+    Each result has its own folder of `target`; read state and buffer with `latest_state` and
+    `buffered`, the other two with `batches`.
+    """
+    schema = parse_telemetry(raw).schema
+    state = state_table(f"{target}/state", schema, **options)
+    buffer = _points_table(f"{target}/buffer", schema, n, **options)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        delivered = subscribed(batch, motors)
+        readings = parse_telemetry(delivered).persist()
+        try:
+            last = _by_arrival(readings)
+            state.store(last.join(motors.select("motor_id"), "motor_id", "left_semi"), batch_id)
+            buffer.put(readings, batch_id)
+            write_batch(append_history(readings, motors), f"{target}/history", batch_id)
+            write_batch(malformed_telemetry(delivered), f"{target}/quarantine", batch_id)
+        finally:
+            readings.unpersist()
+
+    return on_batch(raw, _kept(store), checkpoint, trigger)
+
+
+def batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that batches have written to a folder."""
+    return read_batches(spark, path, schema).drop("batch_id")
+
+
 def stream_motor_changes(motors: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("company_id", "motor_id"),
                          order: str = "arrival_seq", trigger: dict | None = None, **options) -> StreamingQuery:
     """Registry rows whose content differs from the one stored before, in `target`/changes."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import READING, rows
 from rotorline.operators import alerts, history, latest, series, state
 from rotorline.plans import fixtures as fx
+from rotorline.sources import telemetry
 from rotorline.streaming import merged, queries, sources
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,6 +64,26 @@ def test_latest_state_over_batches_and_restart(spark, landed, motors, folder):
     assert spark.read.parquet(folder("t/full")).select("batch_id").distinct().count() == 2
 
 
+def test_ingest_feeds_every_table(spark, motors, folder):
+    raw = fx.telemetry(spark, SF_DIR)
+    for low in range(0, 1000, 250):
+        raw.where(F.col("arrival_seq").between(low, low + 249)).coalesce(1).write.mode("append").parquet(folder("in"))
+        time.sleep(0.01)
+    feed = sources.landing(spark, folder("in"), raw.schema, files_per_batch=1)
+    for _ in range(2):
+        finish(queries.stream_ingest(feed, motors, folder("t"), folder("cp"), snapshot_every=3))
+    delivered = telemetry.subscribed(raw, motors)
+    readings = telemetry.parse_telemetry(delivered)
+    state_now = queries.latest_state(spark, folder("t/state"), readings.schema)
+    assert rows(state_now) == rows(latest.latest_reading(readings, "arrival"))
+    points = queries.buffered(spark, folder("t/buffer"), readings.schema)
+    assert rows(series.buffer_rows(points)) == rows(series.buffer_rows(series.live_buffer(readings)))
+    log = history.append_history(readings, motors)
+    assert rows(queries.batches(spark, folder("t/history"), log.schema)) == rows(log)
+    bad = telemetry.malformed_telemetry(delivered)
+    assert rows(queries.batches(spark, folder("t/quarantine"), bad.schema)) == rows(bad) != []
+
+
 def test_live_buffer_over_batches(spark, landed, folder):
     frame, path = landed
     finish(queries.stream_live_buffer(stream(spark, frame, path), folder("t"), folder("cp"), snapshot_every=3))
