@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import ids, units, values
+from ..functions import ids, values
 from ..operators import access, alerts, history, latest, overview, registry, series, state
 from ..schemas import SENSOR_AXES
 from ..session import shared_dir, tune
