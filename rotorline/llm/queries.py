@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
-from rotorline.llm import exact_dedup, simhash
+from rotorline.llm import decontaminate, exact_dedup, packing, secret_scan, simhash, token_store
 from rotorline.llm.common import table
+from rotorline.session import shared_dir
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +16,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.hit_report(hits)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-store-{uuid4().hex}"
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_store.read_tokens(spark, path, with_ids=False)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=0, limits=packing.Limits(tokens=1024, segments=128, loss=1024))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -20,13 +43,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_secrets": op7_secrets,
+    "op8_token_store": op8_token_store,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_decontaminate": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(10, len(words)) AS size,
+                      array_to_string(words[p:p + least(10, len(words)) - 1], ' ') AS w
+               FROM i, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS u(p) WHERE len(words) > 0),
+        sizes AS (SELECT DISTINCT size FROM iw),
+        dw AS (SELECT r, p, size, array_to_string(words[p:p + size - 1], ' ') AS w
+               FROM d, sizes, unnest(range(1, len(words) - size + 2)) AS u(p)),
+        hits AS (SELECT r, p, size, item_id FROM dw JOIN iw USING (size, w)),
+        inside AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM hits, unnest(range(0, size)) AS u(k) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list
+                  FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN inside USING (r) LEFT JOIN items USING (r)
+    """,
 }

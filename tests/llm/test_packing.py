@@ -1,0 +1,104 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rotorline.llm import packing as pk
+from rotorline.llm.tokens import BYTE_BPE, encoder
+
+
+def padding(lengths, size):
+    return sum(0 if n & (n - 1) == 0 else size - n for n in lengths)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.booleans()), max_size=120),
+       st.tuples(st.sampled_from([16, 64, 128]), st.integers(1, 20), st.integers(1, 128)))
+def test_packer_places_everything_within_limits(sizes, limits):
+    limits = pk.Limits(*limits)
+    packer, out = pk.Packer(limits, pool=16), []
+    for i, (n, loss) in enumerate(sizes):
+        out += packer.add(pk.Piece(i, 0, np.arange(n, dtype="<u4").tobytes(), n, loss))
+    out += packer.finish()
+    seen = defaultdict(list)
+    for sequence in out:
+        assert sequence
+        assert sum(p.length for p in sequence) <= limits.tokens
+        assert len(sequence) <= limits.segments
+        assert sum(p.length for p in sequence if p.bears_loss) <= limits.loss
+        for p in sequence:
+            seen[p.doc] += np.frombuffer(p.ids, "<u4").tolist()
+            assert np.frombuffer(p.ids, "<u4")[0] == p.start
+    assert {i: sorted(v) for i, v in seen.items()} == {i: list(range(n)) for i, (n, _) in enumerate(sizes)}
+
+
+def test_dot_product_mixes_prompts_and_answers():
+    """Prompts fill what answers may not, so that both limits are met at once."""
+    packer, out = pk.Packer(pk.Limits(100, 10, 50), pool=8), []
+    for i in range(40):
+        out += packer.add(pk.Piece(i, 0, bytes(4 * 25), 25, i % 2 == 0))
+    out += packer.finish()
+    full = [s for s in out if sum(p.length for p in s) == 100]
+    assert len(full) == 10 and all(sum(p.length for p in s if p.bears_loss) == 50 for s in full)
+
+
+def corpus():
+    rng = random.Random(4)
+    pairs = [(i, " ".join(rng.choices(["one", "zwei", "trois", "cuatro,"], k=int(rng.paretovariate(0.7) * 8) % 4000))) for i in range(300)]
+    return [*pairs, (900, None), (901, ""), (None, "no id"), (902, "same"), (902, "same"), (903, "very long " * 20_000)]
+
+
+def test_documents(docs):
+    pairs = corpus()
+    got = pk.pack(docs(*pairs).repartition(3)).collect()
+    ids = {}
+    for i, t in pairs:
+        ids.setdefault(i, []).append([*encoder(BYTE_BPE).tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    sequences, covered = defaultdict(list), defaultdict(int)
+    for r in got:
+        whole = ids[r.doc_id][0]
+        assert r.doc_tokens == len(whole)
+        assert r.ids_crc32 == zlib.crc32(np.array(whole[r.start:r.start + r.length], "<u4").tobytes())
+        sequences[r.sequence_id].append((r.offset, r.length))
+        covered[r.doc_id, r.start] += r.length
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(covered.values()) == sum(len(x) for v in ids.values() for x in v)
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.start + r.length))
+    for doc, parts in spans.items():
+        if len(ids[doc]) == 1:
+            ends = sorted(parts)
+            assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:])) and ends[-1][1] == len(ids[doc][0])
+    assert padding([sum(n for _, n in p) for p in sequences.values()], 1024) == 0
+
+
+def test_conversations_bear_loss_in_answers(spark):
+    rng = random.Random(6)
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "word " * rng.randrange(1, 400)) for c in range(40) for t in range(6)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    examples = df.selectExpr("struct(conv_id, turn) as example", "text", "role = 'assistant' as answers")
+    limits = pk.Limits(tokens=512, segments=8, loss=200)
+    got = pk.pack(examples, "example", "text", "answers", limits=limits).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r.sequence_id].append(r)
+    for rows in per.values():
+        assert sum(r.length for r in rows) <= 512 and len(rows) <= 8
+        assert sum(r.length for r in rows if r.doc_id.turn % 2) <= 200
+    assert len({r.doc_id for r in got}) == 240
+
+
+def test_empty_and_bad_limits(docs):
+    assert pk.pack(docs((1, "a")).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        pk.Packer(pk.Limits(0, 1, 1))
