@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotorline.llm import decontaminate, exact_dedup, packing, secret_scan, simhash, token_store
+from rotorline.llm import decontaminate, exact_dedup, language, packing, secret_scan, simhash, token_store
 from rotorline.llm.common import table
 from rotorline.session import shared_dir
 
@@ -16,6 +16,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs.filter(~language.held_out(docs["doc_id"]))))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return decontaminate.hit_report(hits)
@@ -43,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_token_store": op8_token_store,
