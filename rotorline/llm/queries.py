@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotorline.llm import decontaminate, exact_dedup, language, packing, secret_scan, simhash, token_store
+from rotorline.llm import decontaminate, exact_dedup, html_text, language, licenses, packing, secret_scan, simhash, token_counts, token_store
 from rotorline.llm.common import table
 from rotorline.session import shared_dir
 
@@ -16,6 +16,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs.filter(~language.held_out(docs["doc_id"]))))
@@ -26,6 +34,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_report(hits)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -48,8 +60,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_text": op2_html_text,
+    "op3_token_counts": op3_token_counts,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
     "op7_secrets": op7_secrets,
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
@@ -82,4 +97,5 @@ ORACLE = {
                sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN inside USING (r) LEFT JOIN items USING (r)
     """,
+    "op6_licenses": licenses.windows_sql(),
 }
