@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 BYTE_BPE = "byte_bpe_50k.json"
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 LONG = 64
 
 # Byte-level tokenizers split a text before they merge: runs of letters, of digits and of the rest,
@@ -20,7 +22,10 @@ LONG = 64
 # followed by something else, or from a visible character to white space, and where one ends says
 # nothing about the next. So a text may be cut there and its pieces encoded alone. The pattern
 # cuts after whole runs of common Latin letters before ASCII, and else before white space.
-PIECES = re.compile(r"\s?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|\s*\S+|\s+")
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PIECES = re.compile(rf"\s?{LETTERS}++(?=[\x00-\x7f]|\Z)|\s*\S+|\s+")
+# A piece that is one such part, and so needs no splitting.
+WORD = re.compile(rf"\x20?{LETTERS}+\Z")
 # Characters that Python takes for white space and tokenizers do not.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
@@ -30,6 +35,14 @@ def tokenizer_file(name: str) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Pieces(dict):
     """Ids of pieces as bytes. Two generations: when the young one is full it becomes the old one."""
 
@@ -65,10 +78,19 @@ class Encoder:
         self.cuttable = (
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
-        self.pieces = _Pieces(self._encode)
+        self.pieces = _Pieces(self._encode_piece)
+        self.model = self.tokenizer.model
+        split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.symbols = {code: split(chr(code))[0][0] for code in range(0x20, 0x100)}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        """A piece of a text that may be cut; a single word goes to the merges at once."""
+        if WORD.match(piece):
+            return _as_bytes([token.id for token in self.model.tokenize(piece.translate(self.symbols))])
+        return self._encode(piece)
 
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
