@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from rotorline.llm.common import named
 from rotorline.llm.tokens import BYTE_BPE, encoder
 
-POOL = 512
+POOL = 256
 IDS_OF_PARTITION = 33
 
 
@@ -63,60 +63,73 @@ class Packer:
     def __init__(self, limits: Limits, pool: int = POOL):
         if min(limits) < 1:
             raise ValueError("every limit is 1 or more")
-        self.limits, self.pool, self.waiting = limits, pool, []
+        self.limits, self.pool = limits, pool
+        self.pieces: list[Piece | None] = [None] * pool
+        self.free = list(range(pool))
+        # what the piece of each place takes of tokens and of loss; 0 tokens: the place is free
+        self.tokens, self.loss = np.zeros(pool), np.zeros(pool)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         most = min(self.limits.tokens, self.limits.loss) if piece.bears_loss else self.limits.tokens
         while piece.length > most:
             whole, piece = piece.cut(most)
-            yield from self._place(whole)
+            yield from self._wait(whole)
         if piece.length:
-            yield from self._place(piece)
+            yield from self._wait(piece)
 
-    def _place(self, piece: Piece) -> Iterator[list[Piece]]:
+    def _wait(self, piece: Piece) -> Iterator[list[Piece]]:
         if piece.length == self.limits.tokens:
             yield [piece]
             return
-        self.waiting.append(piece)
-        if len(self.waiting) >= self.pool:
-            while len(self.waiting) > self.pool // 2:
+        self._put(piece)
+        if not self.free:
+            while len(self.free) < self.pool // 2:
                 yield self._sequence(self.limits.tokens)
 
+    def _put(self, piece: Piece) -> None:
+        at = self.free.pop()
+        self.pieces[at] = piece
+        self.tokens[at], self.loss[at] = piece.length, piece.length * piece.bears_loss
+
+    def _take(self, at: int) -> Piece:
+        piece = self.pieces[at]
+        self.pieces[at], self.tokens[at], self.loss[at] = None, 0, 0
+        self.free.append(at)
+        return piece
+
     def finish(self) -> Iterator[list[Piece]]:
-        while self.waiting:
-            left = sum(piece.length for piece in self.waiting)
+        while left := int(self.tokens.sum()):
             size = self.limits.tokens if left >= self.limits.tokens else 1 << (left.bit_length() - 1)
             yield self._sequence(size)
 
     def _sequence(self, size: int) -> list[Piece]:
         """One sequence of at most `size` tokens, of waiting pieces."""
-        limits = np.array([size, self.limits.segments, self.limits.loss], float)
-        needs = np.array([(p.length, 1, p.length * p.bears_loss) for p in self.waiting], float)
-        room, free, chosen = limits.copy(), np.ones(len(needs), bool), []
-        shares = needs / limits
+        tokens, segments, loss = size, self.limits.segments, self.limits.loss
         out: list[Piece] = []
-        while room[0] >= 1 and room[1] >= 1:
-            fits = free & (needs <= room).all(axis=1)
-            if not fits.any():
+
+        def best(allowed: np.ndarray) -> int | None:
+            # Demands times room, both as shares of the limits. Every piece is one segment, so that
+            # term of the product is the same for all.
+            product = self.tokens * (tokens / size**2) + self.loss * (loss / self.limits.loss**2)
+            product[~allowed] = -1.0
+            at = int(product.argmax())
+            return at if product[at] >= 0 else None
+
+        while tokens and segments:
+            at = best((self.tokens > 0) & (self.tokens <= tokens) & (self.loss <= loss))
+            if at is None:
                 break
-            best = int(np.argmax(np.where(fits, shares @ (room / limits), -1.0)))
-            free[best] = False
-            chosen.append(best)
-            out.append(self.waiting[best])
-            room -= needs[best]
-        rest = None
-        if room[0] >= 1 and room[1] >= 1:
-            open_ = free & ((needs[:, 2] == 0) | (room[2] >= 1))
-            if open_.any():
-                best = int(np.argmax(np.where(open_, shares @ (room / limits), -1.0)))
-                piece = self.waiting[best]
-                piece, rest = piece.cut(int(min(room[0], room[2]) if piece.bears_loss else room[0]))
-                out.append(piece)
-                chosen.append(best)
-        gone = set(chosen)
-        self.waiting = [p for i, p in enumerate(self.waiting) if i not in gone]
-        if rest is not None:
-            self.waiting.append(rest)
+            out.append(self._take(at))
+            tokens -= out[-1].length
+            segments -= 1
+            loss -= out[-1].length * out[-1].bears_loss
+        if tokens and segments:
+            at = best((self.tokens > 0) & ((self.loss == 0) | (loss > 0)))
+            if at is not None:
+                piece = self._take(at)
+                part, rest = piece.cut(min(tokens, loss) if piece.bears_loss else tokens)
+                out.append(part)
+                self._put(rest)
         return out
 
 
