@@ -14,6 +14,15 @@ LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 UNKNOWN_STATUS = "Unknown"
 
 
+def truthy_text(value: Column) -> Column:
+    """A JSON value (variant) as text; NULL where it is missing, null, empty, false or the number zero."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    is_text = kind == "STRING"
+    nothing = (kind == "BOOLEAN") & (text == "false") | ~is_text & (F.try_variant_get(value, "$", "double") == 0)
+    return F.when(is_text | ~F.coalesce(nothing, F.lit(False)), F.nullif(text, F.lit("")))
+
+
 def or_default(text: Column, default) -> Column:
     """The text, or the default where it is missing or empty."""
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
@@ -65,15 +74,9 @@ def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def exact_avg(value: Column, rows: Column) -> Column:
-    """Sum of doubles divided by `rows`, independent of the order in which Spark adds them.
-
-    The sum runs in decimals. Where a value or the sum does not fit them (beyond 16 integer
-    digits, or not finite) the plain double sum is used for the whole group instead.
-    """
-    as_decimal = value.try_cast("decimal(24,8)")
-    exact = F.when(F.count(as_decimal) == F.count(value), F.try_sum(as_decimal).cast("double"))
-    return F.try_divide(F.coalesce(exact, F.sum(value)), rows)
+def average(value: Column, rows: Column) -> Column:
+    """Sum of doubles divided by `rows`, in full double precision; NULL where there are no rows."""
+    return F.try_divide(F.sum(value), rows)
 
 
 def round_half_up(value: Column, digits: int) -> Column:

@@ -79,10 +79,11 @@ def status_class(df: DataFrame) -> DataFrame:
 def with_settings(readings: DataFrame, motors: DataFrame, settings: DataFrame) -> DataFrame:
     """Readings with the company and settings of each owner; without an owner, the defaults.
 
-    Registry and settings meet first, so that readings are joined, and at most shuffled, once.
+    Two joins, one after the other, since Spark knows the sizes of the registry and of the
+    settings, and not what their join would have: each is broadcast while it is small.
     """
-    per_motor = motors.select("motor_id", "company_id").distinct().join(settings, "company_id", "left")
-    joined = readings.join(per_motor, "motor_id", "left")
+    owners = motors.select("motor_id", "company_id").distinct()
+    joined = readings.join(owners, "motor_id", "left").join(settings, "company_id", "left")
     return joined.select(
         *readings.columns, "company_id",
         *[F.coalesce(F.col(name), F.lit(value)).alias(name) for name, value in DEFAULTS.items()],

@@ -17,9 +17,6 @@ ALL = "All"
 DEFAULT_SORT = "event_ts"
 SORT_KEYS = ("event_ts", "motor", "status", "confidence", "temperature", "vibration")
 
-# A top-k sort keeps page * size rows per task; beyond this many the sorted table is numbered.
-TOP_K_LIMIT = 10_000
-
 
 def first_names(motors: DataFrame) -> DataFrame:
     """First registered name of every motor id."""
@@ -113,15 +110,18 @@ def numbered(log: DataFrame, key: str = DEFAULT_SORT, desc: bool = True) -> Data
     )
 
 
-def history_page(
-    log: DataFrame, page: int, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True,
-    top_k_limit: int = TOP_K_LIMIT,
-) -> DataFrame:
-    """Page k, counted from 1. Early pages are a top-k sort; deep ones use the numbered log."""
-    skip = (page - 1) * size
-    if skip + size <= top_k_limit:
-        return history_sort(log, key, desc).offset(skip).limit(size)
-    here = F.col("position").between(skip, skip + size - 1)
+def history_page(log: DataFrame, page: int, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True) -> DataFrame:
+    """Page k, counted from 1, as a top-k sort; every task keeps the rows up to it.
+
+    For pages far from the start `history_page_deep` numbers the sorted log instead, and
+    `history_page_after` starts from the row before.
+    """
+    return history_sort(log, key, desc).offset((page - 1) * size).limit(size)
+
+
+def history_page_deep(log: DataFrame, page: int, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True) -> DataFrame:
+    """Page k, counted from 1, out of the numbered log: sorts and checkpoints the log when called."""
+    here = F.col("position").between((page - 1) * size, page * size - 1)
     return numbered(log, key, desc).where(here).orderBy("position").drop("position")
 
 

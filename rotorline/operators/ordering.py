@@ -1,11 +1,9 @@
 """Ordered work inside a key without ever holding a large key in one task.
 
 A plain window over a key sorts all of its rows in one task, which fails once a single motor
-holds a third of the data. So the keys are counted first. Keys of ordinary size take the plain
-window: one shuffle. A heavy key is cut into spans of its sequence column; rows are counted per
-span and numbered inside it, and the sum of the earlier counts makes the number exact for the
-whole key. Chunks of equal length follow from that number; each also receives the last few rows
-before it, so that a window over (key, chunk) sees the same frame as one over the key.
+holds a third of the data. So every key is cut into spans of its sequence column, as many as its
+rows call for: one for most keys. The last rows of each span, of which there are few, are carried
+into the next, so that a window over (key, span) sees the same frame as one over the key.
 """
 
 from __future__ import annotations
@@ -16,76 +14,68 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 SPAN = 1 << 20
-CHUNK = 1 << 16
 
-# No more than this many keys can each hold more than this fraction of the rows, which bounds
-# the list of heavy keys that is broadcast.
-MOST_HEAVY = 100_000
+# As many spans per key may be listed in every task; a longer list meets the rows in a join.
+MOST_LISTED = 100_000
 
-POSITION, _SPAN, _CHUNK, _CONTEXT = "_pos", "_span", "_chunk", "_is_context"
+_SPAN, _CONTEXT = "_span", "_is_context"
 
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_k_{n}"]) for n in names])
 
 
-def _as_keys(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    return [F.col(n).alias(f"_k_{n}") for n in names]
-
-
-def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int = SPAN) -> DataFrame:
-    """Keys with more than `rows` rows and more than their share of all rows."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = sizes.agg(F.sum("_n") / MOST_HEAVY).scalar()
-    return sizes.where((F.col("_n") > rows) & (F.col("_n") > share)).select(*_as_keys(sizes, keys))
+def cuts(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
+    """Where to cut keys of more than `span` rows: their first sequence number and the width of a span."""
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_low"), F.max(seq).alias("_high")
+    ).where(F.col("_n") > span)
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / span))
+    return sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_low", width.alias("_width"))
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
-    """Adds `_pos`, the 0-based rank of each row in its key by `seq`.
-
-    `seq` is a whole number unique within the key, so a span of it holds at most `span` rows.
-    """
-    cut = df.withColumn(_SPAN, F.floor(F.col(seq) / span))
-    earlier = Window.partitionBy(*keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*keys, _SPAN)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*_as_keys(cut, [*keys, _SPAN]), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+def with_spans(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
+    """Adds `_span`, growing with `seq` inside a key, and `_cut`, whether the key has several."""
+    session.ready_checkpoints(df.sparkSession)
+    listed = cuts(df, keys, seq, span).checkpoint()
+    joined = df.join(F.broadcast(listed) if listed.count() <= MOST_LISTED else listed, _same_keys(df, listed, keys), "left")
+    number = F.floor((F.col(seq) - F.col("_low")) / F.col("_width"))
+    return joined.select(
+        *df.columns, F.coalesce(number, F.lit(0)).alias(_SPAN), F.col("_low").isNotNull().alias("_cut")
     )
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, _SPAN).orderBy(seq)) - 1)
-    joined = ranked.join(starts, _same_keys(ranked, starts, [*keys, _SPAN]))
-    return joined.select(*df.columns, (F.col("_start") + F.col("_rank")).alias(POSITION))
 
 
-def chunked(positioned: DataFrame, context: int, chunk: int = CHUNK) -> DataFrame:
-    """Cuts positions into chunks and repeats the last `context` rows of each in the next."""
-    if context > chunk:
-        raise ValueError("a chunk must hold at least `context` rows")
-    own = F.floor(F.col(POSITION) / chunk)
-    near_end = F.col(POSITION) % chunk >= chunk - context
-    return positioned.withColumn(
-        _CHUNK, F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
-    ).withColumn(_CONTEXT, F.col(_CHUNK) != own)
+def carried(spanned: DataFrame, keys: Sequence[str], seq: str, context: int) -> DataFrame:
+    """For each span of a key the last `context` rows before it, under that span's number."""
+    columns = [c for c in spanned.columns if c not in (seq, _SPAN, "_cut")]
+    newest = Window.partitionBy(*keys, _SPAN).orderBy(F.col(seq).desc())
+    tails = (
+        spanned.where("_cut").withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= context)
+        .groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], _SPAN)
+        .agg(F.sort_array(F.collect_list(F.struct(seq, *columns))).alias("_rows"))
+    )
+    # Every span has a row, so the last `context` rows lie in as many spans at most.
+    before = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy(_SPAN).rowsBetween(-context, -1)
+    rows = F.flatten(F.collect_list("_rows").over(before))
+    last = F.slice("_rows", F.greatest(F.lit(1), F.size("_rows") - (context - 1)), context)
+    return (
+        tails.select(_SPAN, rows.alias("_rows")).select(_SPAN, F.explode(last).alias("_row")).select(_SPAN, "_row.*")
+    )
 
 
 def in_order(
     df: DataFrame, keys: Sequence[str], seq: str, context: int, compute: Callable[[DataFrame, list[str]], DataFrame],
-    span: int = SPAN, chunk: int = CHUNK,
+    span: int = SPAN,
 ) -> DataFrame:
-    """Runs `compute` on the rows of each key in the order of `seq`.
+    """Runs `compute` on the rows of each key in the order of `seq`, a whole number unique in the key.
 
     `compute(rows, window_keys)` adds columns with windows over `window_keys` ordered by `seq`
-    that look back at most `context` rows. Keys of more than `span` rows are cut.
+    that look back at most `context` rows.
     """
-    keys = list(keys)
-    heavy = F.broadcast(heavy_keys(df, keys, span))
-    is_heavy = _same_keys(df, heavy, keys)
-
-    light_rows = df.join(heavy, is_heavy, "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(seq)).cast("bigint") - 1
-    light = compute(light_rows.withColumn(POSITION, rank), keys)
-
-    heavy_rows = df.join(heavy, is_heavy, "left_semi")
-    cut = compute(chunked(with_positions(heavy_rows, keys, seq, span), context, chunk), [*keys, _CHUNK])
-    return light.unionByName(cut.where(~F.col(_CONTEXT)).drop(_CHUNK, _CONTEXT))
+    spanned = with_spans(df, keys, seq, span)
+    own = spanned.select(*df.columns, _SPAN, F.lit(False).alias(_CONTEXT))
+    before = carried(spanned, keys, seq, context).select(*df.columns, _SPAN, F.lit(True).alias(_CONTEXT))
+    return compute(own.unionByName(before), [*keys, _SPAN]).where(~F.col(_CONTEXT)).drop(_SPAN, _CONTEXT)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import exact_avg, in_period, normalise_status
+from ..functions.values import average, in_period, normalise_status
 
 COUNTED = ("healthy", "warning", "fault")
 
@@ -23,18 +23,18 @@ def overview_summary(state: DataFrame, by: Sequence[str] = (), null_policy: str
     """
     motors = F.count(F.lit(1))
 
-    def average(name: str) -> Column:
+    def mean(name: str) -> Column:
         value = F.col(name)
         if null_policy == "zero":
             value = F.coalesce(value, F.lit(0.0))
         rows = motors if null_policy == "zero" else F.count(value)
-        return F.coalesce(exact_avg(value, rows), F.lit(0.0)).alias(f"avg_{name}")
+        return F.coalesce(average(value, rows), F.lit(0.0)).alias(f"avg_{name}")
 
     return state.groupBy(*by).agg(
         motors.alias("total_motors"),
         *[F.count_if(_status_is(s)).alias(s) for s in COUNTED],
-        average("temperature"),
-        average("vibration"),
+        mean("temperature"),
+        mean("vibration"),
     )
 
 
@@ -74,8 +74,8 @@ def daily_trend(readings: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
         .groupBy(F.to_date("event_ts").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            exact_avg(F.col("temperature"), F.count("temperature")).alias("avg_temperature"),
-            exact_avg(F.col("vibration"), F.count("vibration")).alias("avg_vibration"),
+            average(F.col("temperature"), F.count("temperature")).alias("avg_temperature"),
+            average(F.col("vibration"), F.count("vibration")).alias("avg_vibration"),
         )
     )
     return calendar.join(daily, "day", "left").select(

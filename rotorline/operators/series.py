@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import CHUNK, POSITION, SPAN, in_order
+from .ordering import SPAN, in_order
 
 POINTS = 60  # fixed value: length of the live buffer
+BUCKETS = 64
 
 _POINT = ("arrival_seq", "event_ts", "temperature", "vibration")
 
@@ -16,15 +17,18 @@ def last_points(readings: DataFrame, n: int = POINTS) -> DataFrame:
     """The last n delivered readings of each motor, one row each.
 
     The row-number filter becomes a group limit before the shuffle: a busy motor sends at
-    most n rows per task.
+    most n rows per task. It sends them to one of `BUCKETS` groups first, so that no task gets
+    n rows from every other.
     """
-    newest_first = Window.partitionBy("motor_id").orderBy(F.col("arrival_seq").desc())
-    return (
-        readings.select("motor_id", *_POINT)
-        .withColumn("_rn", F.row_number().over(newest_first))
-        .where(F.col("_rn") <= n)
-        .drop("_rn")
-    )
+    newest_first = F.col("arrival_seq").desc()
+    bucket = F.pmod(F.xxhash64("arrival_seq"), F.lit(BUCKETS))
+
+    def limited(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(newest_first))
+        return rows.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
+
+    rows = readings.select("motor_id", *_POINT).withColumn("_bucket", bucket)
+    return limited(limited(rows, "motor_id", "_bucket"), "motor_id").drop("_bucket")
 
 
 def live_buffer(readings: DataFrame, n: int = POINTS) -> DataFrame:
@@ -53,71 +57,25 @@ def buffer_last(buffer: DataFrame) -> DataFrame:
                          last.vibration.alias("vibration"))
 
 
-def rolling_points(readings: DataFrame, n: int = POINTS, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
+def rolling_points(readings: DataFrame, n: int = POINTS, span: int = SPAN) -> DataFrame:
     """What the buffer showed after every message: size, average, minimum and maximum.
 
-    Aggregates instead of arrays, which would repeat every reading n times. The cost per row
-    does not depend on n (see `_rolling`).
+    Aggregates instead of arrays, which would repeat every reading n times. Each row's are taken
+    over its own frame of n rows, so no value depends on what stood before the frame.
     """
     slim = readings.select("motor_id", "arrival_seq", "temperature", "vibration")
-    whole_blocks = max(1, chunk // n) * n
-    out = in_order(
-        slim, ["motor_id"], "arrival_seq", n - 1, lambda rows, keys: _rolling(rows, keys, n), span, whole_blocks
-    )
-    stats = [f"{s}_{name}" for name in ("temperature", "vibration") for s in ("avg", "min", "max")]
-    return out.select("motor_id", "arrival_seq", F.least(F.col(POSITION) + 1, F.lit(n)).alias("n_points"), *stats)
-
-
-def _rolling(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Rolling statistics over n rows with running windows only, which add one row at a time.
-
-    A rolling sum is the running sum minus the one n rows before; sums run in decimals, so the
-    difference is exact (values too large for them are summed as doubles on the side). A
-    rolling minimum is the smaller of the running minimum from the start of the row's block of
-    n rows and the running minimum from the end of the block before, back to the frame's start.
-    """
-    blocks = rows.withColumn("_block", F.floor(F.col(POSITION) / n))
-    # Blocks follow one another in order, so `running` and `forward` share one sort.
-    running = Window.partitionBy(*keys).orderBy("_block", "arrival_seq")
-    forward = Window.partitionBy(*keys, "_block").orderBy("arrival_seq")
-    backward = Window.partitionBy(*keys, "_block").orderBy(F.col("arrival_seq").desc())
-
-    def columns(name: str) -> dict[str, dict[str, Column]]:
-        value = F.col(name)
-        small = value.try_cast("decimal(30,8)")
-        large = F.when(small.isNull(), value)
-        return {
-            "sums": {
-                f"_s_{name}": F.coalesce(F.sum(small).over(running), F.lit(0).cast("decimal(38,8)")),
-                f"_l_{name}": F.coalesce(F.sum(large).over(running), F.lit(0.0)),
-                f"_nl_{name}": F.count(large).over(running),
-                f"_n_{name}": F.count(value).over(running),
-            },
-            "forward": {f"_f{s}_{name}": fn(value).over(forward) for s, fn in _EXTREMES},
-            "backward": {f"_b{s}_{name}": fn(value).over(backward) for s, fn in _EXTREMES},
-        }
-
-    per_name = [columns("temperature"), columns("vibration")]
-    out = blocks
-    for step in ("backward", "forward", "sums"):
-        out = out.select("*", *[c.alias(k) for part in per_name for k, c in part[step].items()])
 
-    def since(column: str) -> Column:
-        before = F.lag(column, n).over(running)
-        return F.col(column) - F.coalesce(before, F.lit(0).cast(out.schema[column].dataType))
+    def stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+        frame = Window.partitionBy(*keys).orderBy("arrival_seq").rowsBetween(-(n - 1), 0)
+        return rows.select(
+            "*", F.count(F.lit(1)).over(frame).alias("n_points"),
+            *[fn(name).over(frame).alias(f"{s}_{name}") for name in ("temperature", "vibration") for s, fn in _STATS],
+        )
 
-    stats = {}
-    for name in ("temperature", "vibration"):
-        many_large = since(f"_nl_{name}")
-        total = since(f"_s_{name}").cast("double") + F.when(many_large > 0, since(f"_l_{name}")).otherwise(0.0)
-        stats[f"avg_{name}"] = F.try_divide(total, since(f"_n_{name}"))
-        for s, pick in (("min", F.least), ("max", F.greatest)):
-            from_start = F.lag(f"_b{s}_{name}", n - 1).over(running)
-            stats[f"{s}_{name}"] = pick(F.col(f"_f{s}_{name}"), from_start)
-    return out.select(*rows.columns, *[c.alias(k) for k, c in stats.items()])
+    return in_order(slim, ["motor_id"], "arrival_seq", n - 1, stats, span).drop("temperature", "vibration")
 
 
-_EXTREMES = (("min", F.min), ("max", F.max))
+_STATS = (("avg", F.avg), ("min", F.min), ("max", F.max))
 
 
 def effectively_disconnected(status: Column, temperature: Column, vibration: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import epoch_millis
 from ..schemas import STATE_VALUES
 from .latest import latest_reading
-from .ordering import CHUNK, SPAN, in_order
+from .ordering import SPAN, in_order
 
 THRESHOLD_MS = 10_000  # fixed value: a motor counts as connected for this long
 
@@ -58,14 +58,14 @@ def motor_state(motors: DataFrame, readings: DataFrame) -> DataFrame:
     return apply_messages(initial_state(motors, ts_type), readings)
 
 
-def changed_only(readings: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
+def changed_only(readings: DataFrame, span: int = SPAN) -> DataFrame:
     """Readings that differ in any of the five values from the one delivered before."""
     now = F.struct(*_FIVE)
 
     def previous(rows: DataFrame, window_keys: list[str]) -> DataFrame:
         return rows.withColumn("_prev", F.lag(now).over(Window.partitionBy(*window_keys).orderBy("arrival_seq")))
 
-    out = in_order(readings, ["motor_id"], "arrival_seq", 1, previous, span, chunk)
+    out = in_order(readings, ["motor_id"], "arrival_seq", 1, previous, span)
     return out.where(~now.eqNullSafe(F.col("_prev"))).select(*readings.columns)
 
 
@@ -108,11 +108,14 @@ def display_last_updated(state: DataFrame) -> DataFrame:
     )
 
 
-def prediction_view(state: DataFrame, buffer: DataFrame) -> DataFrame:
-    """Each motor with its live value where the buffer has points, else its stored one."""
-    # Only the last point travels to the join.
-    newest = buffer.select("motor_id", F.try_element_at(F.col("points"), F.lit(-1)).alias("_last"))
-    joined = state.join(newest, "motor_id", "left")
+def prediction_view(state: DataFrame, newest: DataFrame) -> DataFrame:
+    """Each motor with its live value where it has reported, else its stored one.
+
+    `newest` has the last delivered reading of each motor, which is the last point of its live
+    buffer, so the buffer itself is not needed.
+    """
+    last = newest.select("motor_id", F.struct("event_ts", "temperature", "vibration").alias("_last"))
+    joined = state.join(last, "motor_id", "left")
 
     def live_or(stored: str, live: str) -> Column:
         return F.when(F.col("_last").isNotNull(), F.col("_last")[live]).otherwise(F.col(stored))

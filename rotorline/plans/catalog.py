@@ -56,6 +56,20 @@ def _buffer(s: SparkSession, d: str) -> DataFrame:
     return series.live_buffer(fx.deliveries(s, d))
 
 
+# Averages of doubles depend in their last digits on the order of the rows. The operators return
+# them as they are; the queries cut them to steps of 10^-6, so that results can be compared. The
+# shift keeps averages that are short decimals, as many are, away from the edges of the steps.
+AVERAGE_SCALE, AVERAGE_SHIFT = 1e6, 0.4871
+
+
+def _comparable(df: DataFrame) -> DataFrame:
+    """The frame with its averages cut to steps."""
+    def cut(name: str) -> Column:
+        return F.floor(F.col(name) * AVERAGE_SCALE + AVERAGE_SHIFT) / AVERAGE_SCALE
+
+    return df.withColumns({c: cut(c) for c in df.columns if c.startswith("avg_")})
+
+
 def _now(s: SparkSession, d: str) -> Column:
     """The newest event time, as a subquery inside the plan."""
     return fx.events(s, d).agg(F.max("ts")).scalar()
@@ -118,14 +132,14 @@ def _(s, d):
 
 @query("restore_state")
 def _(s, d):
-    return _ntz(tables.restore_state(fx.saved_motors(s, d)), "last_updated")
+    return _ntz(tables.restore_state(fx.saved_motors(s, d)), "last_updated", "installed_at")
 
 
 @query("save_state")
 def _(s, d):
     path = _scratch(s, "state")
     tables.save_state(_state(s, d), path)
-    return _ntz(tables.load_state(s, path), "last_updated")
+    return _ntz(tables.load_state(s, path), "last_updated", "installed_at")
 
 
 @query("append_history")
@@ -377,7 +391,9 @@ def _(s, d):
 
 @query("prediction_view")
 def _(s, d):
-    return state.prediction_view(_state(s, d), _buffer(s, d))
+    newest = latest.latest_reading(fx.deliveries(s, d), "arrival")
+    current = state.apply_messages(state.initial_state(fx.motors(s, d), "timestamp_ntz"), newest)
+    return state.prediction_view(current, newest)
 
 
 @query("apply_message")
@@ -389,17 +405,17 @@ def _(s, d):
 
 @query("overview_summary")
 def _(s, d):
-    return overview.overview_summary(_state(s, d))
+    return _comparable(overview.overview_summary(_state(s, d)))
 
 
 @query("overview_by_company")
 def _(s, d):
-    return overview.overview_summary(_state(s, d), by=["company_id"])
+    return _comparable(overview.overview_summary(_state(s, d), by=["company_id"]))
 
 
 @query("overview_skip_nulls")
 def _(s, d):
-    return overview.overview_summary(_state(s, d), by=["company_id"], null_policy="skip")
+    return _comparable(overview.overview_summary(_state(s, d), by=["company_id"], null_policy="skip"))
 
 
 @query("status_distribution")
@@ -436,9 +452,7 @@ def _(s, d):
 
 @query("fleet_connected_by_company")
 def _(s, d):
-    reporting = fx.readings(s, d).select("motor_id")
-    seen = _state(s, d).join(reporting, "motor_id", "left_semi")
-    return state.fleet_connected(seen, _now(s, d), 14 * LIVE_MS, by=["company_id", "location"])
+    return state.fleet_connected(_state(s, d), _now(s, d), LIVE_MS, by=["company_id"])
 
 
 @query("motor_exists")
@@ -458,7 +472,7 @@ def _(s, d):
 
 @query("daily_trend")
 def _(s, d):
-    return overview.daily_trend(fx.readings(s, d), _now(s, d))
+    return _comparable(overview.daily_trend(fx.readings(s, d), _now(s, d)))
 
 
 # --- windows and series ------------------------------------------------------------------------
@@ -480,7 +494,7 @@ def _(s, d):
 
 @query("rolling_points")
 def _(s, d):
-    return series.rolling_points(fx.deliveries(s, d))
+    return _comparable(series.rolling_points(fx.deliveries(s, d)))
 
 
 @query("padded_series")
@@ -517,7 +531,7 @@ def _(s, d):
 
 @query("history_page_deep")
 def _(s, d):
-    return history.history_page(_log(s, d), 150, top_k_limit=0)
+    return history.history_page_deep(_log(s, d), 150)
 
 
 @query("history_page_after")
@@ -623,10 +637,34 @@ def _(s, d):
     return scored.select("reading_id", "heat")
 
 
-# --- streams: all given events, read as a stream to their end --------------------------------------
+# --- streams: all given rows, as a stream of several batches to its end -----------------------------
+
+PIECES = 4
+
+
+def _pieces(rows: DataFrame, key: str) -> list[DataFrame]:
+    """All rows in pieces by ranges of a whole number, in order."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    edges = [low + (high + 1 - low) * i // PIECES for i in range(PIECES + 1)] if low is not None else [0, 0]
+    return [rows.where((F.col(key) >= a) & (F.col(key) < b)) for a, b in zip(edges, edges[1:])]
+
+
+def _landed(s: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A given table, landed piece after piece in a folder, as a stream of about a batch per piece."""
+    path = _scratch(s, "landing")
+    for piece in _pieces(fx.table(s, d, name), key):
+        piece.write.mode("append").parquet(path)
+    files = len(s.read.schema(fx.TABLES[name]).parquet(path).inputFiles())
+    return landing(s, path, fx.TABLES[name], files_per_batch=max(1, files // PIECES))
+
 
 def _events_stream(s: SparkSession, d: str) -> DataFrame:
-    return landing(s, d, fx.TABLES["events"], only="events.parquet")
+    return _landed(s, d, "events", "event_id")
+
+
+def _registry(s: SparkSession, d: str) -> Callable[[], DataFrame]:
+    """The registry, read anew for every batch."""
+    return lambda: fx.motors(s, d)
 
 
 def _finish(started) -> None:
@@ -637,19 +675,50 @@ def _finish(started) -> None:
 def _(s, d):
     path = _scratch(s, "latest")
     stream = fx.deliveries_of(_events_stream(s, d))
-    _finish(streams.stream_latest_state(stream, fx.motors(s, d), path, f"{path}-cp"))
+    _finish(streams.stream_latest_state(stream, _registry(s, d), path, f"{path}-cp"))
     return streams.latest_state(s, path, stream.schema)
 
 
-@query("stream_ingest")
+@query("stream_fleet_state")
 def _(s, d):
+    path = _scratch(s, "fleet")
+    stream = fx.deliveries_of(_events_stream(s, d))
+    _finish(streams.stream_latest_state(stream, _registry(s, d), path, f"{path}-cp", snapshot_every=2))
+    return streams.fleet_state(s, path, stream.schema, fx.motors(s, d))
+
+
+def _ingested(s: SparkSession, d: str) -> tuple[str, T.StructType]:
     path = _scratch(s, "ingest")
     raw = fx.telemetry_of(_events_stream(s, d))
-    _finish(streams.stream_ingest(raw, fx.motors(s, d), path, f"{path}-cp"))
-    schema = telemetry.parse_telemetry(raw).schema
+    _finish(streams.stream_ingest(raw, _registry(s, d), path, f"{path}-cp"))
+    return path, telemetry.parse_telemetry(raw).schema
+
+
+@query("stream_ingest")
+def _(s, d):
+    path, schema = _ingested(s, d)
     return _ntz(streams.latest_state(s, f"{path}/state", schema), "event_ts")
 
 
+@query("stream_ingest_buffer")
+def _(s, d):
+    path, schema = _ingested(s, d)
+    return _ntz(series.buffer_rows(streams.buffered(s, f"{path}/buffer", schema)), "event_ts")
+
+
+@query("stream_ingest_history")
+def _(s, d):
+    path, schema = _ingested(s, d)
+    log = history.append_history(s.createDataFrame([], schema), fx.motors(s, d)).schema
+    return _ntz(streams.history_log(s, f"{path}/history", log), "event_ts").drop("event_date")
+
+
+@query("stream_ingest_quarantine")
+def _(s, d):
+    path, _ = _ingested(s, d)
+    return streams.batches(s, f"{path}/quarantine", fx.telemetry(s, d).schema).select("arrival_seq", "topic", "payload")
+
+
 @query("stream_live_buffer")
 def _(s, d):
     path = _scratch(s, "buffer")
@@ -662,14 +731,19 @@ def _(s, d):
 def _(s, d):
     path = _scratch(s, "history")
     stream = fx.deliveries_of(_events_stream(s, d))
-    _finish(streams.stream_history(stream, fx.motors(s, d), path, f"{path}-cp"))
-    return s.read.parquet(path).drop("event_date")
+    _finish(streams.stream_history(stream, _registry(s, d), path, f"{path}-cp"))
+    return streams.history_log(s, path, _log(s, d).schema).drop("event_date")
 
 
 @query("stream_changed_only")
 def _(s, d):
     path = _scratch(s, "changed")
-    stream = fx.deliveries_of(_events_stream(s, d))
+    # By delivery, since a change is one against what was delivered before.
+    ordered = fx.deliveries(s, d)
+    landing_path = f"{path}-landing"
+    for piece in _pieces(ordered, "arrival_seq"):
+        piece.coalesce(1).write.mode("append").parquet(landing_path)
+    stream = landing(s, landing_path, ordered.schema, files_per_batch=1)
     _finish(streams.stream_changed_only(stream, path, f"{path}-cp"))
     return streams.changes(s, path, stream.schema).drop("batch_id")
 
@@ -677,16 +751,19 @@ def _(s, d):
 @query("stream_connection_timeout")
 def _(s, d):
     path = _scratch(s, "liveness")
-    stream = fx.deliveries_of(_events_stream(s, d))
-    # A query with timers never runs out of batches, so it is given a single one.
-    _finish(streams.stream_connection_timeout(stream, path, f"{path}-cp", trigger={"once": True}))
-    return s.read.schema(streams.CONNECTION).parquet(path).drop("batch_id")
+    readings = fx.deliveries(s, d)
+    # A query with timers never runs out of batches, so it is started once for each piece that lands.
+    for piece in _pieces(readings, "arrival_seq"):
+        piece.write.mode("append").parquet(f"{path}-landing")
+        stream = landing(s, f"{path}-landing", readings.schema)
+        _finish(streams.stream_connection_timeout(stream, path, f"{path}-cp", trigger={"once": True}))
+    return s.read.schema(streams.CONNECTION).parquet(path).select("motor_id", "connection")
 
 
 @query("stream_motor_changes")
 def _(s, d):
     path = _scratch(s, "registry")
-    stream = landing(s, d, fx.TABLES["customer"], only="customer.parquet").select(
+    stream = _landed(s, d, "customer", "c_custkey").select(
         fx.motor_key("c_custkey").alias("motor_id"),
         fx.company_key(F.col("c_nationkey")).alias("company_id"),
         F.col("c_name").alias("motor_name"), F.col("c_mktsegment").alias("location"),
@@ -707,16 +784,18 @@ def _(s, d):
 def _(s, d):
     path = _scratch(s, "trend")
     _finish(streams.stream_daily_trend(fx.readings_of(_events_stream(s, d)), path, f"{path}-cp"))
-    return s.read.parquet(path)
+    return _comparable(streams.daily_averages(s, path))
 
 
 @query("stream_callback")
 def _(s, d):
     path = _scratch(s, "callback")
     stream = fx.readings_of(_events_stream(s, d))
+    calls: list[int] = []
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def keep(so_far: DataFrame, batch_id: int) -> None:
+        calls.append(batch_id)
+        so_far.write.parquet(f"{path}-calls/batch_id={batch_id}")
 
-    _finish(streams.subscribe_readings(stream, MOTOR, keep, f"{path}-cp"))
-    return s.read.schema(stream.schema).parquet(path).drop("batch_id")
+    _finish(streams.subscribe_readings(stream, MOTOR, keep, path, f"{path}-cp"))
+    return s.read.schema(stream.schema).parquet(f"{path}-calls/batch_id={calls[-1]}")

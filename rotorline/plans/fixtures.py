@@ -161,7 +161,7 @@ def repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def telemetry_of(rows: DataFrame) -> DataFrame:
-    """Raw messages: malformed, without id, odd numbers, no time, missing or empty status."""
+    """Raw messages: malformed, without id, with id 0, odd numbers, no time, missing, empty or false status."""
     eid = F.col("event_id")
     k = F.col("k").cast("string")
     temperature = F.when(eid % 71 == 0, "n/a").otherwise(F.col("value").cast("decimal(10,2)").cast("string"))
@@ -170,6 +170,7 @@ def telemetry_of(rows: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("event_type") == "signup", "")
         .when(F.col("event_type") == "view", ',"status":""')
+        .when(eid % 13 == 0, ',"status":false')
         .otherwise(F.concat(F.lit(',"status":"Fault","confidence":'), k))
     )
     message = F.concat(
@@ -179,7 +180,9 @@ def telemetry_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", _k()).select(
         eid.alias("arrival_seq"),
         topic_of(motor_key("user_id")).alias("topic"),
-        F.when(eid % 97 == 0, "{bad").when(eid % 89 == 0, '{"temperature":20.5}').otherwise(message).alias("payload"),
+        F.when(eid % 97 == 0, "{bad").when(eid % 89 == 0, '{"temperature":20.5}')
+        .when(eid % 101 == 0, '{"motor_id":0,"temperature":20.5}').when(eid % 103 == 0, F.concat(message, F.lit("] junk")))
+        .otherwise(message).alias("payload"),
         F.col("ts").alias("arrival_ts"),
     )
 
@@ -232,12 +235,15 @@ def saved_motors(spark: SparkSession, d: str) -> DataFrame:
     )
     confidence = F.when(key % 4 == 0, "").otherwise(F.concat(F.lit(',"confidence":'), (key % 100).cast("string")))
     updated = F.when(key % 5 == 0, "null").when(key % 5 == 1, '""').otherwise('"2024-01-30T10:20:30.500Z"')
+    company = F.concat(F.lit(',"companyId":"'), company_key(_div("c_custkey", MOTORS_PER_COMPANY)), F.lit('"'))
+    installed = F.when(key % 6 == 0, "").otherwise(',"installedAt":"2023-06-01T08:00:00.000Z"')
+    registered = F.when(key % 8 == 0, ',"regSeq":"none"').otherwise(F.concat(F.lit(',"regSeq":'), (key * 2).cast("string")))
     return table(spark, d, "customer").select(
         F.concat(
             F.lit('{"id":"'), motor_key("c_custkey"), F.lit('","name":"'), F.col("c_name"),
             F.lit('","location":"'), F.col("c_mktsegment"), F.lit('","temperature":'), temperature,
             F.lit(',"vibration":0.0'), F.lpad((key % 100).cast("string"), 2, "0"),
-            F.lit(',"status":"Healthy"'), confidence, F.lit(',"lastUpdated":'), updated, F.lit("}"),
+            company, installed, registered, F.lit(',"status":"Healthy"'), confidence, F.lit(',"lastUpdated":'), updated, F.lit("}"),
         ).alias("value")
     )
 

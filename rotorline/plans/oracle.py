@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from . import fixtures as fx
-from .catalog import COMPANY, LIVE_MS, MOTOR
+from .catalog import AVERAGE_SCALE, AVERAGE_SHIFT, COMPANY, LIVE_MS, MOTOR
 
 
 def _motor(number: str) -> str:
@@ -17,7 +17,9 @@ def _motor(number: str) -> str:
 
 
 def _avg(value: str, rows: str, over: str = "") -> str:
-    return f"CAST(sum(CAST({value} AS DECIMAL(24,8))){over} AS DOUBLE) / {rows}"
+    """An average, cut to steps as the queries cut it."""
+    mean = f"sum(CAST({value} AS DOUBLE)){over} / {rows}"
+    return f"floor({mean} * {AVERAGE_SCALE}::DOUBLE + {AVERAGE_SHIFT}::DOUBLE) / {AVERAGE_SCALE}::DOUBLE"
 
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -74,6 +76,7 @@ CTES: dict[str, str] = {
         SELECT event_id AS arrival_seq, 'motors/' || {_motor('user_id')} || '/data' AS topic,
                CASE WHEN event_id % 97 = 0 THEN '{{bad'
                     WHEN event_id % 89 = 0 THEN '{{"temperature":20.5}}'
+                    WHEN event_id % 101 = 0 THEN '{{"motor_id":0,"temperature":20.5}}'
                     ELSE '{{"motor_id":"' || {_motor('user_id')} || '","temperature":"'
                       || CASE WHEN event_id % 71 = 0 THEN 'n/a' ELSE CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) END
                       || CASE WHEN event_id % 83 = 0 THEN 'abc' ELSE '' END
@@ -81,8 +84,9 @@ CTES: dict[str, str] = {
                       || ',"timestamp":' || CASE WHEN event_id % 79 = 0 THEN '0'
                                                  ELSE CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) END
                       || CASE WHEN event_type = 'signup' THEN '' WHEN event_type = 'view' THEN ',"status":""'
+                              WHEN event_id % 13 = 0 THEN ',"status":false'
                               ELSE ',"status":"Fault","confidence":' || CAST({K} AS VARCHAR) END
-                      || '}}' END AS payload,
+                      || '}}' || CASE WHEN event_id % 103 = 0 THEN '] junk' ELSE '' END END AS payload,
                ts AS arrival_ts
         FROM events""",
     "f_sensor_data": f"""
@@ -189,9 +193,11 @@ def _rolled(name: str) -> str:
 
 
 _DECODED = """
-    SELECT arrival_seq, json_extract_string(j, '$.motor_id') AS motor_id, json_extract_string(j, '$.temperature') AS t,
-           json_extract_string(j, '$.vibration') AS v, json_extract_string(j, '$.timestamp') AS s,
-           json_extract_string(j, '$.status') AS st, json_extract_string(j, '$.confidence') AS c, arrival_ts
+    SELECT arrival_seq, CASE WHEN json_type(j, '$.motor_id') = 'VARCHAR' THEN json_extract_string(j, '$.motor_id') END AS motor_id,
+           json_extract_string(j, '$.temperature') AS t, json_extract_string(j, '$.vibration') AS v,
+           json_extract_string(j, '$.timestamp') AS s,
+           CASE WHEN json_type(j, '$.status') = 'VARCHAR' THEN json_extract_string(j, '$.status') END AS st,
+           json_extract_string(j, '$.confidence') AS c, arrival_ts
     FROM (SELECT *, CASE WHEN json_valid(payload) THEN payload END AS j FROM f_telemetry)"""
 
 
@@ -206,6 +212,8 @@ _PARSED = f"""
                coalesce(nullif(st, ''), 'Unknown') AS status, coalesce(TRY_CAST(c AS DOUBLE), 0) AS confidence
         FROM ({_DECODED}) WHERE motor_id <> ''"""
 
+_SUBSCRIBED = f"SELECT * FROM ({_PARSED}) WHERE motor_id IN (SELECT motor_id FROM f_motors)"
+
 SQL: dict[str, str] = {
     "parse_telemetry": _PARSED,
     "malformed_telemetry": "SELECT arrival_seq, topic, payload FROM f_telemetry WHERE NOT json_valid(payload)",
@@ -229,7 +237,9 @@ SQL: dict[str, str] = {
                CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS temperature, event_id * 2 + o AS timestamp
         FROM events, (VALUES ('a', 0), ('b', 1)) AS n(p, o)""",
     "restore_state": """
-        SELECT motor_id, c_name AS motor_name, c_mktsegment AS location,
+        SELECT motor_id, 'company_' || (c_custkey // 14) AS company_id, c_name AS motor_name, c_mktsegment AS location,
+               CASE WHEN c_custkey % 6 <> 0 THEN TIMESTAMP '2023-06-01 08:00:00' END AS installed_at,
+               CASE WHEN c_custkey % 8 <> 0 THEN c_custkey * 2 END AS reg_seq,
                CASE WHEN c_custkey % 3 = 0 THEN CAST(number AS DOUBLE) END AS temperature,
                CAST('0.0' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS vibration,
                'Healthy' AS status,
@@ -237,7 +247,7 @@ SQL: dict[str, str] = {
                CASE WHEN c_custkey % 5 NOT IN (0, 1) THEN TIMESTAMP '2024-01-30 10:20:30.5' END AS last_updated
         FROM f_saved""",
     "save_state": """
-        SELECT motor_id, motor_name, location, temperature, vibration, status, confidence,
+        SELECT motor_id, company_id, motor_name, location, installed_at, reg_seq, temperature, vibration, status, confidence,
                date_trunc('millisecond', last_updated) AS last_updated FROM state""",
     "append_history": "SELECT * FROM log",
     "append_by_date": "SELECT motor, count(*) AS n, max(event_ts) AS last_event_ts FROM log GROUP BY motor",
@@ -355,10 +365,7 @@ SQL: dict[str, str] = {
         FROM (SELECT company_id, CAST(max(CAST(regexp_extract(motor_id, '(\\d+)$', 1) AS BIGINT)) + 1 AS VARCHAR) AS n
               FROM f_motors GROUP BY company_id)""",
     "fleet_connected": _fleet("state", LIVE_MS),
-    "fleet_connected_by_company": _fleet(
-        "(SELECT * FROM state WHERE motor_id IN (SELECT motor_id FROM f_readings))", 14 * LIVE_MS,
-        "company_id, location",
-    ),
+    "fleet_connected_by_company": _fleet("state", LIVE_MS, "company_id"),
     "motor_exists": """
         SELECT DISTINCT motor_id, motor_id IN (SELECT motor_id FROM f_motors) AS found FROM f_readings""",
     "uniqueness_violations": "SELECT email, count(*) AS n FROM f_signups GROUP BY email HAVING count(*) > 1",
@@ -437,6 +444,18 @@ SQL: dict[str, str] = {
     "stream_ingest": f"""
         SELECT * FROM ({_PARSED}) WHERE motor_id IN (SELECT motor_id FROM f_motors)
         QUALIFY row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq DESC) = 1""",
+    "stream_fleet_state": "SELECT * FROM state",
+    "stream_ingest_buffer": f"""
+        SELECT motor_id, CAST(row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq) - 1 AS INTEGER) AS slot,
+               event_ts, temperature, vibration
+        FROM (SELECT * FROM ({_SUBSCRIBED}) QUALIFY row_number() OVER (PARTITION BY motor_id ORDER BY arrival_seq DESC) <= 60)""",
+    "stream_ingest_history": f"""
+        SELECT 'log-' || arrival_seq || '-' || motor_id AS log_id, motor_id, event_ts,
+               coalesce(motor_name, motor_id) AS motor, status, confidence, temperature, vibration, arrival_seq
+        FROM ({_SUBSCRIBED}) LEFT JOIN names USING (motor_id)""",
+    "stream_ingest_quarantine": """
+        SELECT arrival_seq, topic, payload FROM f_telemetry
+        WHERE NOT json_valid(payload) AND split_part(topic, '/', 2) IN (SELECT motor_id FROM f_motors)""",
     "stream_live_buffer": "SELECT * FROM buffer",
     "stream_history": "SELECT * FROM log",
     "stream_changed_only": f"""
@@ -446,7 +465,7 @@ SQL: dict[str, str] = {
                 (lag(temperature) OVER ({_BY_ARRIVAL}), lag(vibration) OVER ({_BY_ARRIVAL}), lag(status) OVER ({_BY_ARRIVAL}),
                  lag(confidence) OVER ({_BY_ARRIVAL}), lag(event_ts) OVER ({_BY_ARRIVAL}))""",
     "stream_connection_timeout": """
-        SELECT motor_id, 'Disconnected' AS connection, epoch_us(event_ts) // 1000 AS last_ms FROM arrived""",
+        SELECT motor_id, 'Disconnected' AS connection FROM arrived""",
     "stream_motor_changes": f"""
         SELECT {_motor('c_custkey')} AS motor_id, 'company_' || c_nationkey AS company_id, c_name AS motor_name,
                c_mktsegment AS location, c_custkey AS arrival_seq FROM customer""",
@@ -455,8 +474,7 @@ SQL: dict[str, str] = {
         FROM f_readings""",
     "stream_daily_trend": f"""
         SELECT CAST(event_ts AS DATE) AS day, count(*) AS n, {_trend('temperature')}, {_trend('vibration')}
-        FROM f_readings GROUP BY 1
-        HAVING CAST(event_ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        FROM f_readings GROUP BY 1""",
     "stream_callback": f"SELECT * FROM f_readings WHERE motor_id = '{MOTOR}'",
 }
 

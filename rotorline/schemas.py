@@ -18,10 +18,11 @@ MOTORS = _fields(
 
 TELEMETRY = _fields(("topic", _S), ("payload", _S), ("arrival_seq", _L), ("arrival_ts", _TS))
 
-# Every field is read as text, so that one odd value cannot void its message.
+# Fields are read as text, so that one odd value cannot void its message; where it matters whether
+# a value was text or a number, as variants.
 MESSAGE = _fields(
-    ("motor_id", _S), ("temperature", _S), ("vibration", _S), ("timestamp", _S),
-    ("status", _S), ("confidence", _S),
+    ("motor_id", T.VariantType()), ("temperature", _S), ("vibration", _S), ("timestamp", _S),
+    ("status", T.VariantType()), ("confidence", _S),
 )
 
 READINGS = _fields(
@@ -43,8 +44,8 @@ MOTOR_STATE = T.StructType(
 
 # One saved motor as JSON. Numbers are typed here on purpose: text in their place reads as NULL.
 SAVED_MOTOR = _fields(
-    ("id", _S), ("name", _S), ("location", _S), ("temperature", _D), ("vibration", _D),
-    ("status", _S), ("confidence", _D), ("lastUpdated", _S),
+    ("id", _S), ("companyId", _S), ("name", _S), ("location", _S), ("installedAt", _S), ("regSeq", _L),
+    ("temperature", _D), ("vibration", _D), ("status", _S), ("confidence", _D), ("lastUpdated", _S),
 )
 
 HISTORY_LOG = _fields(

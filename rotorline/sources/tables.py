@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.values import EVENT_DATE, finite_or_null
+from . import folders
 
 
 def scan(table: DataFrame, cols: Sequence[str] | None = None, eq: Mapping[str, object] | None = None) -> DataFrame:
@@ -49,18 +50,39 @@ def append_by_date(rows: DataFrame, path: str) -> None:
     append(dated.sortWithinPartitions(EVENT_DATE, "motor_id"), path, [EVENT_DATE])
 
 
+def _iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _from_iso(text: Column) -> Column:
+    return F.try_to_timestamp(F.nullif(text, F.lit("")))
+
+
 def to_saved(state: DataFrame) -> DataFrame:
-    """State rows as JSON text, one motor to a line, times in ISO form."""
-    iso = F.date_format(F.col("last_updated"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """State rows as JSON text, one motor of one company to a line, times in ISO form."""
     record = F.struct(
-        F.col("motor_id").alias("id"), F.col("motor_name").alias("name"), "location", "temperature",
-        "vibration", "status", "confidence", iso.alias("lastUpdated"),
+        F.col("motor_id").alias("id"), F.col("company_id").alias("companyId"), F.col("motor_name").alias("name"), "location",
+        _iso(F.col("installed_at")).alias("installedAt"), F.col("reg_seq").alias("regSeq"), "temperature", "vibration",
+        "status", "confidence", _iso(F.col("last_updated")).alias("lastUpdated"),
     )
     return state.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def save_state(state: DataFrame, path: str) -> None:
-    to_saved(state).write.mode("overwrite").text(path)
+VERSION = "version"
+
+
+def save_state(state: DataFrame, path: str) -> int:
+    """Write the state as a new version beside the older ones; a failed write leaves those readable.
+
+    Of the older versions the newest complete one stays.
+    """
+    spark = state.sparkSession
+    before = folders.complete(spark, path, VERSION)
+    number = before[-1] + 1 if before else 0
+    to_saved(state).write.mode("overwrite").text(f"{path}/{VERSION}={number}")
+    for old in before[:-1]:
+        folders.delete(spark, f"{path}/{VERSION}={old}")
+    return number
 
 
 def restore_state(saved: DataFrame) -> DataFrame:
@@ -68,18 +90,25 @@ def restore_state(saved: DataFrame) -> DataFrame:
     s = F.from_json(F.col("value"), schemas.SAVED_MOTOR, {"allowNonNumericNumbers": "false"})
     return saved.select(s.alias("s")).select(
         F.col("s.id").alias("motor_id"),
+        F.col("s.companyId").alias("company_id"),
         F.col("s.name").alias("motor_name"),
         F.col("s.location").alias("location"),
+        _from_iso(F.col("s.installedAt")).alias("installed_at"),
+        F.col("s.regSeq").alias("reg_seq"),
         finite_or_null(F.col("s.temperature")).alias("temperature"),
         finite_or_null(F.col("s.vibration")).alias("vibration"),
         F.col("s.status").alias("status"),
         F.coalesce(finite_or_null(F.col("s.confidence")), F.lit(0.0)).alias("confidence"),
-        F.try_to_timestamp(F.nullif(F.col("s.lastUpdated"), F.lit(""))).alias("last_updated"),
+        _from_iso(F.col("s.lastUpdated")).alias("last_updated"),
     )
 
 
-def load_state(spark, path: str) -> DataFrame:
-    return restore_state(spark.read.text(path))
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version."""
+    versions = folders.complete(spark, path, VERSION)
+    if not versions:
+        raise FileNotFoundError(f"no saved state in {path}")
+    return restore_state(spark.read.text(f"{path}/{VERSION}={versions[-1]}"))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -11,38 +11,50 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids
 from ..functions.values import (
-    UNKNOWN_STATUS, epoch_to_ts, finite_or_null, lenient_number, or_default,
+    UNKNOWN_STATUS, epoch_to_ts, finite_or_null, lenient_number, truthy_text,
 )
 
 # JSON as the bus defines it: no single quotes, no bare NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def _seal(payload: Column) -> Column:
+    """What no payload can foresee of itself."""
+    return F.xxhash64(payload).cast("string")
+
+
 def _decoded(payload: Column) -> Column:
-    """The payload as the only element of a JSON array, so that anything after it is an error."""
-    return F.from_json(F.concat(F.lit("["), payload, F.lit("]")), schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
+    """The payload and a sealed message after it as a JSON array of two.
+
+    Anything after the payload's object makes another array or none, and so shows.
+    """
+    sealed = F.concat(F.lit("["), payload, F.lit(',{"motor_id":"'), _seal(payload), F.lit('"}]'))
+    return F.from_json(sealed, schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
 
 
-def _is_one_object(messages: Column) -> Column:
-    return F.coalesce((F.size(messages) == 1) & F.get(messages, F.lit(0)).isNotNull(), F.lit(False))
+def _is_one_object(messages: Column, payload: Column) -> Column:
+    last = F.try_variant_get(F.get(messages, F.lit(1)).motor_id, "$", "string")
+    whole = (F.size(messages) == 2) & F.get(messages, F.lit(0)).isNotNull() & (last == _seal(payload))
+    return F.coalesce(whole, F.lit(False))
 
 
 def parse_telemetry(raw: DataFrame) -> DataFrame:
     """Messages as readings; malformed messages and those without a motor id are dropped.
 
     Unreadable numbers become NULL, a missing status 'Unknown', a missing confidence 0 and a
-    missing time the arrival time.
+    missing time the arrival time. An id or status that is the number 0 or false counts as missing.
     """
     # The one-element explode is a barrier: a filter on a decoded field would otherwise move
     # below the projection and decode every message a second time.
     decoded = raw.withColumn("ms", F.explode(F.array(_decoded(F.col("payload")))))
     m = F.get("ms", 0)
-    read = decoded.where(_is_one_object(F.col("ms")) & F.nullif(m.motor_id, F.lit("")).isNotNull()).select(
-        "arrival_seq", "arrival_ts", m.motor_id.alias("motor_id"),
+    motor = truthy_text(m.motor_id)
+    read = decoded.where(_is_one_object(F.col("ms"), F.col("payload")) & motor.isNotNull()).select(
+        "arrival_seq", "arrival_ts", motor.alias("motor_id"),
         m.timestamp.try_cast("double").alias("seconds"),
         lenient_number(m.temperature).alias("temperature"),
         lenient_number(m.vibration).alias("vibration"),
-        or_default(m.status, UNKNOWN_STATUS).alias("status"),
+        F.coalesce(truthy_text(m.status), F.lit(UNKNOWN_STATUS)).alias("status"),
         m.confidence.try_cast("double").alias("confidence"),
     )
     return read.select(
@@ -66,7 +78,7 @@ def malformed_telemetry(raw: DataFrame) -> DataFrame:
     names_no_object = ~F.ltrim(payload).startswith("{") & (F.trim(payload) != "")
     value = F.try_parse_json(payload)
     other_json = names_no_object & value.isNotNull() & ~F.is_variant_null(value)
-    return raw.where(~_is_one_object(_decoded(payload)) & ~F.coalesce(other_json, F.lit(False)))
+    return raw.where(~_is_one_object(_decoded(payload), payload) & ~F.coalesce(other_json, F.lit(False)))
 
 
 def with_topic_motor(raw: DataFrame) -> DataFrame:

@@ -10,15 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import folders
+
 
 def landing(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
-            files_per_batch: int | None = None, only: str | None = None) -> DataFrame:
-    """Files of a folder as a stream; `only` is a file name pattern."""
+            files_per_batch: int | None = None) -> DataFrame:
+    """The files of a table as a stream, whether it is a folder of files or one file.
+
+    A path without any file is an error: a stream on it would wait for ever without a word.
+    """
+    if not spark.read.format(fmt).schema(schema).load(path).inputFiles():
+        raise FileNotFoundError(f"no {fmt} files in {path}")
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if only:
-        reader = reader.option("pathGlobFilter", only)
+    if folders.is_file(spark, path):  # a stream takes a file only as a pattern, this one matches nothing else
+        folder, _, name = path.rpartition("/")
+        path = f"{folder}/{{{name}}}"
     return reader.load(path)
 
 

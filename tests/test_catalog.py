@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, open_tables
+from rotorline.plans.catalog import QUERIES
+from rotorline.plans.oracle import statements
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,14 +15,14 @@ def con():
     return open_tables(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     _, _, problem = compare(spark, con, name, SF_DIR)
     assert problem is None, problem
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(statements())
 
 
 def test_entry_has_rows(spark):

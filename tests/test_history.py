@@ -59,9 +59,8 @@ def test_pages_add_up_to_the_sorted_log(log, key, desc):
     whole = [tuple(r) for r in history.history_sort(frame, key, desc).collect()]
     paged = history.history_pages(frame, 7, key, desc).orderBy("page", "slot").drop("page", "slot").collect()
     assert [tuple(r) for r in paged] == whole
-    for limit in (0, history.TOP_K_LIMIT):
-        third = history.history_page(frame, 3, 7, key, desc, top_k_limit=limit).collect()
-        assert [tuple(r) for r in third] == whole[14:21]
+    for page in (history.history_page, history.history_page_deep):
+        assert [tuple(r) for r in page(frame, 3, 7, key, desc).collect()] == whole[14:21]
     for size in (7, 60, 100):
         last = history.history_last_page(frame, size, key, desc).collect()
         assert [tuple(r) for r in last] == whole[(len(whole) - 1) // size * size:]

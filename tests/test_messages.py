@@ -85,6 +85,17 @@ def test_odd_values_do_not_void_a_message(make):
     assert rows(got, "temperature", "vibration", "confidence", "event_ts") == [(None, None, 0.0, at(0))]
 
 
+@pytest.mark.parametrize("value", ["0", "-0.0", "0e5", "false", "null", '""'])
+def test_falsy_values_are_missing(make, value):
+    assert rows(parsed(make, '{"motor_id":%s}' % value)) == []
+    assert rows(parsed(make, '{"motor_id":"a","status":%s}' % value), "status") == [("Unknown",)]
+
+
+@pytest.mark.parametrize("value,text", [("7", "7"), ("true", "true"), ('"0"', "0"), ('"false"', "false"), ("12.5", "12.5")])
+def test_other_values_are_text(make, value, text):
+    assert rows(parsed(make, '{"motor_id":%s,"status":%s}' % (value, value)), "motor_id", "status") == [(text, text)]
+
+
 def test_infinite_numbers_are_not_measurements(make):
     assert rows(parsed(make, '{"motor_id":"a","temperature":"1e999"}'), "temperature") == [(None,)]
 
@@ -95,7 +106,7 @@ def test_quarantine_takes_exactly_the_malformed(make):
 
 
 @pytest.mark.parametrize("payload", [
-    '{"motor_id":"a"} x', '{"motor_id":"a"}{"motor_id":"b"}', '{"motor_id":"a"},{"motor_id":"b"}', "{'motor_id':'a'}",
+    '{"motor_id":"a"} x', '{"motor_id":"a"}] junk', '{"motor_id":"a"},{"motor_id":"b"}] junk', '{"motor_id":"a"}{"motor_id":"b"}', '{"motor_id":"a"},{"motor_id":"b"}', "{'motor_id':'a'}",
     '{"motor_id":"a","temperature":NaN}', '{"motor_id":"a",}', "", "  ", "null",
 ])
 def test_json_is_read_strictly(make, payload):
@@ -156,11 +167,35 @@ def test_csv_export(spark, make, folder):
     assert rows(back) == [("x,y", "[1,2]", "0.5"), (None, None, None)]
 
 
-def test_exact_average(make):
+def test_average_is_that_of_the_doubles(make):
     def avg(*xs):
-        return make.of("x double", *[(x,) for x in xs]).agg(values.exact_avg(F.col("x"), F.count("x"))).first()[0]
+        return make.of("x double", *[(x,) for x in xs]).agg(values.average(F.col("x"), F.count("x"))).first()[0]
 
-    assert avg(0.1, 0.2, 0.3) == 0.6 / 3  # the sum of the doubles would be 0.6000000000000001
+    assert avg(0.1, 0.2, 0.3) == pytest.approx(0.2, rel=1e-15)
     assert avg() is None
     assert avg(1e30, 1e30) == 1e30
+    assert avg(3e-9, 1e-9, 2e-9) == pytest.approx(2e-9, rel=1e-15)
     assert math.isinf(avg(float("inf"), 1.0))
+
+
+STATE = ("motor_id string, company_id string, motor_name string, location string, installed_at timestamp, reg_seq long, "
+         "temperature double, vibration double, status string, confidence double, last_updated timestamp")
+
+
+def test_saved_state_comes_back_whole_and_keeps_a_readable_version(spark, make, folder):
+    """A motor of two companies, an older version beside the new one, and a write that failed."""
+    state = make.of(
+        STATE, ("a", "c1", "n", "hall", at(1), 5, 1.5, None, "Healthy", 0.0, at(2)),
+        ("a", "c2", "n2", None, None, None, 2.5, 0.1, "Fault", 9.0, None), ("b", None, None, None, None, 7, None, None, None, 0.0, None))
+    with pytest.raises(FileNotFoundError):
+        tables.load_state(spark, folder("s"))
+    assert tables.save_state(state.limit(1), folder("s")) == 0
+    assert tables.save_state(state, folder("s")) == 1
+    assert rows(tables.load_state(spark, folder("s")), *state.columns) == rows(state)
+    broken = state.withColumn("status", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        tables.save_state(broken, folder("s"))
+    assert rows(tables.load_state(spark, folder("s")), *state.columns) == rows(state)
+    for _ in range(3):
+        tables.save_state(state, folder("s"))
+    assert len(tables.folders.complete(spark, folder("s"), tables.VERSION)) == 2

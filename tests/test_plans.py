@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from conftest import rows
-from rotorline.operators import access, alerts, history, latest, registry, series, state
+from rotorline.operators import access, alerts, history, latest, ordering, registry, series, state
 from rotorline.plans import fixtures as fx
+from rotorline.plans.catalog import QUERIES
 from rotorline.sources import tables
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -32,8 +32,20 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_buffer_is_limited_before_the_shuffle(spark):
     text = plan(series.live_buffer(fx.readings(spark, SF_DIR)))
-    assert re.search(r"WindowGroupLimit .* 60, Final", text) and re.search(r"WindowGroupLimit .* 60, Partial", text)
-    assert text.count("Exchange hashpartitioning") == 1
+    # Once per motor and bucket, then per motor.
+    assert len(re.findall(r"WindowGroupLimit .* 60, Final", text)) == 2
+    assert len(re.findall(r"WindowGroupLimit .* 60, Partial", text)) == 2
+    assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_settings_reach_readings_without_a_shuffle_of_them(spark):
+    text = plan(QUERIES["threshold_alerts"](spark, SF_DIR))
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
+
+
+def test_prediction_view_reads_no_buffer(spark):
+    text = plan(QUERIES["prediction_view"](spark, SF_DIR))
+    assert "Window" not in text
 
 
 def test_latest_is_reduced_before_the_shuffle(spark):
@@ -52,12 +64,12 @@ def test_membership_is_a_semi_join(spark):
 
 
 def test_message_is_decoded_once(spark):
-    df = queries()["parse_telemetry"](spark, SF_DIR)
+    df = QUERIES["parse_telemetry"](spark, SF_DIR)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_no_query_multiplies_or_broadcasts_blindly(spark):
-    for name, query in queries().items():
+    for name, query in QUERIES.items():
         if name.startswith("stream_") or name in ("save_state", "append_by_date", "export_csv"):
             continue
         text = plan(query(spark, SF_DIR))
@@ -115,6 +127,9 @@ def test_busy_motor_is_split_in_joins(spark, hot, shuffled_joins, name, build):
 def test_busy_motor_is_cut_into_chunks(hot):
     data = hot.select("motor_id", "arrival_seq", "temperature", "vibration", "status", "confidence", "event_ts")
     whole = rows(series.rolling_points(data), "motor_id", "arrival_seq", "n_points", "max_temperature")
-    cut = rows(series.rolling_points(data, span=5000, chunk=1200), "motor_id", "arrival_seq", "n_points", "max_temperature")
+    cut = rows(series.rolling_points(data, span=5000), "motor_id", "arrival_seq", "n_points", "max_temperature")
     assert whole == cut
-    assert state.changed_only(data, 5000, 1000).count() == state.changed_only(data).count()
+    assert state.changed_only(data, 5000).count() == state.changed_only(data).count()
+    spans = ordering.with_spans(data, ["motor_id"], "arrival_seq", 5000).groupBy("motor_id", "_span").count()
+    assert spans.agg(F.max("count")).first()[0] <= 10_000
+    assert spans.where("motor_id = 'MOTOR-001'").count() > 10

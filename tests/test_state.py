@@ -87,8 +87,8 @@ def test_buffer_and_padding(make, count):
 
 def test_prediction_view_prefers_live_points(make):
     s = make.state(("a", 1.0, 1.0, "Healthy", at(1)), ("b", 2.0, 2.0, "Fault", at(2)))
-    buffer = series.live_buffer(make.readings(("a", 50, 1, None, 0.7)))
-    assert rows(state.prediction_view(s, buffer), "motor_id", "temperature", "vibration", "status", "last_checked") == [
+    newest = latest.latest_reading(make.readings(("a", 40, 0, 3.0, 0.1), ("a", 50, 1, None, 0.7)), "arrival")
+    assert rows(state.prediction_view(s, newest), "motor_id", "temperature", "vibration", "status", "last_checked") == [
         ("a", None, 0.7, "Healthy", at(50)), ("b", 2.0, 2.0, "Fault", at(2))]
 
 
@@ -106,15 +106,15 @@ def brute_rolling(readings, n):
     return sorted(out, key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize("n,span,chunk", [(1, 3, 1), (5, 7, 5), (5, 1000, 12), (60, 50, 60), (60, 16, 180), (7, 1, 70)])
-def test_rolling_points_split_anywhere(make, n, span, chunk):
+@pytest.mark.parametrize("n,span", [(1, 3), (5, 7), (5, 1000), (60, 50), (60, 16), (7, 1)])
+def test_rolling_points_split_anywhere(make, n, span):
     rnd = random.Random(n * span)
     seqs = rnd.sample(range(2000), 500)
     data = make.readings(*[
         (rnd.choice(["hot", "hot", "hot", "a", "b"]), i, q, rnd.choice([None, round(rnd.uniform(-50, 90), 2)]),
          round(rnd.uniform(0, 1), 3)) for i, q in enumerate(seqs)
     ])
-    got = sorted((tuple(r) for r in series.rolling_points(data, n, span, chunk).collect()), key=lambda r: r[:2])
+    got = sorted((tuple(r) for r in series.rolling_points(data, n, span).collect()), key=lambda r: r[:2])
     want = brute_rolling(data.collect(), n)
     assert len(got) == len(want)
     for g, w in zip(got, want):
@@ -122,14 +122,27 @@ def test_rolling_points_split_anywhere(make, n, span, chunk):
         assert g[3] == pytest.approx(w[3]) and g[6] == pytest.approx(w[6])
 
 
-def test_rolling_average_with_huge_values(make):
-    data = make.readings(("a", 1, 1, 1e30), ("a", 2, 2, 1.0), ("a", 3, 3, 3.0))
+@pytest.mark.parametrize("values,means", [
+    ([1e30, 1.0, 3.0], [1e30, 5e29, 2.0]), ([1e300, 1e25, 1e25, 1e25], [1e300, 5e299, 1e25, 1e25]),
+    ([3e-9, 1e-9], [3e-9, 2e-9]), ([0.123456789012, 0.1], [0.123456789012, 0.111728394506]),
+])
+def test_rolling_average_in_full_precision(make, values, means):
+    data = make.readings(*[("a", i, i, v) for i, v in enumerate(values)])
     got = series.rolling_points(data, 2).orderBy("arrival_seq").collect()
-    assert [r.avg_temperature for r in got] == [1e30, 5e29, 2.0]
+    assert [r.avg_temperature for r in got] == pytest.approx(means, rel=1e-15)
+
+
+@pytest.mark.parametrize("values,mean", [
+    ([3e-9, 1e-9, 2e-9], 2e-9), ([0.123456789012, 0.1], 0.111728394506), ([1e300, 1e300], 1e300)])
+def test_averages_in_full_precision(make, values, mean):
+    fleet = make.state(*[(f"m{i}", v, v, "Healthy", None) for i, v in enumerate(values)])
+    assert overview.overview_summary(fleet).first().avg_temperature == pytest.approx(mean, rel=1e-15)
+    r = make.readings(*[("a", i, i, v) for i, v in enumerate(values)])
+    assert overview.daily_trend(r, F.lit(at(0)), days=1).first().avg_temperature == pytest.approx(mean, rel=1e-15)
 
 
-@pytest.mark.parametrize("span,chunk", [(1, 1), (3, 2), (100, 5)])
-def test_changed_only_split_anywhere(make, span, chunk):
+@pytest.mark.parametrize("span", [1, 3, 100])
+def test_changed_only_split_anywhere(make, span):
     rnd = random.Random(span)
     data = make.readings(*[("hot" if i % 3 else "b", 0, i, float(rnd.randrange(2))) for i in range(80)])
     last, want = {}, []
@@ -137,7 +150,7 @@ def test_changed_only_split_anywhere(make, span, chunk):
         if last.get(r.motor_id) != r.temperature:
             want.append(r.arrival_seq)
         last[r.motor_id] = r.temperature
-    assert sorted(r.arrival_seq for r in state.changed_only(data, span, chunk).collect()) == want
+    assert sorted(r.arrival_seq for r in state.changed_only(data, span).collect()) == want
 
 
 def test_overview_null_policies_and_empty_fleet(make):
