@@ -27,3 +27,20 @@ def test_every_query_has_sql():
 
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
+
+
+def test_the_rest_works_without_the_text_operators(tmp_path):
+    """Where the subpackage and its pipeline are left out, the entry points still import."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    for name in ("__spark_entry__.py", "check.py", "bench.py"):
+        shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "rotorline", tmp_path / "rotorline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    said = subprocess.run(
+        [sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"],
+        cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
+    assert said.stdout.split() == ["True", str(len(QUERIES))], said.stderr
