@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,14 +122,30 @@ def classes(templates, least: float = LEAST, missed: float = MISSED) -> list[Win
 def anchors(templates, least: float = LEAST) -> list[str]:
     """Words one of which is in every text that holds `least` of the shingles of a template.
 
-    Per template the longest words, until fewer shingles are without one than a match needs.
+    Words of seven letters at least, where there are such, are taken in the order of the shingles
+    that they cover, until of each template fewer shingles are without one than a match needs.
     """
-    out: set[str] = set()
-    for _, text in templates:
-        left, needed = [s.split() for s in shingles_of(text)], needed_of(text, least)
-        while len(left := [s for s in left if out.isdisjoint(s)]) >= needed:
-            out.add(max((w for s in left for w in s), key=lambda w: (len(w), w)))
-    return sorted(out)
+    out: list[str] = []
+    left = {name: shingles_of(text) for name, text in templates}
+    needed = {name: needed_of(text, least) for name, text in templates}
+    while True:
+        left = {name: [s for s in shingles if not any(word in s for word in out)] for name, shingles in left.items()}
+        left = {name: shingles for name, shingles in left.items() if len(shingles) >= needed[name]}
+        if not left:
+            return sorted(out)
+        rest = [s for shingles in left.values() for s in shingles]
+        words = {w for s in rest for w in s.split()}
+        out.append(max(words, key=lambda w: (len(w) >= 7, sum(w in s for s in rest), len(w), w)))
+
+
+def _made(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, computed once per row.
+
+    The explode of one element is a barrier: without it, what is computed from a column further up
+    would have the column's expression put in its place, to be computed again for every element.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("made")
+    return df.select(*kept, made).select(*kept, "made.*")
 
 
 def _word_shingles(words: Column) -> Column:
@@ -165,17 +182,15 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = classes(templates, least)
     table = _template_table(spark, groups, least)
     known = sorted({s for _, text in templates for s in shingles_of(text)})
-    anchored = "(?i)" + "|".join(map(re.escape, anchors(templates, least)))
-    lower = F.translate("text", UPPER, LOWER)
-    read = (
-        docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).filter(F.col("text").rlike(anchored))
-        .select("doc_id", F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
-        .select("doc_id", _word_shingles(F.col("words")).alias("shingles")))
+    read = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    read = _made(read, ["doc_id", "text"], lower=F.lower("text"))
+    read = read.filter(reduce(Column.__or__, [F.col("lower").contains(word) for word in anchors(templates, least)]))
+    words = _made(read, ["doc_id"], words=F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))
+    hashed = _made(words, ["doc_id"], shingles=_word_shingles(F.col("words")))
     shared = F.array_intersect("shingles", F.transform(F.array(*map(F.lit, known)), lambda s: F.xxhash64(s)))
-    holding = read.withColumn("shared", shared).filter(F.size("shared") > 0).select(
-        "doc_id", "shingles",
-        F.filter(F.sequence(F.lit(0), F.size("shingles") - 1),
-                 lambda i: F.array_contains("shared", F.element_at("shingles", i + 1))).alias("places"))
+    holding = _made(hashed, ["doc_id", "shingles"], shared=shared).filter(F.size("shared") > 0)
+    places = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: F.array_contains("shared", F.element_at("shingles", i + 1)))
+    holding = _made(holding, ["doc_id", "shingles"], places=places)
     kinds = F.explode(F.array(*[
         F.struct(F.lit(c.number).alias("class"), F.lit(c.size).alias("size"), F.lit(c.step).alias("step"), F.lit(c.bands).alias("bands"))
         for c in groups])).alias("kind")
@@ -185,8 +200,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.greatest(F.lit(0), F.floor((p - F.col("size") + F.col("step")) / F.col("step")).cast("int")),
             F.floor(p / F.col("step")).cast("int")))))
     windows = windows.select("doc_id", "shingles", "class", "size", "step", "bands", F.explode(first).alias("window"))
-    windows = windows.select("doc_id", "class", "bands", F.array_distinct(
-        F.slice("shingles", F.col("window") * F.col("step") + 1, F.col("size"))).alias("held"))
+    held = F.array_distinct(F.slice("shingles", F.col("window") * F.col("step") + 1, F.col("size")))
+    windows = _made(windows, ["doc_id", "class", "bands"], held=held)
 
     def banded(df: DataFrame, shingles: str, *kept: str) -> DataFrame:
         per_class = F.when(F.lit(False), F.lit(None))

@@ -66,9 +66,9 @@ def test_bands_guarantee_the_collision():
 
 
 def test_anchors_are_in_every_match():
-    words = set(li.anchors(li.TEMPLATES))
+    words = li.anchors(li.TEMPLATES)
     for _, text in li.TEMPLATES:
-        without = [s for s in li.shingles_of(text) if words.isdisjoint(s.split())]
+        without = [s for s in li.shingles_of(text) if not any(w in s for w in words)]
         assert len(without) < li.needed_of(text)
 
 
