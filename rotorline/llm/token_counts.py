@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import named
-from rotorline.llm.tokens import tokenizer_file
+from rotorline.llm.common import in_arrow, named
+from rotorline.llm.tokens import ODD_SPACE, PIECES, WORD, tokenizer_file
 
 RANKS = "byte_bpe_50k.tiktoken"
 OFFSET = 2.7
 MOST_NODES = 400_000
-MOST_ENDS = 200_000
+MOST_CHARS = 2_500_000
 LONG = 256
 
 
@@ -42,12 +42,21 @@ def unigram(name: str = RANKS) -> dict[bytes, float]:
     return dict(zip(ranks, np.log(weights / weights.sum()).tolist()))
 
 
+def by_suffix(logs: dict[bytes, float]) -> dict[bytes, float | None]:
+    """Log probabilities of tokens, and None for what is only the end of a token."""
+    out: dict[bytes, float | None] = {}
+    for token in logs:
+        for start in range(1, len(token)):
+            out.setdefault(token[start:], None)
+    out.update(logs)
+    return out
+
+
 class Trie:
     """Best scores and token counts of prefixes."""
 
     def __init__(self, logs: dict[bytes, float]):
-        self.logs = logs
-        self.longest = max(map(len, logs))
+        self.suffixes = by_suffix(logs)
         self.clear()
 
     def clear(self) -> None:
@@ -55,28 +64,39 @@ class Trie:
         self.scores, self.counts = array("d", [0.0]), array("l", [0])
 
     def _best(self, word: bytes, end: int, scores, counts) -> tuple[float, int]:
-        """The best (score, tokens) of word[:end] given those of its prefixes; of equal scores the longer last token."""
-        logs, best, tokens = self.logs, float("-inf"), 0
-        for start in range(max(0, end - self.longest), end):
-            log = logs.get(word[start:end])
-            if log is not None and (score := scores[start] + log) > best:
+        """The best (score, tokens) of word[:end] given those of its prefixes; of equal scores the longer last token.
+
+        The last token grows to the left until no token ends so.
+        """
+        suffixes, best, tokens = self.suffixes, float("-inf"), 0
+        for start in range(end - 1, -1, -1):
+            log = suffixes.get(word[start:end], 1.0)
+            if log is None:
+                continue
+            if log > 0:
+                break
+            score = scores[start] + log
+            if score >= best:
                 best, tokens = score, counts[start] + 1
         return best, tokens
 
     def insert(self, word: bytes) -> tuple[float, int]:
         """(score, tokens) of a pre-token, computing what its prefixes in the trie lack."""
-        children, node = self.children, 0
+        children, scores, counts, node = self.children, self.scores, self.counts, 0
         path_scores, path_counts = [0.0], [0]
         for end, byte in enumerate(word, 1):
-            child = children.get(node << 8 | byte)
-            if child is None:
+            key = node << 8 | byte
+            node = children.get(key)
+            if node is None:
                 score, tokens = self._best(word, end, path_scores, path_counts)
-                child = children[node << 8 | byte] = len(self.scores)
-                self.scores.append(score)
-                self.counts.append(tokens)
-            node = child
-            path_scores.append(self.scores[node])
-            path_counts.append(self.counts[node])
+                node = children[key] = len(scores)
+                scores.append(score)
+                counts.append(tokens)
+                path_scores.append(score)
+                path_counts.append(tokens)
+            else:
+                path_scores.append(scores[node])
+                path_counts.append(counts[node])
         return path_scores[-1], path_counts[-1]
 
     def alone(self, word: bytes) -> tuple[float, int]:
@@ -89,26 +109,56 @@ class Trie:
         return scores[-1], counts[-1]
 
 
+class _Ends(dict):
+    """What is kept of pieces of text; asks `learn` for a new one."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        return self.learn(piece)
+
+
 class Counter:
-    """Counts of whole texts. Trie and ends are emptied when they are full, which changes no count."""
+    """Counts of whole texts. What is kept of pre-tokens is bounded; forgetting changes no count.
+
+    Texts are cut first where every pre-token ends (see `tokens`), and most pieces are one pre-token.
+    """
 
     def __init__(self, name: str = RANKS, pattern: str = public_tokenizers.PATTERN):
         self.trie = Trie(unigram(name))
         self.split = regex.compile(pattern).findall
-        self.ends: dict[str, tuple[float, int]] = {}
+        self.counts = _Ends(self._learn)  # pre-tokens << 32 | tokens
+        self.scores: dict[str, float] = {}
+        self.old: tuple[dict, dict] = ({}, {})
+        self.chars = 0
+
+    def _learn(self, piece: str) -> int:
+        counts = self.old[0].get(piece)
+        if counts is not None:
+            score = self.old[1][piece]
+        else:
+            counts, score = 0, 0.0
+            for word in [piece] if WORD.match(piece) else self.split(piece):
+                data = word.encode()
+                best, tokens = self.trie.insert(data) if len(data) <= LONG else self.trie.alone(data)
+                counts += 1 << 32 | tokens
+                score += best
+        self.counts[piece], self.scores[piece] = counts, score
+        self.chars += len(piece)
+        return counts
 
     def count(self, text: str) -> tuple[int, int, float]:
         """(pre-tokens, tokens, log probability) of a text."""
-        words = self.split(text)
-        ends = self.ends
-        if len(self.trie.scores) > MOST_NODES or len(ends) > MOST_ENDS:
+        if len(self.trie.scores) > MOST_NODES:
             self.trie.clear()
-            ends.clear()
-        for word in set(words).difference(ends):
-            data = word.encode()
-            ends[word] = self.trie.insert(data) if len(data) <= LONG else self.trie.alone(data)
-        found = [ends[word] for word in words]
-        return len(words), sum(n for _, n in found), sum(score for score, _ in found)
+        if self.chars > MOST_CHARS:
+            self.old, self.scores, self.chars = (dict(self.counts), self.scores), {}, 0
+            self.counts.clear()
+        pieces = self.split(text) if ODD_SPACE.search(text) else PIECES.findall(text)
+        counts = sum(map(self.counts.__getitem__, pieces))
+        return counts >> 32, counts & 0xFFFFFFFF, sum(map(self.scores.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)
@@ -138,4 +188,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_counted(vocabulary), f"doc_id {kind}, n_pretokens long, n_tokens long, log_probability double")
+    return rows.transform(in_arrow, _counted(vocabulary), f"doc_id {kind}, n_pretokens long, n_tokens long, log_probability double")
