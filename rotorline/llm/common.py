@@ -32,6 +32,18 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """`df.mapInArrow(function, schema)` over batches of a few megabytes, however long the texts are.
+
+    The bound holds for the session from then on.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text in UTF-8; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -62,16 +74,26 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Bytes up to which a table may be sent to every task.
+MOST_BROADCAST = 16 << 20
+DECISION_BYTES = 64
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A settled frame, marked to be broadcast if its rows, of so many bytes, are few; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= MOST_BROADCAST else df
+
+
 def keep_decided(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of `docs` that `decisions` (doc_id, text_digest, kept, copies) keeps, columns unchanged.
 
     A row is known by its id, null included, and the digest of its text. Rows that agree in both
     are one document given `copies` times; one of them stays. Only ids and digests of dropped rows
-    travel besides the documents.
+    travel besides the documents, and while they are few the documents stay where they are.
     """
     doc, digest = free_names(docs, "doc_id_", "text_digest_")
     keyed = docs.withColumns({doc: named(id_col), digest: text_digest(named(text_col))})
-    lost = decisions.filter(~F.col("kept")).select("doc_id", "text_digest").distinct()
+    lost = sent_if_small(decisions.filter(~F.col("kept")).select("doc_id", "text_digest").distinct(), DECISION_BYTES)
     same = keyed[digest] == lost["text_digest"]
     left = keyed.join(lost, same & keyed[doc].eqNullSafe(lost["doc_id"]), "left_anti")
     again = decisions.filter("kept and copies > 1").select("doc_id", "text_digest").distinct()

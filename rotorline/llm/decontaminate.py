@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import byte_texts, free_names, named, settled, text_digest
+from rotorline.llm.common import DECISION_BYTES, byte_texts, free_names, in_arrow, named, sent_if_small, settled, text_digest
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -161,16 +161,21 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Windows]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks of the benchmark's windows there are, and the blocks, made one at a time."""
     item = F.coalesce(named(item_col).cast("string"), F.lit(""))
     pieces = settled(
         benchmark.select(item.alias("item"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-        .mapInArrow(_pieces(window), "item string, words binary").filter(F.octet_length("words") > 0).distinct())
+        .transform(in_arrow, _pieces(window), "item string, words binary").filter(F.octet_length("words") > 0).distinct())
     total = pieces.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
-        yield Windows([(r.item, bytes(r.words)) for r in part.collect()], window)
+
+    def made() -> Iterator[Windows]:
+        for k in range(n):
+            part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
+            yield Windows([(r.item, bytes(r.words)) for r in part.collect()], window)
+
+    return n, made()
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -184,12 +189,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     text = F.coalesce(named(text_col), F.lit(""))
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_digest(text).alias("text_digest"), text.alias("text"))
     context = docs.sparkSession.sparkContext
-    passes = [
-        rows.mapInArrow(_scan(context.broadcast(windows), k == 0), HIT_SCHEMA)
-        for k, windows in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_bytes))
-    ]
-    if len(passes) == 1:
-        return passes[0]
+    n, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    passes = []
+    for k, windows in enumerate(blocks):
+        sent = context.broadcast(windows)
+        scanned = rows.transform(in_arrow, _scan(sent, k == 0), HIT_SCHEMA)
+        if n == 1:
+            return scanned
+        passes.append(settled(scanned))
+        sent.destroy()  # no task holds more than one block
     more = reduce(DataFrame.union, passes[1:]).groupBy(F.col("doc_id").alias("id_"), F.col("text_digest").alias("digest_")).agg(
         *(F.collect_set(c).alias(f"more_{c}") for c in ("items",)),
         F.collect_set(F.struct("starts", "ends")).alias("more_spans"))
@@ -199,7 +207,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         F.concat(F.array("starts"), F.coalesce(F.col("more_spans.starts"), F.array())).alias("all_starts"),
         F.concat(F.array("ends"), F.coalesce(F.col("more_spans.ends"), F.array())).alias("all_ends"),
         F.concat(F.array("items"), F.coalesce("more_items", F.array())).alias("all_items"))
-    return both.mapInArrow(_together, HIT_SCHEMA)
+    return both.transform(in_arrow, _together, HIT_SCHEMA)
 
 
 def hit_report(hits: DataFrame) -> DataFrame:
@@ -246,9 +254,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     hits = settled(find_hits(docs, benchmark, id_col, text_col, **options).filter(F.size("items") > 0).dropDuplicates(["doc_id", "text_digest"]))
     doc, digest, starts, ends = free_names(docs, "doc_id_", "text_digest_", "starts_", "ends_")
     keyed = docs.withColumns({doc: named(id_col), digest: text_digest(named(text_col))})
-    found = hits.select(F.col("doc_id").alias("found_id"), F.col("text_digest").alias("found_digest"), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    found = hits.select(
+        F.col("doc_id").alias("found_id"), F.col("text_digest").alias("found_digest"), F.col("starts").alias(starts), F.col("ends").alias(ends))
     same = (keyed[digest] == found["found_digest"]) & keyed[doc].eqNullSafe(found["found_id"])
+    own = [keyed[f"`{c}`"] for c in docs.columns]
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
-    joined = keyed.join(found, same, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], starts, ends)
-    return joined.mapInArrow(_without_hits(docs.columns.index(text_col)), docs.schema)
+        return keyed.join(sent_if_small(found.drop(starts, ends), DECISION_BYTES), same, "left_anti").select(*own)
+    joined = keyed.join(found, same, "left").select(*own, starts, ends)
+    return joined.transform(in_arrow, _without_hits(docs.columns.index(text_col)), docs.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import fixed_binary, keep_decided, named, settled, text_digest, width
+from rotorline.llm.common import fixed_binary, in_arrow, keep_decided, named, settled, text_digest, width
 
 ENTRY = np.dtype([("digest", "S32"), ("check", "S24"), ("known", "u1"), ("id", "<i8"), ("rows", "<i8"), ("same", "<i8")])
 RUN_SCHEMA = "node int, head binary, run binary"
@@ -173,10 +173,10 @@ def merge_digests(digests: DataFrame, keep: str = "largest") -> DataFrame:
     def exchanged(runs: DataFrame) -> DataFrame:
         return runs.repartitionById(nodes, F.col("node")).sortWithinPartitions("head")
 
-    runs = exchanged(digests.mapInArrow(_leaf(nodes, digits[0], bits, largest), RUN_SCHEMA))
+    runs = exchanged(digests.transform(in_arrow, _leaf(nodes, digits[0], bits, largest), RUN_SCHEMA))
     for digit in digits[1:]:
-        runs = exchanged(runs.mapInArrow(_round(digit, bits, largest), RUN_SCHEMA))
-    return runs.mapInArrow(_root(largest), MERGED_SCHEMA)
+        runs = exchanged(runs.transform(in_arrow, _round(digit, bits, largest), RUN_SCHEMA))
+    return runs.transform(in_arrow, _root(largest), MERGED_SCHEMA)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:

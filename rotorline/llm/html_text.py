@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import byte_texts, named, settled
+from rotorline.llm.common import byte_texts, in_arrow, named, settled
 
 # Elements of the HTML standard by what they mean for text.
 BLOCKS = frozenset(
@@ -257,7 +257,7 @@ MOST_BROADCAST = 32 << 20
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path) that wins each host of `pages` (host, html): the most votes, then pages, then the last path in order."""
     return (
-        pages.mapInArrow(_votes, "host string, path string, votes long")
+        pages.transform(in_arrow, _votes, "host string, path string, votes long")
         .groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.count("*").alias("pages"))
         .groupBy("host").agg(F.max(F.struct("votes", "pages", "path")).alias("won")).select("host", "won.path"))
 
@@ -275,4 +275,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = won.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16)).first()[0] or 0
     joined = read.join(F.broadcast(won) if size <= MOST_BROADCAST else won, "host", "left")
     kind = read.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "path").transform(in_arrow, _texts, f"page_id {kind}, url string, text string, n_chars long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import named
+from rotorline.llm.common import in_arrow, named
 
 UNDECIDED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,18 +33,22 @@ DRAWS = 1 << 31
 
 
 class Model(NamedTuple):
-    """Log frequencies per language of words and of n-grams by their length, and of what is unknown."""
+    """The languages, the rows of `logs` that words and n-grams have there, and log frequencies per language.
+
+    Row 0 is that of a character never seen.
+    """
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
 
-def _logs(counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """{entry: log frequency per language} of {entry: {language: count}}, one added to every count."""
+def _logs(counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> np.ndarray:
+    """Log frequency per language of each entry of {entry: {language: count}}, one added to every count."""
     size = np.array([totals[lang] + len(counts) + 1 for lang in languages], float)
-    return {e: np.log((np.array([of.get(lang, 0) for lang in languages]) + 1) / size) for e, of in counts.items()}
+    table = np.array([[of.get(lang, 0) for lang in languages] for of in counts.values()], float)
+    return np.log((table.reshape(len(counts), len(languages)) + 1) / size)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4_000,
@@ -60,7 +64,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         F.pmod(F.when(named(id_col).isNull(), F.xxhash64(named(text_col))).otherwise(F.xxhash64(named(id_col))), F.lit(DRAWS)).alias("draw"))
     rates = [(r.lang, min(1.0, sample / r["count"])) for r in rows.groupBy("lang").count().collect()]
     if not rates:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], {}, {}, np.zeros((1, 0)))
     languages = sorted(lang for lang, _ in rates)
     bound = F.create_map(*[c for lang, rate in rates for c in (F.lit(lang), F.lit(int(rate * DRAWS)))])[F.col("lang")]
     drawn = rows.filter(F.col("draw") < bound)
@@ -79,22 +83,27 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         ranked = Window.partitionBy(*by).orderBy(F.desc("n"), "entry")
         return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most).collect()
 
-    def table(found: list) -> dict[str, np.ndarray]:
+    tables: list[np.ndarray] = []
+
+    def rows_of(found: list) -> dict[str, int]:
+        """The rows that entries get in the next of the tables."""
         counts, totals = {}, dict.fromkeys(languages, 0)
         for r in found:
             counts.setdefault(r.entry, {})[r.lang] = r.n
             totals[r.lang] += r.n
-        return _logs(counts, languages, totals)
+        first = 1 + sum(map(len, tables))
+        tables.append(_logs(counts, languages, totals))
+        return {entry: first + i for i, entry in enumerate(counts)}
 
     by_size: dict[int, list] = {}
     for r in frequent(grams, most_grams, ["lang", "size"]):
         by_size.setdefault(r.size, []).append(r)
-    gram_logs: dict[str, np.ndarray] = {}
+    gram_rows: dict[str, int] = {}
     for found in by_size.values():
-        gram_logs |= table(found)
-    word_logs = table(frequent(words, most_words, ["lang"]))
-    least = min((float(v.min()) for v in gram_logs.values()), default=0.0)
-    return Model(languages, word_logs, gram_logs, np.full(len(languages), least))
+        gram_rows |= rows_of(found)
+    least = min((float(t.min()) for t in tables if len(t)), default=0.0)
+    word_rows = rows_of(frequent(words, most_words, ["lang"]))
+    return Model(languages, word_rows, gram_rows, np.concatenate([np.full((1, len(languages)), least), *tables]))
 
 
 class Scorer:
@@ -108,16 +117,16 @@ class Scorer:
     def _gram(self, gram: str) -> np.ndarray:
         known = self.model.grams.get(gram)
         if known is not None:
-            return known
+            return self.model.logs[known]
         if len(gram) == 1:
-            return self.model.unseen
+            return self.model.logs[0]
         return self._gram(gram[:-1]) + self._gram(gram[1:])
 
     def word(self, word: str) -> np.ndarray:
         """Log score of one word per language; a run without letters (of signs like ½) scores nothing."""
         known = self.model.words.get(word)
         if known is not None:
-            return known
+            return self.model.logs[known]
         total = np.zeros(len(self.model.languages))
         if any(map(str.isalpha, word)):
             padded = f" {word} "
@@ -152,9 +161,19 @@ class Scorer:
         return self.model.languages[best], 1.0 / float(np.exp(total - total[best]).sum())
 
 
+_LAST: list[Scorer] = []
+
+
+def _scorer(model: Model) -> Scorer:
+    """The scorer of a model, the same one for all tasks of a worker process."""
+    if not _LAST or _LAST[0].model is not model:
+        _LAST[:] = [Scorer(model)]
+    return _LAST[0]
+
+
 def _predicted(model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = _scorer(model.value)
         for batch in batches:
             found = [scorer.predict(text.as_py() or "") for text in batch.column(text_at)]
             yield pa.RecordBatch.from_arrays(
@@ -179,12 +198,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(named(id_col).alias("doc_id"), held_out(named(id_col)).alias("held_out"), named(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predicted(sent, 2), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.transform(in_arrow, _predicted(sent, 2), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _accepted(model, text_at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = _scorer(model.value)
         for batch in batches:
             found = [scorer.predict(text.as_py() or "") for text in batch.column(text_at)]
             yield batch.filter(pa.array([lang != UNDECIDED and score >= least for lang, score in found], pa.bool_()))
@@ -195,4 +214,4 @@ def _accepted(model, text_at: int, least: float):
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """`docs` without rows of undecided language or a score under `least_score`; columns unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accepted(sent, docs.columns.index(text_col), least_score), docs.schema)
+    return docs.transform(in_arrow, _accepted(sent, docs.columns.index(text_col), least_score), docs.schema)

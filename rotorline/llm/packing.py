@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rotorline.llm.common import named
+from rotorline.llm.common import in_arrow, named
 from rotorline.llm.tokens import BYTE_BPE, encoder
 
 POOL = 256
@@ -187,4 +187,4 @@ def pack(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
     kind = chosen.schema["doc_id"].dataType
     schema = (f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, "
               "sequence_id long, offset long")
-    return chosen.mapInArrow(_packed(tokenizer, end_id, limits, to_arrow_type(kind)), schema)
+    return chosen.transform(in_arrow, _packed(tokenizer, end_id, limits, to_arrow_type(kind)), schema)

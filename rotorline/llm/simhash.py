@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import byte_texts, keep_decided, named, settled, text_digest, width
+from rotorline.llm.common import byte_texts, in_arrow, keep_decided, named, settled, text_digest, width
 from rotorline.llm.components import components
 
 SEED = 42
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(named(text_col), F.lit(""))
     return docs.select(
         named(id_col).cast("long").alias("doc_id"), text_digest(text).alias("text_digest"), text.alias("text"),
-    ).mapInArrow(_prints(shingle), "doc_id long, text_digest binary, print long")
+    ).transform(in_arrow, _prints(shingle), "doc_id long, text_digest binary, print long")
 
 
 def _pair_keys(column: str, radius: int):
@@ -202,7 +202,7 @@ def print_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     cell = ["table", "bits", "a", "b"]
     links = (
         cells.repartition(width(spark), *cell).sortWithinPartitions(*cell)
-        .mapInArrow(_cell_links(radius), "x long, y long")
+        .transform(in_arrow, _cell_links(radius), "x long, y long")
     )
     return links.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
 

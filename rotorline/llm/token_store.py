@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import named, width
+from rotorline.llm.common import in_arrow, named, width
 from rotorline.llm.tokens import BYTE_BPE, encoder
 
 BLOCK = 1 << 16
@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     (docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"))
      .repartitionByRange(shards or width(docs.sparkSession), *order)
      .sortWithinPartitions(*order, "text")
-     .mapInArrow(_chunks(tokenizer, end_id, layout, level), CHUNK_SCHEMA)
+     .transform(in_arrow, _chunks(tokenizer, end_id, layout, level), CHUNK_SCHEMA)
      .write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path))
 
 
@@ -160,7 +160,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_offset"))
     ids = ", ids array<int>" if with_ids else ""
-    docs = chunks.mapInArrow(
+    docs = chunks.transform(
+        in_arrow,
         _documents(with_ids), "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long" + ids)
     placed = docs.join(F.broadcast(offsets), "shard")
     return placed.select(

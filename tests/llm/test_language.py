@@ -55,8 +55,8 @@ def test_nothing_labelled(spark, docs):
 
 
 def test_unseen_words_back_off_to_shorter_grams():
-    grams = {"abc": [0.0, -1.0], "bc": [0.0, -5.0], "cd": [-5.0, 0.0], "a": [-1.0, -1.0]}
-    model = la.Model(["x", "y"], {"known": np.array([-3.0, -1.0])}, {k: np.array(v) for k, v in grams.items()}, np.array([-9.0, -9.0]))
+    logs = np.array([[-9.0, -9.0], [-3.0, -1.0], [0.0, -1.0], [0.0, -5.0], [-5.0, 0.0], [-1.0, -1.0]])
+    model = la.Model(["x", "y"], {"known": 1}, {"abc": 2, "bc": 3, "cd": 4, "a": 5}, logs)
     scorer = la.Scorer(model)
     assert scorer.word("known").tolist() == [-3.0, -1.0]
     assert scorer._gram("abc").tolist() == [0.0, -1.0]
