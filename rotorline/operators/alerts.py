@@ -119,11 +119,16 @@ def calibrate(with_prefs: DataFrame, col: str = "temperature") -> DataFrame:
 
 
 def retention_filter(df: DataFrame, as_of: Column, months: int | Column = DEFAULTS["retention_months"]) -> DataFrame:
-    """Rows of the last N months. A constant N and a literal `as_of` reach the file scan."""
+    """Rows of the last N months. A constant N and a literal `as_of` reach the file scan.
+
+    A constant outside the range is an error, a column is held to it.
+    """
     low, high = RETENTION_RANGE
     if isinstance(months, int):
         if not low <= months <= high:
             raise ValueError(f"months must lie in {low}..{high}")
         months = F.lit(months)
+    else:
+        months = F.least(F.greatest(months, F.lit(low)), F.lit(high))
     oldest = as_of - F.make_ym_interval(F.lit(0), months.cast("int"))
     return df.where(in_period(df.columns, oldest))

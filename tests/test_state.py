@@ -179,3 +179,12 @@ def test_risk_is_strict_and_models_plug_in(make):
     doubled = alerts.score(r, lambda t, v: t * 2, "out")
     pandas_doubled = alerts.score(r, lambda t, v: t * 2, "out", doubled.schema["out"].dataType)
     assert rows(doubled, "reading_id", "out") == rows(pandas_doubled, "reading_id", "out")
+
+
+def test_retention_is_held_to_its_range(make):
+    r = make.readings(("a", 0, 1))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    assert alerts.retention_filter(r, now, F.lit(0)).count() == alerts.retention_filter(r, now, 1).count() == 1
+    assert alerts.retention_filter(r, F.lit("2035-01-01 00:00:00").cast("timestamp_ntz"), F.lit(999)).count() == 0
+    with pytest.raises(ValueError):
+        alerts.retention_filter(r, now, 0)
