@@ -582,7 +582,7 @@ def _(s, d):
 
 @query("lenient_number")
 def _(s, d):
-    text = F.when(F.try_parse_json("payload").isNotNull(), F.get_json_object("payload", "$.temperature"))
+    text = F.when(telemetry.is_message(F.col("payload")), F.get_json_object("payload", "$.temperature"))
     return fx.telemetry(s, d).select("arrival_seq", values.lenient_number(text).alias("number"))
 
 

@@ -38,6 +38,21 @@ def _is_one_object(messages: Column, payload: Column) -> Column:
     return F.coalesce(whole, F.lit(False))
 
 
+def is_message(payload: Column) -> Column:
+    """Whether a payload is one JSON object and nothing else."""
+    return _is_one_object(_decoded(payload), payload)
+
+
+def _is_other_json(payload: Column) -> Column:
+    """Whether a payload is one JSON value that is neither an object nor null."""
+    sealed = F.concat(F.lit("["), payload, F.lit(',"'), _seal(payload), F.lit('"]'))
+    values = F.from_json(sealed, schemas.T.ArrayType(schemas.T.VariantType()), _STRICT)
+    whole = (F.size(values) == 2) & (F.try_variant_get(F.get(values, F.lit(1)), "$", "string") == _seal(payload))
+    first = F.get(values, F.lit(0))
+    no_object = ~F.ltrim(payload).startswith("{") & (F.trim(payload) != "")
+    return F.coalesce(no_object & whole & first.isNotNull() & ~F.is_variant_null(first), F.lit(False))
+
+
 def parse_telemetry(raw: DataFrame) -> DataFrame:
     """Messages as readings; malformed messages and those without a motor id are dropped.
 
@@ -75,10 +90,7 @@ def malformed_telemetry(raw: DataFrame) -> DataFrame:
     JSON that is no object (a number, say) names no motor and is dropped without being kept here.
     """
     payload = F.col("payload")
-    names_no_object = ~F.ltrim(payload).startswith("{") & (F.trim(payload) != "")
-    value = F.try_parse_json(payload)
-    other_json = names_no_object & value.isNotNull() & ~F.is_variant_null(value)
-    return raw.where(~_is_one_object(_decoded(payload), payload) & ~F.coalesce(other_json, F.lit(False)))
+    return raw.where(~is_message(payload) & ~_is_other_json(payload))
 
 
 def with_topic_motor(raw: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def test_quarantine_takes_exactly_the_malformed(make):
 
 @pytest.mark.parametrize("payload", [
     '{"motor_id":"a"} x', '{"motor_id":"a"}] junk', '{"motor_id":"a"},{"motor_id":"b"}] junk', '{"motor_id":"a"}{"motor_id":"b"}', '{"motor_id":"a"},{"motor_id":"b"}', "{'motor_id':'a'}",
-    '{"motor_id":"a","temperature":NaN}', '{"motor_id":"a",}', "", "  ", "null",
+    '5 junk', '"t"] x', '{"motor_id":"a","temperature":NaN}', '{"motor_id":"a",}', "", "  ", "null",
 ])
 def test_json_is_read_strictly(make, payload):
     raw = make.of(RAW, ("t", payload, 1, at(1)))
