@@ -14,13 +14,14 @@ LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 UNKNOWN_STATUS = "Unknown"
 
 
-def truthy_text(value: Column) -> Column:
-    """A JSON value (variant) as text; NULL where it is missing, null, empty, false or the number zero."""
-    text = F.try_variant_get(value, "$", "string")
-    kind = F.schema_of_variant(value)
-    is_text = kind == "STRING"
-    nothing = (kind == "BOOLEAN") & (text == "false") | ~is_text & (F.try_variant_get(value, "$", "double") == 0)
-    return F.when(is_text | ~F.coalesce(nothing, F.lit(False)), F.nullif(text, F.lit("")))
+def truthy_text(text: Column, value: Column) -> Column:
+    """The text of a JSON value (variant); NULL where it is missing, null, empty, false or the number zero.
+
+    Few texts look like zero or false, and only for those the value itself is looked at.
+    """
+    looks_false = text.startswith("0") | text.startswith("-0") | (text == "false")
+    is_true = (F.schema_of_variant(value) == "STRING") | (text != "false") & (F.try_variant_get(value, "$", "double") != 0)
+    return F.when(~looks_false | is_true, F.nullif(text, F.lit("")))
 
 
 def or_default(text: Column, default) -> Column:

@@ -28,12 +28,12 @@ def _decoded(payload: Column) -> Column:
 
     Anything after the payload's object makes another array or none, and so shows.
     """
-    sealed = F.concat(F.lit("["), payload, F.lit(',{"motor_id":"'), _seal(payload), F.lit('"}]'))
+    sealed = F.concat(F.lit("["), payload, F.lit(',{"timestamp":"'), _seal(payload), F.lit('"}]'))
     return F.from_json(sealed, schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
 
 
 def _is_one_object(messages: Column, payload: Column) -> Column:
-    last = F.try_variant_get(F.get(messages, F.lit(1)).motor_id, "$", "string")
+    last = F.get(messages, F.lit(1)).timestamp
     whole = (F.size(messages) == 2) & F.get(messages, F.lit(0)).isNotNull() & (last == _seal(payload))
     return F.coalesce(whole, F.lit(False))
 
@@ -59,19 +59,22 @@ def parse_telemetry(raw: DataFrame) -> DataFrame:
     Unreadable numbers become NULL, a missing status 'Unknown', a missing confidence 0 and a
     missing time the arrival time. An id or status that is the number 0 or false counts as missing.
     """
-    # The one-element explode is a barrier: a filter on a decoded field would otherwise move
-    # below the projection and decode every message a second time.
+    # A one-element explode is a barrier: a filter on what it makes would otherwise move below the
+    # projection and decode every message a second time.
     decoded = raw.withColumn("ms", F.explode(F.array(_decoded(F.col("payload")))))
     m = F.get("ms", 0)
-    motor = truthy_text(m.motor_id)
-    read = decoded.where(_is_one_object(F.col("ms"), F.col("payload")) & motor.isNotNull()).select(
-        "arrival_seq", "arrival_ts", motor.alias("motor_id"),
+    typed = F.from_json("payload", "motor_id variant, status variant", _STRICT)
+    values = F.struct(
+        _is_one_object(F.col("ms"), F.col("payload")).alias("whole"),
+        truthy_text(m.motor_id, typed.motor_id).alias("motor_id"),
         m.timestamp.try_cast("double").alias("seconds"),
         lenient_number(m.temperature).alias("temperature"),
         lenient_number(m.vibration).alias("vibration"),
-        F.coalesce(truthy_text(m.status), F.lit(UNKNOWN_STATUS)).alias("status"),
+        F.coalesce(truthy_text(m.status, typed.status), F.lit(UNKNOWN_STATUS)).alias("status"),
         m.confidence.try_cast("double").alias("confidence"),
     )
+    read = decoded.select("arrival_seq", "arrival_ts", F.explode(F.array(values)).alias("v")).where(
+        "v.whole and v.motor_id is not null").select("arrival_seq", "arrival_ts", "v.*")
     return read.select(
         F.col("arrival_seq").alias("reading_id"),
         "motor_id",
