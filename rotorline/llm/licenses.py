@@ -237,6 +237,6 @@ def windows_sql(templates=TEMPLATES, least: float = LEAST, table: str = "documen
               FROM s JOIN t USING (shingle),
                    unnest(range(greatest(0, (p - size + step) // step), p // step + 1)) AS u(k)
               GROUP BY ALL)
-        SELECT doc_id, license, max(found) AS shingles_found, max(n) AS shingles_of_license
+        SELECT doc_id, license, max(found) AS shingles_found, CAST(max(n) AS BIGINT) AS shingles_of_license
         FROM w WHERE found >= needed GROUP BY doc_id, license
     """
