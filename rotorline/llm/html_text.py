@@ -1,9 +1,10 @@
 """Main text of pages by consensus of their host.
 
-A page votes for the paths of the containers that hold its text. A path is the chain of block
-elements with their classes, numbers generalised, so the pages of one template share it. Spark sums
-the votes per host; the path with the most wins the host, and each page is read again inside the
-containers of that path. A page that has none, or no text in it, goes by its own best path.
+A page votes for the paths of the containers that hold its text, or against them where they hold little.
+A path is the chain of block elements with their classes, numbers generalised, so the pages of one
+template share it. Spark sums the votes per host; a path is kept if half of the pages that have it
+are for it, whatever other templates the host has, and each page is read again inside all kept paths
+that it has, widened to the article element around them. A page that has none goes by its own best path.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGITS = re.compile(r"\d+")
+#: Elements around everything on a page; the root has no name.
+OUTERMOST = frozenset(("", "html", "body"))
 LEAST_SHARE = 100
 FULL_SHARE = 1_000
 FAVOURED = {"article": 1.25, "main": 1.25}
@@ -216,50 +219,99 @@ def ballot(blocks: list[Block]) -> dict[str, int]:
     return {path: n for path, n in votes.items() if n >= LEAST_SHARE}
 
 
-def text_within(blocks: list[Block], path: str | None) -> str:
-    """The blocks in containers of a path, one a line; those of the page's own best path if there are none."""
+def _weights(blocks: list[Block]) -> dict[str, float]:
+    """The text, less what is in links, that each container of a page holds itself."""
+    out: dict[str, float] = {}
+    for block in blocks:
+        path = _container(block.path, block.tag)
+        out[path] = out.get(path, 0.0) + max(0, len(block.text) - 2 * block.linked) * FAVOURED.get(_tag(path), 1.0)
+    return out
+
+
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def opinions(blocks: list[Block]) -> dict[str, bool]:
+    """{path: whether the page is for it} of the containers of a page: those that hold a tenth of the fullest one's text."""
+    weights = _weights(blocks)
+    least = max(weights.values(), default=0.0) * LEAST_SHARE / FULL_SHARE
+    return {path: weight > 0 and weight >= least for path, weight in weights.items()}
 
-    def inside(root: str) -> str:
-        return "\n".join(b.text for b in blocks if b.path == root or b.path.startswith(root + "/"))
 
-    if path is not None and (text := inside(path)):
-        return text
+def _within(path: str, root: str) -> bool:
+    return path == root or path.startswith(root + "/")
+
+
+def _article(path: str) -> str | None:
+    """The path of the outermost article element that a path goes through."""
+    parts = path.split("/")
+    return next(("/".join(parts[:i + 1]) for i, part in enumerate(parts) if part.partition(".")[0] == "article"), None)
+
+
+def text_within(blocks: list[Block], known: dict[str, bool] | None) -> str:
+    """The blocks of a page's article, one a line.
+
+    `known` tells of paths whether the host keeps them; others go by the page's own opinion. Of the
+    kept paths the page has, the fullest is the main one: if it lies in an article element, that is
+    the article. Else all kept ones are, with what the elements around the main one hold themselves,
+    such as a headline. Without kept paths the page's own best path is taken.
+    """
     votes = ballot(blocks)
-    return inside(max(votes, key=lambda p: (votes[p], p))) if votes else ""
+    if not votes:
+        return ""
+    best = max(votes, key=lambda p: (votes[p], p))
+    weights = _weights(blocks)
+    kept = {path for path, own in opinions(blocks).items() if (known or {}).get(path, own)} or {best}
+    main = max(kept, key=lambda p: (weights.get(p, 0.0), p))
+    if _tag(best) not in OUTERMOST and main.startswith(best + "/"):
+        kept.add(best)
+        main = best
+    if (article := _article(main)) is not None:
+        return "\n".join(b.text for b in blocks if _within(b.path, article))
+    whole = [path for path in kept if not main.startswith(path + "/")]
+    taken: dict[tuple[str, str], bool] = {}
+    for block in blocks:
+        if (place := (block.path, block.tag)) not in taken:
+            around = _container(*place)
+            taken[place] = any(_within(block.path, root) for root in whole) or (
+                main.startswith(around + "/") and (around in kept or _tag(around) not in OUTERMOST))
+    return "\n".join(b.text for b in blocks if taken[b.path, b.tag])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths, votes = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), byte_texts(batch.column("html"))):
-            for path, n in ballot(blocks_of(page.decode())).items():
+            for path, own in opinions(blocks_of(page.decode())).items():
                 hosts.append(host)
                 paths.append(path)
-                votes.append(n)
+                votes.append(int(own))
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["host", "path", "votes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        told = zip(byte_texts(batch.column("html")), batch.column("kept").to_pylist(), batch.column("left").to_pylist())
         texts = [
-            text_within(blocks_of(page.decode()), path)
-            for page, path in zip(byte_texts(batch.column("html")), batch.column("path").to_pylist())]
+            text_within(blocks_of(page.decode()), dict.fromkeys(kept or (), True) | dict.fromkeys(left or (), False))
+            for page, kept, left in told]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             ["page_id", "url", "text", "n_chars"])
 
 
-#: Bytes of hosts and paths up to which all winners are sent to every task; above, pages and winners meet by host.
+#: Bytes of hosts and paths up to which all disputed paths are sent to every task; above, pages and paths meet by host.
 MOST_BROADCAST = 32 << 20
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path) that wins each host of `pages` (host, html): the most votes, then pages, then the last path in order."""
+    """(host, path, kept) of the paths of `pages` (host, html) that some pages of the host are for and some against."""
     return (
         pages.transform(in_arrow, _votes, "host string, path string, votes long")
         .groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.count("*").alias("pages"))
-        .groupBy("host").agg(F.max(F.struct("votes", "pages", "path")).alias("won")).select("host", "won.path"))
+        .filter("votes > 0 AND votes < pages").selectExpr("host", "path", "2 * votes >= pages AS kept"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -271,8 +323,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.regexp_extract(F.lower(F.coalesce(named(url_col), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
     read = pages.select(
         named(id_col).alias("page_id"), named(url_col).alias("url"), F.coalesce(named(html_col), F.lit("")).alias("html"), host.alias("host"))
-    won = settled(host_paths(read.select("host", "html")))
-    size = won.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16)).first()[0] or 0
+    disputed = settled(host_paths(read.select("host", "html")))
+    size = disputed.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 16)).first()[0] or 0
+    won = disputed.groupBy("host").agg(
+        F.collect_list(F.when(F.col("kept"), F.col("path"))).alias("kept"), F.collect_list(F.when(~F.col("kept"), F.col("path"))).alias("left"))
     joined = read.join(F.broadcast(won) if size <= MOST_BROADCAST else won, "host", "left")
     kind = read.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "path").transform(in_arrow, _texts, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "kept", "left").transform(in_arrow, _texts, f"page_id {kind}, url string, text string, n_chars long")

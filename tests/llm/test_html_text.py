@@ -97,3 +97,32 @@ def test_given_pages(spark):
         article = re.search("<article>(.*?)</article>", r.html, re.DOTALL)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", article)]
         assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
+def texts(spark, pages):
+    return {r.page_id: r.text for r in ht.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_two_templates_of_a_host(spark):
+    """Pages of a minority template keep their article, though they have a few words in the majority's container."""
+    article = "words of the article " * 20
+    news = '<body><div class="content"><p>{a}</p></div></body>'
+    story = '<body><div class="content"><p>Opening words.</p></div><div class="story"><p>{a}</p></div></body>'
+    pages = [(i, "https://a.example/x", news.format(a=article)) for i in range(8)]
+    pages += [(i, "https://a.example/y", story.format(a=article)) for i in range(8, 11)]
+    pages += [(i, None, p[2]) for i, p in enumerate(pages, 20)]
+    got = texts(spark, pages)
+    for i in (0, 8, 10, 20, 28, 30):
+        assert got[i] == ("" if i % 20 < 8 else "Opening words.\n") + article.strip()
+
+
+def test_nested_containers(spark):
+    """Title and lead go with the text below them, and sections of one article together."""
+    body = "words of the article " * 60
+    inner = f'<h1>Title</h1><p class="lead">Lead.</p><div class="entry-content"><p>{body}</p></div>'
+    parts = f'<section class="intro"><p>{body}</p></section><section class="rest"><p>{body[:300]}</p></section>'
+    pages = [(i, f"https://h{i // 3}.example/", f"<body>{p}</body>") for i, p in enumerate(
+        [f"<article>{inner}</article>"] * 3 + [f'<div class="post">{inner}</div>'] * 3 + [f"<article>{parts}</article>"] * 3 + [f'<div class="post">{parts}</div>'] * 3)]
+    got = texts(spark, pages)
+    for i in range(12):
+        assert got[i] == (f"Title\nLead.\n{body.strip()}" if i < 6 else f"{body.strip()}\n{body[:300].strip()}"), i
