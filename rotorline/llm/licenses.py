@@ -6,6 +6,8 @@ one of them. A window's shingles are hashed by `bands` functions, the least valu
 and windows and templates meet that agree in one. How many bands a class needs follows from the least
 similarity that a match can have with its window, so that a match is missed once in 10^6 times. What
 meets is verified: a window holds a template if it holds `least` of its shingles (0.8).
+A notice made longer by inserted words may lie whole in no window; whether it is found then depends
+on where it starts in the document. The SQL counts in the same windows and does not see it.
 
 Two steps before that cost little and lose nothing. A document that holds that share of a template's
 shingles has one of the template's anchor words, since too few shingles are without; and a window
