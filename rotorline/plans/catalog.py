@@ -740,12 +740,12 @@ def _(s, d):
     path = _scratch(s, "changed")
     # By delivery, since a change is one against what was delivered before.
     ordered = fx.deliveries(s, d)
-    landing_path = f"{path}-landing"
+    # A run for each piece that lands, so that a batch has all files of a piece and none of the next.
     for piece in _pieces(ordered, "arrival_seq"):
-        piece.coalesce(1).write.mode("append").parquet(landing_path)
-    stream = landing(s, landing_path, ordered.schema, files_per_batch=1)
-    _finish(streams.stream_changed_only(stream, path, f"{path}-cp"))
-    return streams.changes(s, path, stream.schema).drop("batch_id")
+        piece.write.mode("append").parquet(f"{path}-landing")
+        stream = landing(s, f"{path}-landing", ordered.schema)
+        _finish(streams.stream_changed_only(stream, path, f"{path}-cp"))
+    return streams.changes(s, path, ordered.schema).drop("batch_id")
 
 
 @query("stream_connection_timeout")

@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry
 from check import compare, open_tables
+from rotorline.plans import catalog
 from rotorline.plans.catalog import QUERIES
 from rotorline.plans.oracle import statements
 
@@ -44,3 +45,14 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
         [sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"],
         cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
     assert said.stdout.split() == ["True", str(len(QUERIES))], said.stderr
+
+
+def test_changed_only_lands_with_all_partitions(spark, con, tmp_path, monkeypatch):
+    """Each piece of the deliveries is written by as many tasks as hold it, and is one batch."""
+    whole = catalog.fx.deliveries
+    monkeypatch.setattr(catalog, "_scratch", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(catalog.fx, "deliveries", lambda s, d: whole(s, d).repartition(4, "arrival_seq"))
+    _, _, problem = compare(spark, con, "stream_changed_only", SF_DIR)
+    assert problem is None, problem
+    landed = list((tmp_path / "changed-landing").glob("part-*"))
+    assert len(landed) > catalog.PIECES, landed
