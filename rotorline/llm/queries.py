@@ -6,7 +6,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotorline.llm import decontaminate, exact_dedup, html_text, language, licenses, packing, secret_scan, simhash, token_counts, token_store
+from rotorline.llm import (
+    conversation_trie, decontaminate, divergence, exact_dedup, html_text, language, licenses, packing, quality, secret_scan, simhash,
+    token_counts, token_store)
 from rotorline.llm.common import table
 from rotorline.session import shared_dir
 
@@ -58,6 +60,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs.filter(~language.held_out(docs["doc_id"])), table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return quality.score_quality(docs, machine, metadata=("n_chars",))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.conversation_nodes(table(spark, sf_dir, "conversations"), block=100, most_shared=5)
+    return nodes.withColumnRenamed("saved_chars", "saved_tokens")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
@@ -69,6 +86,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_quality": op11_quality,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -98,4 +118,6 @@ ORACLE = {
         FROM d LEFT JOIN inside USING (r) LEFT JOIN items USING (r)
     """,
     "op6_licenses": licenses.windows_sql(),
+    "op12_conversation_trie": conversation_trie.trie_sql(block=100, most_shared=5),
+    "op13_source_divergence": divergence.divergence_sql(least_docs=10, top=10),
 }

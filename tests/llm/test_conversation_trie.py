@@ -1,0 +1,121 @@
+import hashlib
+import random
+import zlib
+
+import duckdb
+import pandas as pd
+import pytest
+
+from check import rows_of
+from rotorline.llm import conversation_trie as trie
+from tests.llm.conftest import rows
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_chars", "ends_sha256"]
+
+
+@pytest.fixture(scope="module")
+def talks(spark):
+    def make(*found):
+        """Rows of (conv_id, turn, role, text), with columns whose names clash with inner ones."""
+        return spark.createDataFrame(
+            [(*r, "x", 1, "y") for r in found],
+            "conv_id long, turn long, role string, text string, key string, depth int, ids string")
+
+    return make
+
+
+def by_sql(found):
+    conversations = pd.DataFrame(found, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    cur = con.execute(trie.trie_sql())
+    names = [c[0].replace("saved_tokens", "saved_chars") for c in cur.description]
+    return rows_of(names, cur.fetchall())
+
+
+def some(rng, convs, turns):
+    out = []
+    for conv in convs:
+        for turn in range(rng.choice(turns)):
+            out.append((conv, rng.choice([turn, turn, None]) if rng.random() < 0.1 else turn, rng.choice(["u", "a", None]), rng.choice(["", None, "é", "xyz", "日本語"])))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_against_sql_however_ranges_are_cut(talks, monkeypatch, ranges):
+    monkeypatch.setattr(trie, "_tasks", lambda spark, turns: ranges)
+    rng = random.Random(ranges)
+    found = some(rng, [*range(60), *range(100, 140), 205, 1000], [1, 2, 3, 9])
+    found += [(500 + i, t, "u", "same") for i in range(30) for t in range(4)] + [(None, 0, "u", "nobody's"), (700, None, None, None)]
+    found += found[:5]  # repeated rows are repeated turns
+    rng.shuffle(found)
+    got = trie.conversation_nodes(talks(*found))
+    assert got.columns == COLUMNS
+    assert rows_of(got.columns, got.collect()) == by_sql(found)
+
+
+def test_by_hand(talks):
+    found = rows(trie.conversation_nodes(talks((1, 0, "u", "hi"), (1, 1, "a", "ho"), (2, 0, "u", "hi"), (3, 0, "u", "hi")), block=None), *COLUMNS[:-1])
+    assert found == [(1, 0, None, 3, 1, 1, 4, ), (1, 1, 1, 3, 1, 1, 4), (1, 2, 1, 1, 0, 1, 0)]
+
+
+def test_turnless_conversations_end_at_the_root(talks):
+    # 101 shares its first turns with conversation 100, which does not exist
+    convs = [i for i in range(101, 200) if zlib.crc32(str(i).encode()) % 6 > 0]
+    found = rows(trie.conversation_nodes(talks(*[(i, 0, "u", "x") for i in convs])), "conv_id", "depth", "n_convs", "n_children", "n_leaves")
+    assert found == [(min(convs), 0, len(convs), 0, 1)]
+
+
+def test_empty_table(talks):
+    assert rows(trie.conversation_nodes(talks().limit(0))) == []
+    assert rows(trie.conversation_nodes(talks((None, 1, "u", "x")))) == []
+
+
+def test_role_and_text_are_told_apart(talks):
+    out = rows(trie.conversation_nodes(talks((1, 0, "ab", "c"), (2, 0, "a", "bc"), (3, 0, "", "abc"), (4, 0, None, "abc")), block=None), "conv_id", "depth", "n_convs")
+    assert out == [(1, 0, 4), (1, 1, 1), (2, 1, 1), (3, 1, 2)]
+
+
+def test_one_sequence_with_many_members(talks, monkeypatch):
+    monkeypatch.setattr(trie, "_tasks", lambda spark, turns: 6)
+    found = [(i, 0, "u", "x") for i in range(3_000)]
+    got = trie.conversation_nodes(talks(*found), block=None)
+    ends = hashlib.sha256(",".join(map(str, range(3_000))).encode()).hexdigest()
+    assert rows(got) == [(0, 0, None, 3_000, 1, 1, 2_999, trie.NO_ENDS), (0, 1, 0, 3_000, 0, 1, 2_999, ends)]
+
+
+def test_tree_grows_through_all_layouts_and_splits_paths():
+    rng = random.Random(1)
+    keys = {bytes([a, b]) + rng.randbytes(38) for a in range(256) for b in (0, 1)} | {rng.randbytes(20) for _ in range(300)}
+    keys |= {k[:20] for k in list(keys)[:50]} | {b""}
+    tree = trie.RadixTree()
+    for i, key in enumerate(rng.sample(sorted(keys), len(keys))):
+        tree.insert(key, i)
+    assert tree.root.layout == 256
+    found, waiting = [], [(tree.root, b"")]
+    layouts = set()
+    while waiting:
+        node, above = waiting.pop()
+        path = above + node.prefix
+        layouts.add(node.layout)
+        if node.value is not None:
+            found.append(path)
+        waiting += [(child, path) for child in reversed(node.in_order())]
+    assert found == sorted(keys) and 4 in layouts
+    small = trie.RadixTree()
+    for n, layout in ((4, 4), (5, 16), (16, 16), (17, 48), (48, 48), (49, 256)):
+        for byte in range(n):
+            small.insert(bytes([byte * 5 % 256]) * 20, byte)
+        assert small.root.layout == layout
+        assert [c.prefix[0] for c in small.root.in_order()] == sorted(byte * 5 % 256 for byte in range(n))
+
+
+def test_only_turns_are_nodes():
+    a, b = b"\1" * 16 + (7).to_bytes(4, "big"), b"\1" * 15 + b"\2" + (9).to_bytes(4, "big")
+    tree = trie.RadixTree()
+    for i, key in enumerate((a + a, a + b, b, a + a + b + b)):
+        tree.insert(key, i)
+    found = trie.trie_of(tree)
+    assert found.depths == [0, 1, 2, 3, 4, 2, 1]
+    assert found.lengths == [0, 7, 7, 9, 9, 9, 9]
+    assert found.ends == {0: 2, 1: 5, 2: 6, 3: 4}
