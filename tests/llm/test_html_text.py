@@ -126,3 +126,128 @@ def test_nested_containers(spark):
     got = texts(spark, pages)
     for i in range(12):
         assert got[i] == (f"Title\nLead.\n{body.strip()}" if i < 6 else f"{body.strip()}\n{body[:300].strip()}"), i
+
+
+def sentences(rng, n):
+    return " ".join(rng.choice(["word", "other", "über", "thing", "place"]) + str(rng.randrange(10**6)) for _ in range(n))
+
+
+def by_hand(pages):
+    """{path: state} of (site, html) pages: what `host_decisions` finds, counted page by page."""
+    votes, blocks = {}, {}
+    for site, page in ((site, ht.blocks_of(page, site)) for site, page in pages):
+        scores = ht.scores_of(page)
+        told = ht.opinions(page, scores)
+        content = [b.text for b in page.blocks if b.container == scores.main]
+        for c, opinion in told.items():
+            votes.setdefault(page.paths[c].id, []).append(opinion)
+        for b in page.blocks:
+            if told[b.container] != ht.AGAINST:
+                blocks.setdefault(page.paths[b.container].id, []).append((b.text, content))
+    out = {}
+    for path, told in votes.items():
+        texts = blocks.get(path, [])
+        shared = sum(len(t) for t, content in texts if any(t == u and content != other for u, other in texts))
+        if 2 * told.count(ht.AGAINST) > len(told):
+            out[path] = ht.AGAINST
+        elif shared and 2 * shared >= sum(len(t) for t, _ in texts):
+            out[path] = ht.REPEATED
+        else:
+            out[path] = ht.FOR if 2 * told.count(ht.FOR) >= len(told) else ht.SMALL
+        if len(set(told)) == 1 and out[path] != ht.REPEATED:
+            del out[path]
+    return out
+
+
+def unlisted(rng, i, rail="Read what others read this week, all of it.", article=None):
+    """A page whose side text, notice and copyright line have names that say nothing."""
+    body = article or "".join(f"<p>{sentences(rng, rng.randrange(3, 30))}</p>" for _ in range(rng.randrange(1, 6)))
+    return (f'<body><div class="top{i}"><a href="/">Home</a> <a href="/b">More</a></div><div class="strip">The office is closed on all Mondays of the year.</div>'
+            f'<div class="page"><div class="copy">{body}</div><div class="rail"><p>{rail}</p><p>Second line of the rail.</p></div></div>'
+            f'<div class="bottom-bar">All rights of this place are held by its people.</div></body>')
+
+
+def plain(html):
+    import re
+    return "\n".join(re.findall("<p>(.*?)</p>", html[html.index('class="copy"'):html.index('class="rail"')]))
+
+
+def test_the_host_decides_what_no_name_tells(spark):
+    rng = random.Random(11)
+    pages = [(i, f"https://h{i % 4}.example/{i}", unlisted(rng, i)) for i in range(80)]
+    got = texts(spark, pages)
+    assert got == {i: plain(page) for i, _, page in pages}
+    alone = [ht.text_within(ht.blocks_of(page), None) for _, _, page in pages]
+    assert sum(a != got[i] for i, a in enumerate(alone)) > 40  # pages that the vote decides
+
+
+def test_votes_against_counting_by_hand(spark):
+    rng = random.Random(12)
+    pages = [(i % 3, unlisted(rng, i, rail=rng.choice(["One rail here.", "Another rail there."]))) for i in range(40)]
+    pages += [(i % 3, PAGE.format(n=i, body=f"<p>{sentences(rng, 1 + i)}</p>")) for i in range(40)] + [(7, ""), (7, "<p>x</p>")]
+    frame = spark.createDataFrame(pages, "site long, html string").repartition(6)
+    found = {r.path: r.state for r in ht.host_decisions(frame).collect()}
+    assert found == by_hand(pages) and set(found.values()) >= {ht.REPEATED}
+
+
+def test_copies_of_an_article_are_not_boilerplate(spark):
+    """Text that only pages of one content share is theirs; a few shared paragraphs stay too."""
+    rng = random.Random(13)
+    copy = "".join(f"<p>{sentences(rng, 20)}</p>" for _ in range(4))
+    pages = [(i, "https://a.example/", unlisted(rng, i, article=copy)) for i in range(30)]
+    shared = f"<p>{sentences(rng, 5)}</p>"
+    pages += [(i, "https://a.example/", unlisted(rng, i, article=f"<p>{sentences(rng, 40)}</p>{shared}")) for i in range(30, 45)]
+    pages += [(i, "https://copies.example/", unlisted(rng, i, article=copy)) for i in range(50, 60)]
+    got = texts(spark, pages)
+    for i, _, page in pages:
+        assert got[i] == plain(page) if i < 50 else got[i].startswith(plain(page)[:50]) or plain(page) in got[i]
+
+
+@pytest.mark.parametrize("name", ["social-science", "product-tags-story", "login-guide content", "cookie-recipes", "reviewsOfBooks"])
+def test_articles_with_telling_names(spark, name):
+    rng = random.Random(14)
+    bodies = [sentences(rng, 30) for _ in range(6)]
+    page = '<body><div class="menu"><a href="/">Home</a> or so</div><div class="{}"><h1>Title</h1><p>{}</p></div><div class="comments"><p>{}</p></div></body>'
+    got = texts(spark, [(i, f"https://h{i // 3}.example/", page.format(name, b, sentences(rng, 12))) for i, b in enumerate(bodies)])
+    assert got == {i: f"Title\n{b}" for i, b in enumerate(bodies)}
+
+
+@pytest.mark.parametrize("names", ['class="discussion"', 'id="comments"', 'class="post-comments"', 'class="reader-replies"', 'role="complementary"'])
+def test_reader_comments(names):
+    body = "Words of the article, enough of them to be one."
+    assert one(f'<body><div class="text"><p>{body}</p></div><section {names}><p>First! A reader has something to say here.</p></section></body>') == body
+    assert one(f'<body><article><p>{body}</p><section {names}><div class="one"><p>First! A reader says so.</p></div></section></article></body>') == body
+
+
+def test_forms_and_headers():
+    body = "Words of the article, enough of them to be one."
+    assert one(f'<form id="all"><div class="copy"><p>{body}</p></div><fieldset><p>Send</p></fieldset></form>') == body
+    assert one(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{body}</p><form><p>Join us</p></form></article>") == f"Title\n{body}"
+    assert one("<body><div class='ad'>Buy this.</div><article></article></body>") == ""
+    assert one(f'<body><div class="widget"><p>{body * 9}</p></div></body>') == body * 9  # named as chrome, but all there is
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 20_000 + "deep" + "</div>" * 20_000, "<div>" * 20_000 + "</section>" * 20_000 + "x", "<b>" * 20_000 + "<hr>" * 20_000 + "x",
+    "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "x", "<li>" + "<div>" * 10_000 + "<li>" * 10_000 + "x", '<a "' * 25_000 + "x",
+    '<a ">' * 25_001 + "x", '<a x=">' * 25_001 + "x", "<" * 100_000, "<!--" * 25_000, "<div " + "a " * 50_000 + ">x", "<xmp>" * 20_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+    import tracemalloc
+    started = time.process_time()
+    one(html)
+    assert time.process_time() - started < 2
+    tracemalloc.start()
+    one(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+
+
+def test_crowded_hosts_are_dealt_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(15)
+    pages = spark.createDataFrame([(i, "https://a.example/" if i % 3 else None, unlisted(rng, i)) for i in range(90)], "page_id long, url string, html string")
+    want = sorted(map(tuple, ht.extract(pages).collect()))
+    monkeypatch.setattr(ht, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(ht, "PAGES_A_TASK", 10)
+    assert sorted(map(tuple, ht.extract(pages).collect())) == want
