@@ -5,10 +5,11 @@ takes some of each. That is vector bin packing, and the rule is the dot product:
 fit an open sequence, the one whose demands point most in the direction of the room left is placed,
 both as shares of the limits. So a long example goes first where tokens are plenty, short ones where
 few segments would waste them, and prompts without loss where the loss is used up. Where none fits
-whole, one is cut to fill the rest, and its remainder waits on.
+whole, one is cut to fill the rest, and its remainder waits on. A sequence that reaches its limit of
+segments or loss before it is full ends at a power of two, which needs no padding.
 
-Every partition packs what it reads and holds at most `POOL` waiting examples. What is left at its
-end goes to sequences of 2, 4, 8, ... tokens, which need no padding.
+Every partition packs what it reads and holds `POOL` waiting examples, or as many as a sequence may
+take. What is left at its end goes to sequences of 2, 4, 8, ... tokens.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class Limits(NamedTuple):
     """What a sequence may hold."""
 
     tokens: int = 1024
-    segments: int = 128
+    segments: int = 1024
     loss: int = 1024
 
 
@@ -58,7 +59,11 @@ class Piece(NamedTuple):
 
 
 class Packer:
-    """Places pieces into sequences; `add` and `finish` yield each sequence as a list of pieces."""
+    """Places pieces into sequences; `add` and `finish` yield each sequence as a list of pieces.
+
+    Sequences are made while `pool` pieces or more wait that fill one: with short pieces, `pool` is
+    exceeded, up to the limit of tokens.
+    """
 
     def __init__(self, limits: Limits, pool: int = POOL):
         if min(limits) < 1:
@@ -68,6 +73,7 @@ class Packer:
         self.free = list(range(pool))
         # what the piece of each place takes of tokens and of loss; 0 tokens: the place is free
         self.tokens, self.loss = np.zeros(pool), np.zeros(pool)
+        self.waiting = self.waiting_tokens = 0
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         most = min(self.limits.tokens, self.limits.loss) if piece.bears_loss else self.limits.tokens
@@ -82,12 +88,19 @@ class Packer:
             yield [piece]
             return
         self._put(piece)
-        if not self.free:
-            while len(self.free) < self.pool // 2:
-                yield self._sequence(self.limits.tokens)
+        if self.waiting < self.pool or self.waiting_tokens < self.limits.tokens:
+            return
+        while self.waiting > self.pool // 2 and self.waiting_tokens >= self.limits.tokens:
+            yield self._sequence(self.limits.tokens)
 
     def _put(self, piece: Piece) -> None:
+        if not self.free:
+            size = len(self.pieces)
+            self.free = list(range(size, 2 * size))
+            self.pieces += [None] * size
+            self.tokens, self.loss = np.concatenate([self.tokens, np.zeros(size)]), np.concatenate([self.loss, np.zeros(size)])
         at = self.free.pop()
+        self.waiting, self.waiting_tokens = self.waiting + 1, self.waiting_tokens + piece.length
         self.pieces[at] = piece
         self.tokens[at], self.loss[at] = piece.length, piece.length * piece.bears_loss
 
@@ -95,10 +108,11 @@ class Packer:
         piece = self.pieces[at]
         self.pieces[at], self.tokens[at], self.loss[at] = None, 0, 0
         self.free.append(at)
+        self.waiting, self.waiting_tokens = self.waiting - 1, self.waiting_tokens - piece.length
         return piece
 
     def finish(self) -> Iterator[list[Piece]]:
-        while left := int(self.tokens.sum()):
+        while left := self.waiting_tokens:
             size = self.limits.tokens if left >= self.limits.tokens else 1 << (left.bit_length() - 1)
             yield self._sequence(size)
 
@@ -130,8 +144,22 @@ class Packer:
                 part, rest = piece.cut(min(tokens, loss) if piece.bears_loss else tokens)
                 out.append(part)
                 self._put(rest)
+                tokens -= part.length
+        if tokens:
+            self._shorten(out, size - tokens)
         return out
 
+    def _shorten(self, pieces: list[Piece], length: int) -> None:
+        """Let the last pieces of a sequence wait on, as far as its length is above a power of two."""
+        over = length - (1 << (length.bit_length() - 1))
+        while over:
+            piece = pieces.pop()
+            if piece.length > over:
+                kept, piece = piece.cut(piece.length - over)
+                pieces.append(kept)
+            over -= piece.length
+            self._put(piece)
+
 
 def _packed(tokenizer: str, end_id: int, limits: Limits, id_type: pa.DataType):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -52,7 +52,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), end_id=0, limits=packing.Limits(tokens=1024, segments=128, loss=1024))
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=0, limits=packing.Limits(tokens=1024, segments=1024, loss=1024))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,18 +66,25 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them without special tokens; markers in a text are text."""
+    """Ids of whole texts, those of the library's `encode` with `add_special_tokens=False`.
+
+    So a marker of the tokenizer's file that stands in a text, such as its end-of-text token, is one id.
+    """
 
     def __init__(self, name: str):
         path = tokenizer_file(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         split = parts.get("pre_tokenizer") or {}
         self.cuttable = (
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
+        added = {token["content"]: token for token in parts.get("added_tokens") or ()}
+        self.cuttable &= not any(token["lstrip"] or token["rstrip"] or token["single_word"] for token in added.values())
+        # Markers are cut out before all else, the longest where several start.
+        self.markers = {content: _as_bytes([token["id"]]) for content, token in added.items()}
+        self.marker = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pieces = _Pieces(self._encode_piece)
         self.model = self.tokenizer.model
         split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -92,13 +99,20 @@ class Encoder:
             return _as_bytes([token.id for token in self.model.tokenize(piece.translate(self.symbols))])
         return self._encode(piece)
 
+    def _encode_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
         if not self.cuttable or ODD_SPACE.search(text):
             return self._encode(text)
-        ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+        out, at = [], 0
+        for m in self.marker.finditer(text) if self.marker else ():
+            out += [self._encode_pieces(text[at:m.start()]), self.markers[m[0]]]
+            at = m.end()
+        out.append(self._encode_pieces(text[at:]))
         self.pieces.age()
-        return ids
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)

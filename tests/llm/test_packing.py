@@ -102,3 +102,26 @@ def test_empty_and_bad_limits(docs):
     assert pk.pack(docs((1, "a")).limit(0)).count() == 0
     with pytest.raises(ValueError):
         pk.Packer(pk.Limits(0, 1, 1))
+
+
+@pytest.mark.parametrize("segments", [1024, 128, 7])
+@pytest.mark.parametrize("n", [1, 3, 5, 7, 300])
+def test_short_pieces_need_no_padding(segments, n):
+    """However few segments a sequence may have: one that is not full ends at a power of two."""
+    packer, out = pk.Packer(pk.Limits(1024, segments, 1024)), []
+    for i in range(6_000):
+        out += packer.add(pk.Piece(i, 0, bytes(4 * n), n, True))
+        assert packer.waiting <= 1024 + 1 and len(packer.pieces) <= 2048
+    out += packer.finish()
+    lengths = [sum(p.length for p in s) for s in out]
+    assert sum(lengths) == 6_000 * n and max(map(len, out)) <= segments
+    assert padding(lengths, 1024) == 0
+    if segments * n >= 1024:
+        assert len(out) <= 6_000 * n / 1024 + 11
+
+
+def test_many_tiny_documents(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'a b' AS text").repartition(4)
+    got = pk.pack(docs).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    lengths = [r["sum(length)"] for r in got]
+    assert sum(lengths) == 60_000 and padding(lengths, 1024) == 0
