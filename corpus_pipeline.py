@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, end_id=0, limits=packing.Limits(tokens=1024, segments=128, loss=1024))
+    return packing.pack(docs, end_id=0, limits=packing.Limits(tokens=1024, segments=1024, loss=1024))
 
 
 STAGES = [
