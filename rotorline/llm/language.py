@@ -6,8 +6,8 @@ two shorter ones in it, down to single characters, and a character never seen sc
 languages. The language with the highest sum over the words is the prediction.
 
 The model is fitted on labelled rows drawn by a hash of their id, `sample` rows of each language on
-average at most, and keeps the `most_words` and `most_grams` most frequent of each language: so it
-is bounded, and is sent to every task.
+average at most, and knows every word and n-gram of them: so the bounded sample bounds it, and it is
+sent to every task.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import in_arrow, named
+from rotorline.llm.common import in_arrow, named, sent_if_small
 
 UNDECIDED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = "\\p{L}+"
 LONGEST = 4
 REMEMBERED = 100_000
+#: Letters of a word that are read for n-grams at a time; longer words are not remembered.
 LONG_WORD = 64
 DRAWS = 1 << 31
 
@@ -44,65 +46,71 @@ class Model(NamedTuple):
     logs: np.ndarray
 
 
-def _logs(counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> np.ndarray:
-    """Log frequency per language of each entry of {entry: {language: count}}, one added to every count."""
-    size = np.array([totals[lang] + len(counts) + 1 for lang in languages], float)
-    table = np.array([[of.get(lang, 0) for lang in languages] for of in counts.values()], float)
-    return np.log((table.reshape(len(counts), len(languages)) + 1) / size)
+def _logs(found: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The entries of rows (lang, entry, n), and their log frequency per language, one added to every count."""
+    coded = found.column("entry").combine_chunks().dictionary_encode()
+    entries = coded.dictionary.to_pylist()
+    counts = np.zeros((len(entries), len(languages)))
+    langs = pc.index_in(found.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    np.add.at(counts, (coded.indices.to_numpy(), langs), found.column("n").to_numpy())
+    return entries, np.log((counts + 1) / (counts.sum(axis=0) + len(entries) + 1))
+
+
+def _grams_of(words: DataFrame) -> DataFrame:
+    """(lang, size, entry, n) of the n-grams of `words` (lang, entry, n), a blank at either end; long words are read in parts."""
+    part = F.explode(F.expr(f"sequence(0, length(word) - size, {LONG_WORD})")).alias("at")
+    return (
+        words.select("lang", F.concat(F.lit(" "), "entry", F.lit(" ")).alias("word"), "n")
+        .select("lang", "word", "n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")).filter("length(word) >= size")
+        .select("lang", "word", "n", "size", part).selectExpr("lang", "n", "size", f"substring(word, at + 1, {LONG_WORD} + size - 1) AS word")
+        .select("lang", "n", "size", F.explode(F.expr("transform(sequence(1, length(word) - size + 1), i -> substring(word, i, size))")).alias("entry"))
+        .filter("entry <> ' '").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4_000,
-        most_words: int = 20_000, most_grams: int = 10_000) -> Model:
+        most_words: int | None = None, most_grams: int | None = None) -> Model:
     """The model of rows with a language; rows without one or without a word teach nothing.
 
     About `sample` rows of each language are drawn by a hash of the id (of the text where there is
-    none), all where there are fewer.
-    Nothing labelled gives a model without languages, which predicts `und`.
+    none), all where there are fewer. With `most_words` or `most_grams`, only so many of the most
+    frequent of a language (and size) are kept. Nothing labelled gives a model without languages,
+    which predicts `und`. The model has a number for each of its entries and languages.
     """
     rows = labelled.filter(named(lang_col).isNotNull()).select(
         named(lang_col).cast("string").alias("lang"), named(text_col).alias("text"),
         F.pmod(F.when(named(id_col).isNull(), F.xxhash64(named(text_col))).otherwise(F.xxhash64(named(id_col))), F.lit(DRAWS)).alias("draw"))
-    rates = [(r.lang, min(1.0, sample / r["count"])) for r in rows.groupBy("lang").count().collect()]
-    if not rates:
+    counted = rows.groupBy("lang").count()
+    languages = sorted(r.lang for r in counted.select("lang").collect())
+    if not languages:
         return Model([], {}, {}, np.zeros((1, 0)))
-    languages = sorted(lang for lang, _ in rates)
-    bound = F.create_map(*[c for lang, rate in rates for c in (F.lit(lang), F.lit(int(rate * DRAWS)))])[F.col("lang")]
-    drawn = rows.filter(F.col("draw") < bound)
+    rates = counted.select(F.col("lang").alias("of"), F.floor(F.least(F.lit(1.0), sample / F.col("count")) * DRAWS).alias("bound"))
+    drawn = rows.join(sent_if_small(rates, 64), (F.col("lang") == F.col("of")) & (F.col("draw") < F.col("bound")))
     words = (
         drawn.select("lang", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LETTERS), F.lit(0))).alias("entry"))
         .groupBy("lang", "entry").agg(F.count("*").alias("n")))
-    grams = words.filter(F.length("entry") <= LONG_WORD).select(
-        "lang", F.concat(F.lit(" "), "entry", F.lit(" ")).alias("word"), "n"
-    ).select("lang", "word", "n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")).filter(
-        F.length("word") >= F.col("size")
-    ).select("lang", "n", "size", F.explode(F.expr(
-        "transform(sequence(1, length(word) - size + 1), i -> substring(word, i, size))")).alias("entry")
-    ).filter("entry <> ' '").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
-
-    def frequent(counts: DataFrame, most: int, by: list[str]) -> list:
-        ranked = Window.partitionBy(*by).orderBy(F.desc("n"), "entry")
-        return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most).collect()
 
+    def frequent(counts: DataFrame, most: int | None, *by: str) -> pa.Table:
+        if most is not None:
+            ranked = Window.partitionBy(*by).orderBy(F.desc("n"), "entry")
+            counts = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most).drop("rank")
+        return counts.toArrow()
+
+    known = frequent(words, most_words, "lang")
+    grams = frequent(_grams_of(words), most_grams, "lang", "size")
     tables: list[np.ndarray] = []
 
-    def rows_of(found: list) -> dict[str, int]:
+    def rows_of(found: pa.Table) -> dict[str, int]:
         """The rows that entries get in the next of the tables."""
-        counts, totals = {}, dict.fromkeys(languages, 0)
-        for r in found:
-            counts.setdefault(r.entry, {})[r.lang] = r.n
-            totals[r.lang] += r.n
         first = 1 + sum(map(len, tables))
-        tables.append(_logs(counts, languages, totals))
-        return {entry: first + i for i, entry in enumerate(counts)}
+        entries, logs = _logs(found, languages)
+        tables.append(logs)
+        return {entry: first + i for i, entry in enumerate(entries)}
 
-    by_size: dict[int, list] = {}
-    for r in frequent(grams, most_grams, ["lang", "size"]):
-        by_size.setdefault(r.size, []).append(r)
     gram_rows: dict[str, int] = {}
-    for found in by_size.values():
-        gram_rows |= rows_of(found)
+    for size in range(1, LONGEST + 1):
+        gram_rows |= rows_of(grams.filter(pc.equal(grams.column("size"), size)))
     least = min((float(t.min()) for t in tables if len(t)), default=0.0)
-    word_rows = rows_of(frequent(words, most_words, ["lang"]))
+    word_rows = rows_of(known)
     return Model(languages, word_rows, gram_rows, np.concatenate([np.full((1, len(languages)), least), *tables]))
 
 
@@ -151,10 +159,13 @@ class Scorer:
             return UNDECIDED, 0.0
         if len(self.places) > REMEMBERED:
             self.places.clear()
-        places = list(map(self.places.get, words))
+        places, total = list(map(self.places.get, words)), np.zeros(len(self.model.languages))
         if None in places:
-            places = list(map(self._place, words))
-        total = self.scores[places].sum(axis=0)
+            places = [self._place(word) for word in words if len(word) <= LONG_WORD]
+            for word in words if len(places) < len(words) else ():
+                if len(word) > LONG_WORD:
+                    total += self.word(word)
+        total += self.scores[places].sum(axis=0)
         if not total.any():
             return UNDECIDED, 0.0
         best = int(np.argmax(total))
@@ -193,7 +204,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
     `und` with score 0 where the text is null or has no letter. Of languages with equal scores the
-    first in order is told. Only the text decides. Extra columns are ignored.
+    first in order is told. Only the text decides, so repeated rows get equal results; ids may be
+    null. An empty table gives no rows. Extra columns are ignored.
     """
     rows = docs.select(named(id_col).alias("doc_id"), held_out(named(id_col)).alias("held_out"), named(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,3 +81,63 @@ def test_memory_is_bounded(model, monkeypatch):
         text = f"wort{chr(97 + i % 26) * 3} the der {'xyz' * (i % 7)}{chr(97 + i % 23)}"
         assert scorer.predict(text) == la.Scorer(model).predict(text)
     assert len(scorer.places) < 30 and fresh.places == {}
+
+
+def naive(training, texts):
+    """{text: {language: log likelihood}} of a model counted and applied word by word."""
+    languages = sorted({lang for lang, _ in training})
+    words = {lang: Counter(w for of, t in training if of == lang for w in la.WORD.findall(t.lower())) for lang in languages}
+    grams = {size: {lang: Counter() for lang in languages} for size in range(1, 5)}
+    for lang in languages:
+        for w, n in words[lang].items():
+            for size in grams:
+                for i in range(len(w) + 3 - size):
+                    if (g := f" {w} "[i:i + size]) != " ":
+                        grams[size][lang][g] += n
+
+    def log(table, entry, lang):
+        known = set().union(*table.values())
+        return math.log((table[lang][entry] + 1) / (table[lang].total() + len(known) + 1)) if entry in known else None
+
+    least = min(log(grams[size], g, lang) for size in grams for g in set().union(*grams[size].values()) for lang in languages)
+
+    def gram(g, lang):
+        found = log(grams[len(g)], g, lang)
+        return found if found is not None else least if len(g) == 1 else gram(g[:-1], lang) + gram(g[1:], lang)
+
+    def word(w, lang):
+        found = log(words, w, lang)
+        return found if found is not None else sum(gram(f" {w} "[i:i + min(4, len(w) + 2)], lang) for i in range(len(w) + 2 - min(4, len(w) + 2) + 1))
+
+    return {t: {lang: sum(word(w, lang) for w in la.WORD.findall(t.lower())) for lang in languages} for t in texts}
+
+
+def test_equals_a_naive_scorer(spark):
+    training = [("en", "The cat and the hat, a cat of no hat."), ("en", "and then " + "longword" * 20), ("de", "Die Katze und der Hut, die Katze."), ("de", "ohne Hut"),
+                ("fr", "Le chat et le chapeau é"), ("fr", "un chat" + "x" * 130)]
+    texts = ["the cat", "Katzen und Hüte", "chapeaux élevés", "q", "zzz the", "longword" * 30, "x" * 500 + " und", "hat hut"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(training)] + [(99, "nobody", None)], "doc_id long, text string, lang string")
+    model = la.fit(docs)
+    want = naive(training, texts)
+    assert model.languages == ["de", "en", "fr"] and len(model.words) == len({w for _, t in training for w in re.findall("[a-zäöüé]+", t.lower())})
+    got = {r.text: r for r in la.identify(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string"), model).selectExpr("doc_id AS text", "lang_pred", "score").collect()}
+    for text, logs in want.items():
+        best = max(logs.values())
+        assert logs[got[text].lang_pred] == pytest.approx(best)
+        assert got[text].score == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()))
+
+
+def test_words_longer_than_any_bound(spark, model):
+    """N-grams of a long word are those of the whole word, each once, and such words are not remembered."""
+    long = "".join(chr(97 + i * 7 % 26) for i in range(1_000))
+    counted = la._grams_of(spark.createDataFrame([("en", long, 2), ("en", "ab", 1)], "lang string, entry string, n long")).collect()
+    want = Counter()
+    for size in range(1, 5):
+        for w, n in ((long, 2), ("ab", 1)):
+            for i in range(len(w) + 3 - size):
+                want[size, f" {w} "[i:i + size]] += n
+    del want[1, " "]
+    assert {(r["size"], r.entry): r.n for r in counted} == want
+    scorer = la.Scorer(model)
+    scorer.predict(f"the {long} of {long}")
+    assert set(scorer.places) == {"the", "of"}
