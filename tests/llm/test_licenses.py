@@ -23,19 +23,18 @@ def corpus():
 
 
 def brute(pairs):
-    """Every window of every class against every template, by sets."""
+    """Every run of twice a template's shingles against it, wherever it starts, by sets."""
     best = {}
     for i, text in pairs:
         words = li.words_of(text or "")
         grams = [" ".join(words[p:p + 5]) for p in range(len(words) - 4)]
-        for c in li.classes(li.TEMPLATES):
-            for at in range(0, max(0, len(grams)), c.step):
-                held = set(grams[at:at + c.size])
-                for name, template in c.templates:
-                    own = li.shingles_of(template)
-                    found = len(held.intersection(own))
-                    if found >= 0.8 * len(own) - 1e-9:
-                        best[i, name] = max(best.get((i, name), (0,)), (found, len(own)))
+        for name, template in li.TEMPLATES:
+            own = set(li.shingles_of(template))
+            room = 2 * (len(li.words_of(template)) - 4)
+            for at in (p for p, gram in enumerate(grams) if gram in own):
+                found = len(own.intersection(grams[at:at + room]))
+                if found >= 0.8 * len(own) - 1e-9:
+                    best[i, name] = max(best.get((i, name), (0,)), (found, len(own)))
     return sorted(((*k, *v) for k, v in best.items()), key=repr)
 
 
@@ -62,7 +61,8 @@ def test_bands_guarantee_the_collision():
             needed, own = li.needed_of(text), len(li.shingles_of(text))
             similar = needed / (c.size + own - needed)
             assert (1 - similar) ** c.bands <= li.MISSED * 1.001 or similar == 1
-            assert len(li.words_of(text)) - 4 + c.step - 1 <= c.size  # lies whole in a window
+            assert li.room_of(text) + c.step - 1 <= c.size  # a run lies whole in a window
+            assert c.needed <= needed
 
 
 def test_anchors_are_in_every_match():
@@ -77,3 +77,32 @@ def test_empty_and_short(docs):
     assert li.find_licenses(docs((1, "license"), (2, None))).count() == 0
     with pytest.raises(ValueError):
         li.classes([("x", "too short")])
+
+
+@pytest.mark.parametrize("name, inserted", [("mit-grant", 20), ("mit-body", 60), ("bsd-grant", 9), ("mit", 1)])
+def test_inserted_words_are_found_wherever_the_notice_stands(docs, name, inserted):
+    words = dict(li.TEMPLATES)[name].split()
+    middle = len(words) // 2
+    notice = " ".join(words[:middle] + ["zz"] * inserted + words[middle:])
+    pairs = [(i, "before " * i + notice + " after" * 50) for i in range(40)]
+    got = {r.doc_id: r.shingles_found for r in li.find_licenses(docs(*pairs)).filter(f"license = '{name}'").collect()}
+    of = len(li.shingles_of(dict(li.TEMPLATES)[name]))
+    if of - 4 >= li.needed_of(dict(li.TEMPLATES)[name]):
+        assert got == {i: of - 4 for i in range(40)}
+    else:
+        assert not got
+
+
+def test_the_best_run_counts_and_no_more(docs):
+    """Parts of a notice that are too far from each other are no match together."""
+    words = dict(li.TEMPLATES)["mit-grant"].split()
+    far = " ".join(words[:30]) + " zz" * 200 + " " + " ".join(words[30:])
+    twice = f"{' '.join(words[:-9])} {'zz ' * 300} {' '.join(words)} {'zz ' * 300} {' '.join(words[9:])}"
+    got = rows(li.find_licenses(docs((1, far), (2, twice))), "doc_id", "license", "shingles_found")
+    assert got == [(2, "mit-grant", len(li.shingles_of(dict(li.TEMPLATES)["mit-grant"])))]
+
+
+def test_one_word_over_and_over(docs):
+    """A very long document of a template's words takes no more than its windows."""
+    got = rows(li.find_licenses(docs((1, "of this software and associated documentation " * 3_000 + " ".join(dict(li.TEMPLATES)["isc-body"].split())))), "license")
+    assert ("isc-body",) in got
