@@ -32,6 +32,11 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of a shuffle of so many rows, about `each` in one, and no fewer than the session sets."""
+    return max(width(spark), -(-rows // each))
+
+
 BATCH_BYTES = 4 << 20
 
 

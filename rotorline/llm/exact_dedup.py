@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import fixed_binary, in_arrow, keep_decided, named, settled, text_digest, width
+from rotorline.llm.common import fixed_binary, in_arrow, keep_decided, named, settled, tasks, text_digest
 
 ENTRY = np.dtype([("digest", "S32"), ("check", "S24"), ("known", "u1"), ("id", "<i8"), ("rows", "<i8"), ("same", "<i8")])
 RUN_SCHEMA = "node int, head binary, run binary"
@@ -30,6 +30,8 @@ MERGED_SCHEMA = "digest binary, check binary, keep_id long, rows long, same long
 LEAF_ENTRIES = 50_000
 CHUNK_ENTRIES = 2_048
 FAN_BITS = 3
+#: Rows whose digests one node is there for.
+NODE_ROWS = 2_000_000
 
 
 def combined(entries: np.ndarray, largest: bool) -> np.ndarray:
@@ -166,7 +168,7 @@ def merge_digests(digests: DataFrame, keep: str = "largest") -> DataFrame:
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep is 'largest' or 'smallest', not {keep!r}")
     largest = keep == "largest"
-    bits = (width(digests.sparkSession) - 1).bit_length()
+    bits = (tasks(digests.sparkSession, digests.count(), NODE_ROWS) - 1).bit_length()
     digits = [(at, min(FAN_BITS, bits - at)) for at in range(0, bits, FAN_BITS)] or [(0, 0)]
     nodes = 1 << bits
 

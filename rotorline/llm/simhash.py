@@ -6,8 +6,9 @@ radius follows only the edges whose key lies within the radius of the distance t
 One tree over all fingerprints would fit no task, so fingerprints are dealt to shards. Cut into
 `radius + 2` blocks of bits, two fingerprints within the radius agree in at least two blocks; a shard
 holds those that agree in one pair of blocks, so a pair within the radius meets in some shard and
-hardly anything else does. A shard above `SHARD` fingerprints is cut further, and the tree of each
-part is sent to every part of the shard. That is this operator's broadcast: all trees together grow
+hardly anything else does. A crowded shard is dealt once more: the bits that its fingerprints need not
+share are cut into blocks too, and again two of them agree. A shard above `SHARD` fingerprints is cut
+into parts, and the tree of each part is sent to every part of the shard. That is this operator's broadcast: all trees together grow
 with the corpus, so they go to the tasks that ask them and not to all. A task holds two parts at most.
 
 Inside a task the hits are joined up at once, so that a part gives a link per member and not all
@@ -22,14 +23,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import byte_texts, in_arrow, keep_decided, named, settled, text_digest, width
+from rotorline.llm.common import byte_texts, in_arrow, keep_decided, named, settled, tasks, text_digest
 from rotorline.llm.components import components
 
 SEED = 42
 SHARD = 2_048
+#: Parts of a shard from which it is dealt once more, and rows of a task of shards.
+MOST_PARTS, CELL_ROWS = 4, 1_000_000
 BLOCK_SHINGLES = 65_536
 
 
@@ -113,17 +116,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).transform(in_arrow, _prints(shingle), "doc_id long, text_digest binary, print long")
 
 
-def _pair_keys(column: str, radius: int):
-    """Per pair of blocks, the bits of `column` in both, with the number of the pair."""
-    blocks, masks = radius + 2, []
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    for a, b in combinations(range(blocks), 2):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in (a, b))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+def _pairs(places: list[int], radius: int) -> list[tuple[int, list[int]]]:
+    """Bits cut into blocks: per pair of blocks the mask of its bits, as a signed long, and the other bits."""
+    edges = [len(places) * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [places[a:b] for a, b in zip(edges, edges[1:])]
+    out = []
+    for pair in combinations(range(len(blocks)), 2):
+        mask = sum(1 << bit for i in pair for bit in blocks[i])
+        out.append((mask - (1 << 64) if mask >> 63 else mask, [bit for i, block in enumerate(blocks) if i not in pair for bit in block]))
+    return out
+
+
+def _keys(pairs: list[tuple[int, list[int]]], first: int, shared: int = 0) -> Column:
+    """Of each fingerprint its bits in every pair of blocks, and in `shared`, with the number of the pair."""
     return F.array(*[
-        F.struct(F.lit(i).alias("table"), F.col(column).bitwiseAND(F.lit(mask).cast("long")).alias("bits"))
-        for i, mask in enumerate(masks)
-    ])
+        F.struct(F.lit(first + i).alias("table"), F.col("print").bitwiseAND(F.lit(mask | shared).cast("long")).alias("bits"))
+        for i, (mask, _) in enumerate(pairs)])
+
+
+def _cells(prints: DataFrame, radius: int) -> DataFrame:
+    """(print, table, bits, n): the shards with several fingerprints, n of them, that two within the radius meet in."""
+    pairs = _pairs(list(range(64)), radius)
+
+    def shared(keyed: DataFrame) -> DataFrame:
+        of = keyed.groupBy("table", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+        return keyed.join(of, ["table", "bits"])
+
+    dealt = shared(prints.select("print", F.explode(_keys(pairs, 0)).alias("key")).select("print", "key.*"))
+    crowded = F.col("n") > MOST_PARTS * SHARD
+    again = F.when(F.lit(False), F.lit(None))
+    for i, (mask, rest) in enumerate(pairs):
+        again = again.when(F.col("table") == i, _keys(_pairs(rest, radius), (i + 1) * len(pairs), mask))
+    finer = shared(dealt.filter(crowded).select("print", F.explode(again).alias("key")).select("print", "key.*"))
+    return dealt.filter(~crowded).select("print", "table", "bits", "n").unionByName(finer.select("print", "table", "bits", "n"))
 
 
 def _joined(tree: BKTree, members: list[int], asked: list[int], radius: int) -> Iterator[tuple[int, int]]:
@@ -188,20 +213,17 @@ def print_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (hi, lo) that join up all distinct values of `prints` (print) within the radius."""
     if not 0 <= radius <= 16:
         raise ValueError("radius is 0 to 16 bits")
-    spark = prints.sparkSession
-    keyed = prints.select("print", F.explode(_pair_keys("print", radius)).alias("key")).select("print", "key.*")
-    crowded = keyed.groupBy("table", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / SHARD).cast("int")
     own = F.pmod(F.xxhash64("print"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = (
-        keyed.join(crowded, ["table", "bits"]).withColumn("parts", parts).withColumn("part", own)
+        _cells(prints, radius).withColumn("parts", parts).withColumn("part", own)
         .withColumn("other", other)
         .select("table", "bits", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "print")
     )
     cell = ["table", "bits", "a", "b"]
     links = (
-        cells.repartition(width(spark), *cell).sortWithinPartitions(*cell)
+        cells.repartition(tasks(prints.sparkSession, prints.count(), CELL_ROWS), *cell).sortWithinPartitions(*cell)
         .transform(in_arrow, _cell_links(radius), "x long, y long")
     )
     return links.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()

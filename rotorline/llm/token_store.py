@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotorline.llm.common import in_arrow, named, width
+from rotorline.llm.common import in_arrow, named, tasks
 from rotorline.llm.tokens import BYTE_BPE, encoder
 
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 18
+SHARD_DOCS = 200_000
 PLANES = {"byte": 4, "bit": 32}
 CHUNK_SCHEMA = (
     "shard int, chunk int, first_id long, n_ids long, block int, layout string, doc_ids array<long>, "
@@ -114,14 +115,14 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Null text is empty: its ids are the end id alone. Rows without an id come first; rows of one id
     are ordered by their text, and a common id may fill several shards. Extra columns are ignored.
-    An empty table gives a store without chunks.
+    An empty table gives a store without chunks. Without `shards`, one holds about `SHARD_DOCS` documents.
     """
     if layout not in PLANES:
         raise ValueError(f"layout is one of {sorted(PLANES)}, not {layout!r}")
     text = F.coalesce(named(text_col), F.lit(""))
     order = ["doc_id", F.xxhash64("text")]
     (docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"))
-     .repartitionByRange(shards or width(docs.sparkSession), *order)
+     .repartitionByRange(shards or tasks(docs.sparkSession, docs.count(), SHARD_DOCS), *order)
      .sortWithinPartitions(*order, "text")
      .transform(in_arrow, _chunks(tokenizer, end_id, layout, level), CHUNK_SCHEMA)
      .write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path))

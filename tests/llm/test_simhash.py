@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
@@ -105,3 +106,44 @@ def test_drop_keeps_one_of_each_group(docs):
 def test_empty(docs):
     assert sh.near_groups(docs((1, "a")).limit(0)).count() == 0
     assert sh.drop_near_duplicates(docs((1, "a")).limit(0)).count() == 0
+
+
+def test_crowded_blocks_are_dealt_once_more(spark):
+    """Ten thousand fingerprints that agree in two blocks of bits: few rows for each, and no link lost."""
+    rng = np.random.default_rng(5)
+    high = rng.choice(1 << 32, 10_000, replace=False).astype(np.uint64)
+    values = set((high << np.uint64(32) | np.uint64(0x1234ABCD)).tolist())
+    planted = {}
+    for value in list(values)[:300]:
+        near = value ^ (1 << int(rng.integers(32, 64))) ^ (1 << int(rng.integers(32, 64)))
+        if near != value and near not in values:
+            planted[near] = value
+    values |= planted.keys()
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "print long")
+    assert sh._cells(frame, 2).selectExpr("sum(ceil(n / 2048)) AS rows").first().rows < 20 * len(values)
+    roots = {r.vertex % 2**64: r.root % 2**64 for r in components(sh.print_links(frame)).collect()}
+    assert len(planted) > 250
+    for near, value in planted.items():
+        assert roots.get(near, near) == roots.get(value, value)
+
+
+def test_crowded_cells_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sh, "SHARD", 3)
+    monkeypatch.setattr(sh, "MOST_PARTS", 2)
+    rng = random.Random(8)
+    for radius in (1, 2, 3):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        values = {b ^ (rng.getrandbits(10) << rng.choice([0, 27, 50])) for b in base for _ in range(40)}
+        frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "print long")
+        roots = {r.vertex % 2**64: r.root % 2**64 for r in components(sh.print_links(frame, radius)).collect()}
+        groups = {v: {v} for v in values}
+        for v in values:
+            for w in values:
+                if (v ^ w).bit_count() <= radius and groups[v] is not groups[w]:
+                    groups[v] |= groups[w]
+                    for x in groups[w]:
+                        groups[x] = groups[v]
+        tops = {}
+        for v in values:
+            tops.setdefault(roots.get(v, v), set()).add(v)
+        assert sorted(map(sorted, tops.values())) == sorted(map(list, {tuple(sorted(g)) for g in groups.values()}))
