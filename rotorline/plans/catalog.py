@@ -353,6 +353,15 @@ def _(s, d):
     return access.fleet_rollup(fx.users(s, d), fx.motors(s, d), fx.readings(s, d))
 
 
+@query("fleet_tree")
+def _(s, d):
+    """The documents, told row by row: where each reading lies."""
+    tree = access.fleet_tree(fx.users(s, d), fx.motors(s, d), fx.readings(s, d), part_rows=16, parts=4)
+    motors = tree.select("user_id", "name", F.explode_outer("motors").alias("m")).select("user_id", "name", "m.*")
+    return motors.select("user_id", "name", "motor_id", "motor_name", "part", F.posexplode_outer("readings").alias("slot", "r")).select(
+        "user_id", "name", "motor_id", "motor_name", "part", "slot", "r.*")
+
+
 @query("fleet_navigation")
 def _(s, d):
     return access.fleet_navigation(fx.users(s, d), fx.motors(s, d), fx.readings(s, d))
@@ -757,7 +766,7 @@ def _(s, d):
         piece.write.mode("append").parquet(f"{path}-landing")
         stream = landing(s, f"{path}-landing", readings.schema)
         _finish(streams.stream_connection_timeout(stream, path, f"{path}-cp", trigger={"once": True}))
-    return s.read.schema(streams.CONNECTION).parquet(path).select("motor_id", "connection")
+    return streams.batches(s, path, T.StructType.fromDDL(streams.CONNECTION)).select("motor_id", "connection")
 
 
 @query("stream_motor_changes")

@@ -326,6 +326,12 @@ SQL: dict[str, str] = {
                min(r.event_ts) AS first_event_ts, max(r.event_ts) AS last_event_ts
         FROM f_users u LEFT JOIN f_motors m ON m.company_id = u.id LEFT JOIN f_readings r ON r.motor_id = m.motor_id
         GROUP BY u.id, u.name, m.motor_id, m.motor_name""",
+    "fleet_tree": """
+        SELECT u.id AS user_id, u.name, m.motor_id, m.motor_name,
+               CASE WHEN m.motor_id IS NOT NULL THEN coalesce(r.n // 16, 0) END::BIGINT AS part, (r.n % 16)::INTEGER AS slot,
+               r.reading_id, r.event_ts, r.temperature, r.vibration
+        FROM f_users u LEFT JOIN f_motors m ON m.company_id = u.id LEFT JOIN (
+            SELECT *, row_number() OVER (PARTITION BY motor_id ORDER BY reading_id) - 1 AS n FROM f_readings) r ON r.motor_id = m.motor_id""",
     "fleet_navigation": """
         SELECT u.id AS user_id, m.motor_id, r.reading_id
         FROM f_users u LEFT JOIN f_motors m ON m.company_id = u.id LEFT JOIN f_readings r ON r.motor_id = m.motor_id""",

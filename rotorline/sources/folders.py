@@ -33,6 +33,12 @@ def complete(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(found)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder."""
+    files, at = _files(spark, path)
+    return sorted(entry.getPath().getName() for entry in files.listStatus(at)) if files.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.delete(at, True)

@@ -16,23 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import folders
-
-BATCH = "batch_id"
+from .log import BATCH, read_log
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, extra: tuple[T.StructField, ...] = ()) -> DataFrame:
-    """All batches written so far with their `batch_id`; empty if there are none.
-
-    `extra` are columns that folders below the batches carry, such as a date.
-    """
-    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType()), *extra])
-    if not folders.exists(spark, path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All complete batches of a log with their `batch_id`; empty if there are none."""
+    return read_log(spark, path, schema)
 
 
 def _of_batches(spark: SparkSession, path: str, schema: T.StructType, batches: list[int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 All take a stream, a target folder and a checkpoint folder and return the started query.
 Rows that are only appended go through the file sink, which is exactly-once by its own log, or
-into a folder per batch; tables that change go through `MergedTable`. Batches may be replayed.
+into a log of batches (`log.py`); tables that change go through `MergedTable`. Batches may be replayed.
 
 Where a query needs the registry, `motors` may be a function that reads it: it is called for every
 batch, so that a motor registered or removed meanwhile counts. A DataFrame stays as it was read.
@@ -10,6 +10,7 @@ batch, so that a motor registered or removed meanwhile counts. A DataFrame stays
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,7 +27,8 @@ from ..operators.latest import newest_per
 from ..operators.series import POINTS, last_points, live_buffer
 from ..operators.state import THRESHOLD_MS, apply_messages, changed_only, initial_state
 from ..sources.telemetry import malformed_telemetry, parse_telemetry, subscribed
-from .merged import MergedTable, read_batches, write_batch
+from .log import append_batch, read_log
+from .merged import MergedTable, read_batches
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -77,7 +79,7 @@ def _append(stream: DataFrame, target: str, checkpoint: str, trigger: dict | Non
 
 def _write_log(log: DataFrame, path: str, batch_id: int) -> None:
     """Log rows of a batch under a folder per event date, so that readers of a period skip the rest."""
-    write_batch(log.withColumn(EVENT_DATE, F.to_date("event_ts")), path, batch_id, (EVENT_DATE,))
+    append_batch(log.withColumn(EVENT_DATE, F.to_date("event_ts")), path, batch_id, EVENT_DATE)
 
 
 def stream_history(readings: DataFrame, motors: Table, target: str, checkpoint: str,
@@ -86,9 +88,16 @@ def stream_history(readings: DataFrame, motors: Table, target: str, checkpoint:
     return on_batch(readings, lambda batch, i: _write_log(append_history(batch, _now(motors)), target, i), checkpoint, trigger)
 
 
-def history_log(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """The rows of the log, with the date by which its folders are pruned."""
-    return read_batches(spark, target, schema, (T.StructField(EVENT_DATE, T.DateType()),)).drop("batch_id")
+def history_log(spark: SparkSession, target: str, schema: T.StructType, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+    """The rows of the log, with the date by which its folders are pruned.
+
+    Of a period (both days included, a row without a time in none) only the folders of its days are listed.
+    """
+    def wanted(day: str) -> bool:
+        return day[:4].isdigit() and (since is None or day >= since.isoformat()) and (until is None or day <= until.isoformat())
+
+    period = wanted if since is not None or until is not None else None
+    return read_log(spark, target, schema, T.StructField(EVENT_DATE, T.DateType()), period).drop("batch_id")
 
 
 def stream_risk(readings: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -204,7 +213,7 @@ def stream_changed_only(readings: DataFrame, target: str, checkpoint: str,
         later = batch.join(known, "motor_id", "left").where("_known is null or arrival_seq > _known").select(*batch.columns)
         both = later.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)))
         fresh = changed_only(both).where(~F.col("_seed")).drop("_seed")
-        write_batch(fresh, f"{target}/changes", batch_id)
+        append_batch(fresh, f"{target}/changes", batch_id)
         table.put(batch, batch_id)
 
     return on_batch(readings, _kept(store), checkpoint, trigger)
@@ -233,7 +242,7 @@ def stream_ingest(raw: DataFrame, motors: Table, target: str, checkpoint: str, n
             state.store(_registered(_by_arrival(readings), registry), batch_id)
             buffer.put(readings, batch_id)
             _write_log(append_history(readings, registry), f"{target}/history", batch_id)
-            write_batch(malformed_telemetry(delivered), f"{target}/quarantine", batch_id)
+            append_batch(malformed_telemetry(delivered), f"{target}/quarantine", batch_id)
         finally:
             readings.unpersist()
 
@@ -264,7 +273,7 @@ def stream_motor_changes(motors: DataFrame, target: str, checkpoint: str, keys:
         joined = newest(batch).join(old, list(keys), "left")
         later = F.col("_order").isNull() | (F.col(order) > F.col("_order"))
         changed = joined.where(later & ~F.struct(*values).eqNullSafe(F.col("_old"))).select(*motors.columns)
-        write_batch(changed, f"{target}/changes", batch_id)
+        append_batch(changed, f"{target}/changes", batch_id)
         table.put(batch, batch_id)
 
     return on_batch(motors, _kept(store), checkpoint, trigger)
@@ -298,14 +307,11 @@ def _newest_per_block(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield block.loc[block.groupby("motor_id")["arrival_seq"].idxmax()]
 
 
-FORGET_MS = 24 * 60 * 60 * 1000
-
-
-def _track(threshold_ms: int, forget_ms: int):
+def _track(threshold_ms: int, forget_ms: int | None):
     """State of a motor: its last message by arrival, when it was sent, and the last verdict.
 
-    A disconnected motor keeps its state for `forget_ms`, so that an older message which comes
-    later does not connect it again.
+    A disconnected motor keeps its state, for `forget_ms` if that is given, so that an older message
+    which comes later does not connect it again.
     """
 
     def track(key: tuple, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -324,7 +330,8 @@ def _track(threshold_ms: int, forget_ms: int):
         left = threshold_ms - (state.getCurrentProcessingTimeMs() - last_ms)
         now = "Disconnected" if off or left <= 0 else "Connected"
         state.update((seq, last_ms, off, now))
-        state.setTimeoutDuration(left if now == "Connected" else forget_ms)
+        if now == "Connected" or forget_ms is not None:
+            state.setTimeoutDuration(left if now == "Connected" else forget_ms)
         if now != was:
             yield out(now, last_ms)
 
@@ -332,10 +339,12 @@ def _track(threshold_ms: int, forget_ms: int):
 
 
 def stream_connection_timeout(readings: DataFrame, target: str, checkpoint: str, threshold_ms: int = THRESHOLD_MS,
-                              trigger: dict | None = None, forget_ms: int = FORGET_MS) -> StreamingQuery:
+                              trigger: dict | None = None, forget_ms: int | None = None) -> StreamingQuery:
     """Liveness changes: a motor turns Disconnected `threshold_ms` after its last message.
 
-    The change comes from a timer, without a further message. Only changes are written.
+    The change comes from a timer, without a further message. Only changes are written; read them
+    with `batches`. The state of a motor is a few numbers, kept for good: an older message connects
+    nobody, however late it comes. `forget_ms` lets go of motors that were disconnected for so long.
     """
     slim = readings.select(
         "motor_id", "arrival_seq", F.unix_millis(F.col("event_ts").cast("timestamp")).alias("ms"),
@@ -349,5 +358,5 @@ def stream_connection_timeout(readings: DataFrame, target: str, checkpoint: str,
             GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
-    store = lambda batch, batch_id: write_batch(batch, target, batch_id)
+    store = lambda batch, batch_id: append_batch(batch, target, batch_id)
     return on_batch(tracked, store, checkpoint, trigger or {"processingTime": "1 second"}, mode="update")
