@@ -184,7 +184,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_pretokens, n_tokens, log_probability of the best tokens of its whole text.
 
     Null and empty texts have none, with log probability 0. Rows may repeat, ids may be null. Extra
-    columns are ignored. No shuffle: a task counts the documents it reads.
+    columns are ignored, an empty table gives no rows. No shuffle: a task counts the documents it reads.
     """
     rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
