@@ -37,17 +37,26 @@ def cuts(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> Data
     return sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_low", width.alias("_width"))
 
 
-def with_spans(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
-    """Adds `_span`, growing with `seq` inside a key, and `_cut`, whether the key has several."""
+def listed_cuts(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> tuple[DataFrame, int]:
+    """The cuts, settled, and how many keys they cut."""
     session.ready_checkpoints(df.sparkSession)
     listed = cuts(df, keys, seq, span).checkpoint()
-    joined = df.join(F.broadcast(listed) if listed.count() <= MOST_LISTED else listed, _same_keys(df, listed, keys), "left")
+    return listed, listed.count()
+
+
+def _placed(df: DataFrame, keys: Sequence[str], seq: str, listed: DataFrame, n: int) -> DataFrame:
+    joined = df.join(F.broadcast(listed) if n <= MOST_LISTED else listed, _same_keys(df, listed, keys), "left")
     number = F.floor((F.col(seq) - F.col("_low")) / F.col("_width"))
     return joined.select(
         *df.columns, F.coalesce(number, F.lit(0)).alias(_SPAN), F.col("_low").isNotNull().alias("_cut")
     )
 
 
+def with_spans(df: DataFrame, keys: Sequence[str], seq: str, span: int = SPAN) -> DataFrame:
+    """Adds `_span`, growing with `seq` inside a key, and `_cut`, whether the key has several."""
+    return _placed(df, keys, seq, *listed_cuts(df, keys, seq, span))
+
+
 def carried(spanned: DataFrame, keys: Sequence[str], seq: str, context: int) -> DataFrame:
     """For each span of a key the last `context` rows before it, under that span's number."""
     columns = [c for c in spanned.columns if c not in (seq, _SPAN, "_cut")]
@@ -73,9 +82,13 @@ def in_order(
     """Runs `compute` on the rows of each key in the order of `seq`, a whole number unique in the key.
 
     `compute(rows, window_keys)` adds columns with windows over `window_keys` ordered by `seq`
-    that look back at most `context` rows.
+    that look back at most `context` rows. Where no key is cut there is nothing to carry, and the
+    rows are read and shuffled by key once.
     """
-    spanned = with_spans(df, keys, seq, span)
+    listed, n = listed_cuts(df, keys, seq, span)
+    if n == 0:
+        return compute(df, list(keys))
+    spanned = _placed(df, keys, seq, listed, n)
     own = spanned.select(*df.columns, _SPAN, F.lit(False).alias(_CONTEXT))
     before = carried(spanned, keys, seq, context).select(*df.columns, _SPAN, F.lit(True).alias(_CONTEXT))
     return compute(own.unionByName(before), [*keys, _SPAN]).where(~F.col(_CONTEXT)).drop(_SPAN, _CONTEXT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +62,58 @@ def buffer_last(buffer: DataFrame) -> DataFrame:
 def rolling_points(readings: DataFrame, n: int = POINTS, span: int = SPAN) -> DataFrame:
     """What the buffer showed after every message: size, average, minimum and maximum.
 
-    Aggregates instead of arrays, which would repeat every reading n times. Each row's are taken
-    over its own frame of n rows, so no value depends on what stood before the frame.
+    Aggregates instead of arrays, which would repeat every reading n times. The rows of a motor are
+    cut into blocks of n. A frame of n rows is the end of one block and the beginning of the next, so
+    running aggregates forward and backward in the blocks, each one step a row, are combined two by
+    two. Nothing is subtracted: no value depends on what stood before the frame.
     """
     slim = readings.select("motor_id", "arrival_seq", "temperature", "vibration")
 
     def stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-        frame = Window.partitionBy(*keys).orderBy("arrival_seq").rowsBetween(-(n - 1), 0)
-        return rows.select(
-            "*", F.count(F.lit(1)).over(frame).alias("n_points"),
-            *[fn(name).over(frame).alias(f"{s}_{name}") for name in ("temperature", "vibration") for s, fn in _STATS],
+        in_order = Window.partitionBy(*keys).orderBy("arrival_seq")
+        place = F.row_number().over(in_order) - 1
+        placed = rows.withColumn("_place", place).withColumn("_block", F.col("_place") - F.col("_place") % n)
+        block = Window.partitionBy(*keys, "_block")
+        to_end = block.orderBy(F.col("arrival_seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        from_start = block.orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
+        # The frame's first row, n - 1 rows back, if that lies in the block before.
+        first = Window.partitionBy(*keys).orderBy("_block", "arrival_seq")
+        backward = placed.withColumn("_end", _running(to_end))
+        forward = backward.select(
+            *rows.columns, "_place", _running(from_start).alias("_start"),
+            F.when(F.col("_place") % n != n - 1, F.lag("_end", n - 1).over(first)).alias("_end"),
+        )
+        return forward.select(
+            *rows.columns, F.least(F.col("_place") + 1, F.lit(n)).cast("bigint").alias("n_points"),
+            *[c for name in _MEASURED for c in _combined(name)],
         )
 
-    return in_order(slim, ["motor_id"], "arrival_seq", n - 1, stats, span).drop("temperature", "vibration")
+    return in_order(slim, ["motor_id"], "arrival_seq", n - 1, stats, span).drop(*_MEASURED)
+
+
+_MEASURED = ("temperature", "vibration")
+_RUNNING = (("sum", F.sum), ("count", F.count), ("min", F.min), ("max", F.max))
+
+
+def _running(frame) -> Column:
+    """Sum, count, minimum and maximum of each measurement over a growing frame."""
+    return F.struct(*[fn(name).over(frame).alias(f"{s}_{name}") for name in _MEASURED for s, fn in _RUNNING])
 
 
-_STATS = (("avg", F.avg), ("min", F.min), ("max", F.max))
+def _combined(name: str) -> list[Column]:
+    """Average, minimum and maximum over two parts of a frame, of which the earlier may be missing."""
+    def both(s: str) -> tuple[Column, Column]:
+        return F.col(f"_end.{s}_{name}"), F.col(f"_start.{s}_{name}")
+
+    def added(s: str) -> Column:
+        end, start = both(s)
+        return F.coalesce(end + start, end, start)
+
+    return [
+        F.try_divide(added("sum"), added("count")).alias(f"avg_{name}"),
+        F.least(*both("min")).alias(f"min_{name}"),
+        F.greatest(*both("max")).alias(f"max_{name}"),
+    ]
 
 
 def effectively_disconnected(status: Column, temperature: Column, vibration: Column) -> Column:
@@ -94,23 +132,22 @@ def live_card(state: DataFrame) -> DataFrame:
     )
 
 
-def _padded(points: Column, fill: Column, n: int) -> Column:
-    kept = F.slice(points, F.greatest(F.lit(1), F.size(points) - (n - 1)), n)
-    return F.concat(F.array_repeat(fill, n - F.size(kept)), kept)
-
-
 def padded_series(buffer: DataFrame, state: DataFrame, n: int = POINTS) -> DataFrame:
     """Exactly n chart points per row of state, padded on the left; zeros while disconnected."""
     joined = state.join(buffer.select("motor_id", "points"), "motor_id", "left")
     gone = effectively_disconnected(F.col("status"), F.col("temperature"), F.col("vibration"))
     points = F.coalesce(F.col("points"), F.array())
-    labels = F.transform(points, lambda p: F.date_format(p.event_ts, "HH:mm:ss"))
+    shown = F.slice(points, F.greatest(F.lit(1), F.size(points) - (n - 1)), n)
+    lacking = F.greatest(F.lit(0), n - F.size(points))
+
+    def padded(fill: Column, value: Callable[[Column], Column]) -> Column:
+        # Each point is turned into its value once: the padding asks for the number of points alone.
+        return F.concat(F.array_repeat(fill, lacking), F.transform(shown, value))
 
     def values(name: str) -> Column:
-        measured = F.transform(points, lambda p: p.getField(name))
-        shown = F.when(gone, F.array().cast("array<double>")).otherwise(measured)
-        return _padded(shown, F.lit(0.0), n).alias(f"{name}_series")
+        zero = F.lit(0.0)
+        measured = padded(zero, lambda p: p.getField(name))
+        return F.when(gone, F.array_repeat(zero, n)).otherwise(measured).alias(f"{name}_series")
 
-    return joined.select(
-        *state.columns, _padded(labels, F.lit(""), n).alias("labels"), values("temperature"), values("vibration")
-    )
+    labels = padded(F.lit(""), lambda p: F.date_format(p.event_ts, "HH:mm:ss"))
+    return joined.select(*state.columns, labels.alias("labels"), values("temperature"), values("vibration"))

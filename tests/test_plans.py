@@ -79,6 +79,24 @@ def test_no_query_multiplies_or_broadcasts_blindly(spark):
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
 
 
+@pytest.mark.parametrize("build", [series.rolling_points, state.changed_only])
+def test_uncut_motors_are_read_and_shuffled_once(spark, build):
+    text = plan(build(fx.readings(spark, SF_DIR)))
+    assert text.count("FileScan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert "Union" not in text and "Join" not in text
+
+
+def test_rolling_frames_are_running_aggregates(spark):
+    text = plan(series.rolling_points(fx.readings(spark, SF_DIR)))
+    windows = re.findall(r"(sum|count|min|max|avg)\([a-z]+#\d+\) windowspecdefinition\([^()]*specifiedwindowframe\(RowFrame, ([^,]*),", text)
+    assert windows and {low for _, low in windows} == {"unboundedpreceding$()"}
+
+
+def test_chart_points_are_turned_once(spark):
+    text = QUERIES["padded_series"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("transform(") == 3
+
+
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """Readings, in several files, of which one motor holds a third."""
