@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions.values import in_period
+from ..functions.values import EVENT_DATE, in_period
 from .latest import first_per
 
 PAGE_SIZE = 5  # fixed value
@@ -119,9 +119,32 @@ def history_page(log: DataFrame, page: int, size: int = PAGE_SIZE, key: str = DE
     return history_sort(log, key, desc).offset((page - 1) * size).limit(size)
 
 
+def _dates_of(log: DataFrame, first: int, last: int, desc: bool) -> tuple[list, int]:
+    """The dates that hold the places `first` to `last` of the log, and the place at which they begin.
+
+    A count per date reads no column, only what the files say of their row counts. There is one row
+    for a date, and at most one date for a row of the page.
+    """
+    order = F.col(EVENT_DATE).desc() if desc else F.col(EVENT_DATE).asc()
+    so_far = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    counts = log.groupBy(EVENT_DATE).agg(F.count(F.lit(1)).alias("_n")).withColumn("_end", so_far)
+    found = counts.where((F.col("_end") > first) & (F.col("_end") - F.col("_n") <= last)).collect()
+    return [r[EVENT_DATE] for r in found], min((r["_end"] - r["_n"] for r in found), default=0)
+
+
 def history_page_deep(log: DataFrame, page: int, size: int = PAGE_SIZE, key: str = DEFAULT_SORT, desc: bool = True) -> DataFrame:
-    """Page k, counted from 1, out of the numbered log: sorts and checkpoints the log when called."""
-    here = F.col("position").between((page - 1) * size, page * size - 1)
+    """Page k, counted from 1, out of the numbered log: sorts and checkpoints the log when called.
+
+    Of a log that is stored by date, sorted by time, only the dates that the page lies in: the row
+    counts of the dates, newest or oldest first, tell which.
+    """
+    first, last = (page - 1) * size, page * size - 1
+    start = 0
+    if key == DEFAULT_SORT and EVENT_DATE in log.columns:
+        dates, start = _dates_of(log, first, last, desc)
+        known = F.col(EVENT_DATE).isin([d for d in dates if d is not None])
+        log = log.where(known | F.col(EVENT_DATE).isNull() if None in dates else known)
+    here = (F.col("position") + start).between(first, last)
     return numbered(log, key, desc).where(here).orderBy("position").drop("position")
 
 

@@ -14,7 +14,7 @@ from ..functions import ids, values
 from ..operators import access, alerts, history, latest, overview, registry, series, state
 from ..schemas import SENSOR_AXES
 from ..session import shared_dir, tune
-from ..sources import tables, telemetry
+from ..sources import tables, telemetry, versioned
 from ..streaming import queries as streams
 from ..streaming.sources import landing
 from . import fixtures as fx
@@ -79,6 +79,11 @@ def _scratch(s: SparkSession, name: str) -> str:
     return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
+def _dated(df: DataFrame) -> T.StructType:
+    """The schema of the frame stored by date."""
+    return T.StructType([*df.schema.fields, T.StructField("event_date", T.DateType())])
+
+
 # --- scans, sources, sinks -----------------------------------------------------------------
 
 @query("parse_telemetry")
@@ -173,6 +178,23 @@ def _(s, d):
     return registry.register_motors(fx.new_motors(s, d), fx.motors(s, d))
 
 
+@query("register_motors_committed")
+def _(s, d):
+    """Two writers with the same forms, of whom the second commits while the first is at work."""
+    path, new, motors = _scratch(s, "registry"), fx.new_motors(s, d), fx.motors(s, d)
+    base = versioned.add(s, path, motors.schema, lambda none: motors)
+
+    def second(rows: DataFrame) -> DataFrame:
+        return registry.register_motors(new, rows)
+
+    def first(rows: DataFrame) -> DataFrame:
+        versioned.add(s, path, motors.schema, second)
+        return registry.register_motors(new, rows)
+
+    versioned.add(s, path, motors.schema, first)
+    return versioned.read(s, path, motors.schema).exceptAll(versioned.read(s, path, motors.schema, base))
+
+
 @query("register_users")
 def _(s, d):
     return registry.register_users(fx.signups(s, d), fx.users(s, d))
@@ -486,6 +508,14 @@ def _(s, d):
 
 # --- windows and series ------------------------------------------------------------------------
 
+@query("daily_trend_dated")
+def _(s, d):
+    path, readings = _scratch(s, "readings"), fx.readings(s, d)
+    tables.append_by_date(readings, path)
+    stored = s.read.schema(_dated(readings)).parquet(path)
+    return _comparable(overview.daily_trend(stored, tables.newest_event(s, path)))
+
+
 @query("latest_reading")
 def _(s, d):
     return latest.latest_reading(fx.readings(s, d))
@@ -543,6 +573,13 @@ def _(s, d):
     return history.history_page_deep(_log(s, d), 150)
 
 
+@query("history_page_deep_dated")
+def _(s, d):
+    path, log = _scratch(s, "log"), _log(s, d)
+    tables.append_by_date(log, path)
+    return history.history_page_deep(s.read.schema(_dated(log)).parquet(path), 150).drop("event_date")
+
+
 @query("history_page_after")
 def _(s, d):
     log = history.known_motors(_log(s, d), fx.motors(s, d))

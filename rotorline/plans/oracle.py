@@ -485,6 +485,14 @@ SQL: dict[str, str] = {
 }
 
 
+# Other ways to the same rows.
+SQL |= {
+    "register_motors_committed": SQL["register_motors"],
+    "daily_trend_dated": SQL["daily_trend"],
+    "history_page_deep_dated": SQL["history_page_deep"],
+}
+
+
 def _needed(text: str, itself: str = "") -> list[str]:
     """Names of the CTEs a text uses, each after those it uses itself."""
     out: list[str] = []

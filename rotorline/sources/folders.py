@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 
@@ -42,3 +45,38 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    files, at = _files(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file appear whole under a name that is not taken; False if it is."""
+    draft = f"{path}.draft-{uuid4().hex}"
+    files, at = _files(spark, draft)
+    files.mkdirs(at.getParent())
+    stream = files.create(at, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files.getUri().getScheme() != "file":
+        if files.rename(at, target):
+            return True
+        files.delete(at, False)
+        return False
+    try:  # a local rename would replace the file
+        os.link(at.toUri().getPath(), target.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        files.delete(at, False)

@@ -50,6 +50,22 @@ def append_by_date(rows: DataFrame, path: str) -> None:
     append(dated.sortWithinPartitions(EVENT_DATE, "motor_id"), path, [EVENT_DATE])
 
 
+def newest_event(spark: SparkSession, path: str) -> Column:
+    """The newest event time of a table that is stored by date, as a literal; NULL for an empty one.
+
+    The names of the folders tell the last date, and rows of that folder alone are read. As a literal
+    it prunes the dates of whatever is compared with it.
+    """
+    key = f"{EVENT_DATE}="
+    dates = [n for n in folders.names(spark, path) if n.startswith(key) and n[len(key):len(key) + 1].isdigit()]
+    for name in sorted(dates, reverse=True):  # the first, unless its rows were deleted
+        rows = spark.read.schema("event_ts timestamp_ntz").parquet(f"{path}/{name}")
+        newest = rows.agg(F.max("event_ts")).first()[0]
+        if newest is not None:
+            return F.lit(newest).cast("timestamp_ntz")
+    return F.lit(None).cast("timestamp_ntz")
+
+
 def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

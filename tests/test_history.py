@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import at, rows
-from rotorline.operators import history
+from rotorline.operators import history, overview
 from rotorline.sources import tables
 
 DAY = 86400
@@ -119,3 +119,35 @@ def test_paging_any_log(make, entries, size):
     pages = history.history_pages(log, size, "status").collect()
     assert max(r.page for r in pages) == -(-len(entries) // size) == history.page_count(log, size).first().pages
     assert at(entries[0][0]) in {r.event_ts for r in pages}
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_deep_page_reads_the_dates_it_lies_in(spark, make, folder, monkeypatch, desc):
+    readings = make.readings(*[("a", (i * 7 % 9) * DAY + i % 2, i) for i in range(40)]).withColumn(
+        "event_ts", F.expr("if(arrival_seq % 10 = 3, null, event_ts)"))
+    log = history.append_history(readings, make.motors(("a", "c")))
+    tables.append_by_date(log, folder("log"))
+    stored = spark.read.parquet(folder("log"))
+    whole = [r.log_id for r in history.history_sort(log, desc=desc).collect()]
+    sorted_parts, numbered = [], history.numbered
+    monkeypatch.setattr(history, "numbered", lambda part, *how: sorted_parts.append(part) or numbered(part, *how))
+    for page in (1, 3, 6, 7):
+        got = history.history_page_deep(stored, page, 7, desc=desc).collect()
+        assert [r.log_id for r in got] == whole[(page - 1) * 7:page * 7]
+    read = [{r.event_date for r in part.select("event_date").distinct().collect()} for part in sorted_parts]
+    assert all(len(dates) <= 4 for dates in read[:3]) and read[3] == set()
+    text = sorted_parts[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "PartitionFilters: []" not in text
+
+
+def test_trend_of_a_dated_table_reads_its_dates(spark, make, folder):
+    readings = make.readings(*[("a", i * DAY, i) for i in range(30)])
+    tables.append_by_date(readings, folder("readings"))
+    stored = spark.read.parquet(folder("readings"))
+    as_of = tables.newest_event(spark, folder("readings"))
+    assert spark.range(1).select(as_of).first()[0] == at(29 * DAY)
+    trend = overview.daily_trend(stored, as_of)
+    assert rows(trend) == rows(overview.daily_trend(readings, F.lit(at(29 * DAY)).cast("timestamp_ntz")))
+    text = trend._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in text.split("PartitionFilters: [")[1].split("]")[0] and "Subquery" not in text
+    assert spark.range(1).select(tables.newest_event(spark, folder("none"))).first()[0] is None
