@@ -21,7 +21,9 @@ def truthy_text(text: Column, value: Column) -> Column:
     """
     looks_false = text.startswith("0") | text.startswith("-0") | (text == "false")
     is_true = (F.schema_of_variant(value) == "STRING") | (text != "false") & (F.try_variant_get(value, "$", "double") != 0)
-    return F.when(~looks_false | is_true, F.nullif(text, F.lit("")))
+    # As branches, not as `or`: Spark takes what both sides of an `or` share with others out of it and runs it always.
+    filled = F.nullif(text, F.lit(""))
+    return F.when(~looks_false, filled).when(is_true, filled)
 
 
 def or_default(text: Column, default) -> Column:

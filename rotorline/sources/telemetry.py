@@ -23,19 +23,25 @@ def _seal(payload: Column) -> Column:
     return F.xxhash64(payload).cast("string")
 
 
+def _may_end_early(payload: Column) -> Column:
+    """Whether a text could close an array around it, which none without a bracket can."""
+    return payload.contains("]")
+
+
 def _decoded(payload: Column) -> Column:
-    """The payload and a sealed message after it as a JSON array of two.
+    """The payload in a JSON array; one that may end it early with a sealed message after it.
 
     Anything after the payload's object makes another array or none, and so shows.
     """
-    sealed = F.concat(F.lit("["), payload, F.lit(',{"timestamp":"'), _seal(payload), F.lit('"}]'))
-    return F.from_json(sealed, schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
+    sealed = F.concat(F.lit(',{"timestamp":"'), _seal(payload), F.lit('"}]'))
+    end = F.when(_may_end_early(payload), sealed).otherwise(F.lit("]"))
+    return F.from_json(F.concat(F.lit("["), payload, end), schemas.T.ArrayType(schemas.MESSAGE), _STRICT)
 
 
 def _is_one_object(messages: Column, payload: Column) -> Column:
     last = F.get(messages, F.lit(1)).timestamp
-    whole = (F.size(messages) == 2) & F.get(messages, F.lit(0)).isNotNull() & (last == _seal(payload))
-    return F.coalesce(whole, F.lit(False))
+    alone = F.when(_may_end_early(payload), (F.size(messages) == 2) & (last == _seal(payload)))
+    return F.coalesce(alone.otherwise(F.size(messages) == 1) & F.get(messages, F.lit(0)).isNotNull(), F.lit(False))
 
 
 def is_message(payload: Column) -> Column:

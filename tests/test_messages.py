@@ -1,6 +1,7 @@
 """Parsing of messages and values."""
 
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -114,6 +115,21 @@ def test_json_is_read_strictly(make, payload):
     assert telemetry.parse_telemetry(raw).count() == 0
     assert telemetry.malformed_telemetry(raw).count() == 1
 
+def test_only_one_whole_object_is_a_message(spark):
+    """Every beginning of a message, with everything that could close it or follow it, as a strict reader takes it."""
+    def one_object(text):
+        try:
+            return isinstance(json.loads(text), dict)
+        except ValueError:
+            return False
+
+    whole = ['{"motor_id":"a]","temperature":1}', '{"motor_id":"a","x":[1,{"y":"]"}],"status":""}', '{"motor_id":"a"}']
+    after = ["", "]", "}", '"}', '"}]', "]]", ",", ",{}", '],[{"motor_id":"b"}', '] {"motor_id":"b"}', " ", "[", "null", '"']
+    texts = sorted({m[:n] + end for m in whole for n in range(len(m) + 1) for end in after})
+    made = spark.createDataFrame([(t,) for t in texts], "payload string")
+    got = {r.payload for r in made.where(telemetry.is_message(F.col("payload"))).collect()}
+    assert got == {t for t in texts if one_object(t)}
+
 
 @pytest.mark.parametrize("payload", ["5", '"t"', "true", '[{"motor_id":"a"}]'])
 def test_json_without_a_motor_is_dropped_silently(make, payload):
