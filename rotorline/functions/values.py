@@ -19,7 +19,7 @@ def truthy_text(text: Column, value: Column) -> Column:
 
     Few texts look like zero or false, and only for those the value itself is looked at.
     """
-    looks_false = text.startswith("0") | text.startswith("-0") | (text == "false")
+    looks_false = text.isNotNull() & (text.startswith("0") | text.startswith("-0") | (text == "false"))
     is_true = (F.schema_of_variant(value) == "STRING") | (text != "false") & (F.try_variant_get(value, "$", "double") != 0)
     # As branches, not as `or`: Spark takes what both sides of an `or` share with others out of it and runs it always.
     filled = F.nullif(text, F.lit(""))
