@@ -14,7 +14,7 @@ from ..functions import ids, values
 from ..operators import access, alerts, history, latest, overview, registry, series, state
 from ..schemas import SENSOR_AXES
 from ..session import shared_dir, tune
-from ..sources import tables, telemetry, versioned
+from ..sources import tables, telemetry, trees, versioned
 from ..streaming import queries as streams
 from ..streaming.sources import landing
 from . import fixtures as fx
@@ -135,6 +135,13 @@ def _(s, d):
     return tables.explode_tree(fx.tree(s, d), fx.TREE_NODE)
 
 
+@query("explode_tree_files")
+def _(s, d):
+    path = _scratch(s, "trees")
+    fx.tree(s, d).write.text(path)
+    return tables.explode_tree(trees.read_trees(s, path), fx.TREE_NODE)
+
+
 @query("restore_state")
 def _(s, d):
     return _ntz(tables.restore_state(fx.saved_motors(s, d)), "last_updated", "installed_at")

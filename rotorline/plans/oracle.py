@@ -490,6 +490,7 @@ SQL |= {
     "register_motors_committed": SQL["register_motors"],
     "daily_trend_dated": SQL["daily_trend"],
     "history_page_deep_dated": SQL["history_page_deep"],
+    "explode_tree_files": SQL["explode_tree"],
 }
 
 
