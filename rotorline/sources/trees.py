@@ -11,8 +11,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +51,19 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         (F.octet_length("value") + 1).alias("size"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bool]]:
-    """Every piece and whether a split begins with it."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bool, pa.RecordBatch]]:
+    """Pieces in a row that are of one split: the first, whether the split begins with it, and all of them."""
     last = None
     for batch in batches:
-        for row in batch.to_pylist():
+        codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in _SPLIT]
+        borders = np.flatnonzero(reduce(np.logical_or, [np.diff(c) != 0 for c in codes])) + 1
+        for low, high in zip([0, *borders], [*borders, batch.num_rows]):
+            if low == high:
+                continue
+            run = batch.slice(low, high - low)
+            row = run.slice(0, 1).to_pylist()[0]
             split = tuple(row[c] for c in _SPLIT)
-            yield row, split != last
+            yield row, split != last, run
             last = split
 
 
@@ -62,8 +71,7 @@ def _between_quotes(piece: str) -> list[str]:
     return (_ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
 
 
-def _deeper(parts: list[str]) -> int:
-    outside = "".join(parts)
+def _deeper(outside: str) -> int:
     return outside.count("{") + outside.count("[") - outside.count("]")
 
 
@@ -77,18 +85,19 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [row | {"size": total, "odd_quotes": bool(odd), "deeper": depth, "closings": listed}], _SUMMARY_ARROW)
 
     first = None
-    for row, begins in _rows(batches):
+    for row, begins, run in _runs(batches):
         if begins:
             if first:
                 yield summary()
             first, total, odd, depth, closings = row, 0, 0, [0, 0], [Counter(), Counter()]
-        parts = _between_quotes(row["value"])
-        for case in (0, 1):
-            depth[case] += _deeper(parts[case ^ odd::2])
-        odd ^= (len(parts) - 1) & 1
-        depth[odd] -= 1
-        closings[odd][depth[odd]] += 1
-        total += row["size"]
+        total += pc.sum(run.column("size")).as_py()
+        for piece in run.column("value").to_pylist():
+            parts = _between_quotes(piece)
+            depth[0] += _deeper("".join(parts[odd::2]))
+            depth[1] += _deeper("".join(parts[odd ^ 1::2]))
+            odd ^= (len(parts) - 1) & 1
+            depth[odd] -= 1
+            closings[odd][depth[odd]] += 1
     if first:
         yield summary()
 
@@ -123,24 +132,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "whole": end is not None and not at_head, "closed": end is not None}
 
     first, held, found = None, [], []
-    for row, begins in _rows(batches):
+    for row, begins, run in _runs(batches):
         if begins:
             if held:
                 found.append(record(None))
             first, in_string, depth, entry = row, row["in_string"], row["depth"], row["entry"]
             held, at_head = [], row["block"] > 0
-        parts = _between_quotes(row["value"])
-        depth += _deeper(parts[in_string::2])
-        in_string ^= (len(parts) - 1) & 1
-        held.append(row["value"] + "}")
-        if not in_string:
-            depth -= 1
-            if depth in (0, 1):
-                found.append(record("}" * depth))  # the root's own brace, where it does not follow here
-                entry, held, at_head = entry + 1, [], False
-        if len(found) >= _BATCH:
-            yield pa.RecordBatch.from_pylist(found, _RECORD_ARROW)
-            found = []
+        for piece in run.column("value").to_pylist():
+            parts = _between_quotes(piece)
+            depth += _deeper("".join(parts[in_string::2]))
+            in_string ^= (len(parts) - 1) & 1
+            held.append(piece + "}")
+            if not in_string:
+                depth -= 1
+                if depth in (0, 1):
+                    found.append(record("}" * depth))  # the root's own brace, where it does not follow here
+                    entry, held, at_head = entry + 1, [], False
+            if len(found) >= _BATCH:
+                yield pa.RecordBatch.from_pylist(found, _RECORD_ARROW)
+                found = []
     if held:
         found.append(record(None))
     if found:
