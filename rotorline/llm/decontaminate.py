@@ -62,7 +62,14 @@ class Windows:
             starts, owners = np.array(starts), np.array(owners)
             hashes = self._hashed(self.words, starts, size)
             order = np.argsort(hashes, kind="stable")
-            self.tables.append((size, hashes[order], starts[order], owners[order]))
+            hashes, starts, owners = hashes[order], starts[order], owners[order]
+            # A window that many items share is kept once, with the list of its owners.
+            new = np.ones(len(starts), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            for j in range(size):
+                new[1:] |= self.words[starts[1:] + j] != self.words[starts[:-1] + j]
+            first = np.flatnonzero(new)
+            self.tables.append((size, hashes[first], starts[first], np.append(first, len(starts)), owners))
 
     @staticmethod
     def _hashed(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -78,7 +85,7 @@ class Windows:
         known = np.concatenate([[0], np.cumsum(words > 0)])
         edges = np.zeros(len(words) + 1, np.int64)
         items = set()
-        for size, hashes, starts, owners in self.tables:
+        for size, hashes, starts, owned, owners in self.tables:
             if len(words) < size:
                 continue
             asked = np.flatnonzero(known[size:] - known[:-size] == size)
@@ -86,15 +93,16 @@ class Windows:
                 continue
             own = self._hashed(words, asked, size)
             first, last = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            found = set()
             for i in np.flatnonzero(first < last).tolist():
-                at, found = int(asked[i]), False
+                at = int(asked[i])
                 for k in range(first[i], last[i]):
                     if np.array_equal(self.words[starts[k]:starts[k] + size], words[at:at + size]):
-                        items.add(self.items[owners[k]])
-                        found = True
-                if found:
-                    edges[at] += 1
-                    edges[at + size] -= 1
+                        found.add(k)
+                        edges[at] += 1
+                        edges[at + size] -= 1
+            for k in found:
+                items.update(map(self.items.__getitem__, set(owners[owned[k]:owned[k + 1]].tolist())))
         if not items:
             return [], [], []
         inside = np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8)])

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from rotorline.llm import decontaminate as dc
@@ -68,6 +70,28 @@ def test_long_items_are_cut_without_loss(docs, benchmark, monkeypatch):
     assert rows(got) == report(pairs, [(1, item)])
 
 
+def test_owners_of_a_shared_window_are_walked_once():
+    passage = " ".join(f"w{i}" for i in range(10)).encode()
+    windows = dc.Windows([(str(i), passage) for i in range(20_000)] + [("own", passage + b" w0")], 10)
+    assert [len(starts) for _, _, starts, _, _ in windows.tables] == [2]
+    started = time.process_time()
+    starts, ends, items = windows.hits(passage.split() * 2_000)
+    assert time.process_time() - started < 5
+    assert (starts, ends) == ([0], [20_000]) and len(items) == 20_001
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(dc.Windows, "_hashed", staticmethod(lambda words, starts, size: np.zeros(len(starts), np.uint64)))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=12)) for _ in range(6)]
+    items = [(i, texts[i % 5]) for i in range(15)]
+    windows = dc.Windows([(str(i), t.encode()) for i, t in items], 10)
+    for text in [*texts, texts[0] + " " + texts[3]]:
+        starts, ends, found = windows.hits(text.encode().split())
+        n, hit, owners = brute(text, items)
+        assert {w for a, b in zip(starts, ends) for w in range(a, b)} == hit and set(found) == set(map(str, owners))
+
+
 def test_remove_documents(docs, benchmark):
     pairs, items = corpus()
     df = docs(*pairs)
