@@ -89,8 +89,8 @@ LONG_RUN, OVERLAP = 1 << 21, 4 << 10
 REWIND = 1 << 16
 #: Layers inside one another that are entered at once; compressed data further down wait until these are done.
 DEEP = 60
-#: Passes of unescaping that are layers of their own; fewer for layers of more characters than the last number.
-LEVELS, LONG_LEVELS, LONG_LAYER = 4, 1, 1 << 19
+#: Passes of unescaping that are layers of their own, however long the layer is.
+LEVELS = 4
 #: Characters that no pattern has: nothing that is looked for, in a text or a layer of it, goes on over one.
 CUT_BYTES = bytes(0x20 if chr(b) in "+/_.=%\\&#;{}:\"' \r\n-" or chr(b).isascii() and chr(b).isalnum() else 0x78 for b in range(256))
 #: Nor over a blank after a letter that ends no escape and before a letter.
@@ -641,7 +641,7 @@ class Scan:
         self._base64(piece)
         if not ANY_ESCAPE.search(piece.text):
             return
-        if level >= (LEVELS if len(piece.text) < LONG_LAYER else LONG_LEVELS):
+        if level >= LEVELS:
             ways = [(_resolved, LEVELS)]
         else:
             ways = [(_percent, level + 1), (_escapes, level + 1)]

@@ -312,6 +312,14 @@ def test_chains_of_escapes_take_linear_time(text, kinds):
     assert peak < 20 << 20
 
 
+def test_layers_in_between_are_found_whatever_the_length():
+    """Runs of 24 hex digits and more that each pass shortens, the last one below that."""
+    wrapped = "%25252561" + HEX[:22]
+    told = [(1, 2, 31), (3, 2, 31), (5, 2, 31), (7, 2, 31)]
+    for before in (0, 1 << 10, 1 << 19, 1 << 20):
+        assert spans("." * before + wrapped) == [(before + a, kind, before + b) for a, kind, b in told], before
+
+
 def test_long_runs_of_unpacked_data_are_windows():
     """A letter 24 million times is not held; what lies over the end of a window is found."""
     pad = b"a" * 12_000_000
