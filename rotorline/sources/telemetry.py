@@ -59,18 +59,22 @@ def _is_other_json(payload: Column) -> Column:
     return F.coalesce(no_object & whole & first.isNotNull() & ~F.is_variant_null(first), F.lit(False))
 
 
-def parse_telemetry(raw: DataFrame) -> DataFrame:
-    """Messages as readings; malformed messages and those without a motor id are dropped.
+# What a decoded message holds: whether it is one JSON object and nothing else, and its values.
+_MESSAGE = "_message"
 
-    Unreadable numbers become NULL, a missing status 'Unknown', a missing confidence 0 and a
-    missing time the arrival time. An id or status that is the number 0 or false counts as missing.
+
+def with_messages(raw: DataFrame) -> DataFrame:
+    """Adds what the payloads say, in whose place the payloads of whole messages go.
+
+    `parse_telemetry` and `malformed_telemetry` take messages with or without it; where both are
+    called on kept messages, no payload is decoded twice.
     """
     # A one-element explode is a barrier: a filter on what it makes would otherwise move below the
     # projection and decode every message a second time.
     decoded = raw.withColumn("ms", F.explode(F.array(_decoded(F.col("payload")))))
     m = F.get("ms", 0)
     typed = F.from_json("payload", "motor_id variant, status variant", _STRICT)
-    values = F.struct(
+    message = F.struct(
         _is_one_object(F.col("ms"), F.col("payload")).alias("whole"),
         truthy_text(m.motor_id, typed.motor_id).alias("motor_id"),
         m.timestamp.try_cast("double").alias("seconds"),
@@ -79,9 +83,19 @@ def parse_telemetry(raw: DataFrame) -> DataFrame:
         F.coalesce(truthy_text(m.status, typed.status), F.lit(UNKNOWN_STATUS)).alias("status"),
         m.confidence.try_cast("double").alias("confidence"),
     )
-    read = decoded.select("arrival_seq", "arrival_ts", F.explode(F.array(values)).alias("v")).where(
-        "v.whole and v.motor_id is not null").select("arrival_seq", "arrival_ts", "v.*")
-    return read.select(
+    return decoded.select(*raw.columns, F.explode(F.array(message)).alias(_MESSAGE)).withColumn(
+        "payload", F.when(~F.col(f"{_MESSAGE}.whole"), F.col("payload")))
+
+
+def parse_telemetry(raw: DataFrame) -> DataFrame:
+    """Messages as readings; malformed messages and those without a motor id are dropped.
+
+    Unreadable numbers become NULL, a missing status 'Unknown', a missing confidence 0 and a
+    missing time the arrival time. An id or status that is the number 0 or false counts as missing.
+    """
+    known = raw if _MESSAGE in raw.columns else with_messages(raw)
+    named = known.where(f"{_MESSAGE}.whole and {_MESSAGE}.motor_id is not null")
+    return named.select("arrival_seq", "arrival_ts", f"{_MESSAGE}.*").select(
         F.col("arrival_seq").alias("reading_id"),
         "motor_id",
         F.coalesce(epoch_to_ts(F.col("seconds")), F.col("arrival_ts").cast("timestamp")).alias("event_ts"),
@@ -98,8 +112,8 @@ def malformed_telemetry(raw: DataFrame) -> DataFrame:
 
     JSON that is no object (a number, say) names no motor and is dropped without being kept here.
     """
-    payload = F.col("payload")
-    return raw.where(~is_message(payload) & ~_is_other_json(payload))
+    whole = F.col(f"{_MESSAGE}.whole") if _MESSAGE in raw.columns else is_message(F.col("payload"))
+    return raw.where(~whole & ~_is_other_json(F.col("payload"))).drop(_MESSAGE)
 
 
 def with_topic_motor(raw: DataFrame) -> DataFrame:

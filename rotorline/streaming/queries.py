@@ -26,7 +26,7 @@ from ..operators.history import append_history
 from ..operators.latest import newest_per
 from ..operators.series import POINTS, last_points, live_buffer
 from ..operators.state import THRESHOLD_MS, apply_messages, changed_only, initial_state
-from ..sources.telemetry import malformed_telemetry, parse_telemetry, subscribed
+from ..sources.telemetry import malformed_telemetry, parse_telemetry, subscribed, with_messages
 from .log import append_batch, read_log
 from .merged import MergedTable, read_batches
 
@@ -53,6 +53,12 @@ def _kept(fn: BatchFn) -> BatchFn:
     return run
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """The batch in at least as many partitions as there are cores: a few files or offsets would keep a few of them busy."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(cores)
+
+
 def on_batch(stream: DataFrame, fn: BatchFn, checkpoint: str, trigger: dict | None = None,
              mode: str = "append") -> StreamingQuery:
     """Call `fn(batch, batch_id)` on every micro-batch; after a failure a batch may come again."""
@@ -236,17 +242,17 @@ def stream_ingest(raw: DataFrame, motors: Table, target: str, checkpoint: str, n
 
     def store(batch: DataFrame, batch_id: int) -> None:
         registry = _now(motors)
-        delivered = subscribed(batch, registry)
-        readings = parse_telemetry(delivered).persist()
+        delivered = with_messages(subscribed(_spread(batch), registry)).persist()
+        readings = parse_telemetry(delivered)
         try:
             state.store(_registered(_by_arrival(readings), registry), batch_id)
             buffer.put(readings, batch_id)
             _write_log(append_history(readings, registry), f"{target}/history", batch_id)
             append_batch(malformed_telemetry(delivered), f"{target}/quarantine", batch_id)
         finally:
-            readings.unpersist()
+            delivered.unpersist()
 
-    return on_batch(raw, _kept(store), checkpoint, trigger)
+    return on_batch(raw, store, checkpoint, trigger)
 
 
 def batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -27,6 +27,16 @@ def test_lenient_number(spark, text, number):
     assert one(spark, values.lenient_number, text) == number
 
 
+def test_decoded_messages_give_what_raw_ones_give(spark):
+    odd = [None, "", "null", "7", "[]", "{}", "{bad", '{"motor_id":"a"}', '{"motor_id":"a"}] junk', '{"motor_id":0}', '{"motor_id":"0"}',
+           '{"motor_id":"a]","temperature":"1x","timestamp":"5"}', '{"motor_id":false,"status":"x"}', '{"motor_id":"a"},{"motor_id":"b"}']
+    raw = spark.createDataFrame([("t", p, i, at(i)) for i, p in enumerate([*odd, *odd])], RAW)
+    known = telemetry.with_messages(raw)
+    for read in (telemetry.parse_telemetry, telemetry.malformed_telemetry):
+        assert read(known).schema == read(raw).schema
+        assert rows(read(known)) == rows(read(raw)) != []
+
+
 @pytest.mark.parametrize("text,expected", [(None, "unknown"), ("", "unknown"), ("HEALTHY", "healthy"), ("x", "x")])
 def test_normalise_status(spark, text, expected):
     assert one(spark, values.normalise_status, text) == expected

@@ -86,6 +86,27 @@ def test_ingest_feeds_every_table(spark, motors, folder):
     assert rows(queries.batches(spark, folder("t/quarantine"), bad.schema)) == rows(bad) != []
 
 
+def test_a_batch_of_few_files_keeps_all_cores_busy(spark, motors, folder, monkeypatch):
+    """Messages are decoded once, in a task per core at least, and no batch stays in memory."""
+    raw = fx.telemetry(spark, SF_DIR)
+    raw.coalesce(1).write.parquet(folder("in"))
+    kept, parse = [], queries.parse_telemetry
+
+    def parsed(delivered):
+        if not delivered.isStreaming:
+            kept.append((delivered.rdd.getNumPartitions(), delivered.is_cached))
+        return parse(delivered)
+
+    decoded, decode = [], telemetry._decoded
+    monkeypatch.setattr(telemetry, "_decoded", lambda payload: decoded.append(payload) or decode(payload))
+    monkeypatch.setattr(queries, "parse_telemetry", parsed)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    finish(queries.stream_ingest(sources.landing(spark, folder("in"), raw.schema), motors, folder("t"), folder("cp")))
+    assert kept == [(spark.sparkContext.defaultParallelism, True)]
+    assert len(decoded) == 2  # for the schema, and for the batch
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_live_buffer_over_batches(spark, landed, folder):
     frame, path = landed
     finish(queries.stream_live_buffer(stream(spark, frame, path), folder("t"), folder("cp"), snapshot_every=3))
